@@ -61,9 +61,10 @@ def adhoc(tables, query: str) -> DataFrame:
     """An ad hoc query over all tables as views.
 
     It is placed inside a subquery, where Spark's parser accepts nothing but a query. The
-    line break keeps a trailing comment from swallowing the closing parenthesis.
+    line break keeps a trailing comment from swallowing the closing parenthesis. Only
+    tables whose name occurs in the text become views.
     """
-    tables.register_views()
+    tables.register_views(lambda name: name in query)
     return tables.spark.sql(f"SELECT * FROM (\n{query.strip().rstrip(';')}\n) AS adhoc")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,11 +89,11 @@ class Tables:
             rows = self.raw("raw_project_detail", ("reporting_period",), ("pid",))
         return not rows.where(F.col("reporting_period") == period).isEmpty()
 
-    def register_views(self) -> None:
-        """Temporary views over every raw and derived table."""
-        for table, columns in RAW_COLUMNS.items():
-            self.raw(table, columns).createOrReplaceTempView(table)
-        for name in (*NORMALIZED, *ANALYTIC):
+    def register_views(self, wanted: Callable[[str], bool] = lambda name: True) -> None:
+        """Temporary views over the wanted raw and derived tables."""
+        for table in filter(wanted, RAW_COLUMNS):
+            self.raw(table, RAW_COLUMNS[table]).createOrReplaceTempView(table)
+        for name in filter(wanted, (*NORMALIZED, *ANALYTIC)):
             self[name].createOrReplaceTempView(name)
 
     # -- normalized ---------------------------------------------------------------
