@@ -16,8 +16,8 @@ MONEY = "decimal(28,6)"
 
 def to_double(text: Column) -> Column:
     """DOUBLE or NULL. Spark also reads a Java type suffix ('7d', '7f'): NULL here."""
-    suffix = F.lower(F.right(F.rtrim(text), F.lit(1)))
-    return F.when(~suffix.isin("d", "f"), text.try_cast("double"))
+    suffix = F.rtrim(text).substr(-1, 1)
+    return F.when(~suffix.isin("d", "D", "f", "F"), text.try_cast("double"))
 
 
 def to_long(text: Column) -> Column:

@@ -47,8 +47,14 @@ class Tables:
         self._built = dict(built or {})
         self._planned: dict[str, DataFrame] = {}
 
-    def raw(self, table: str, columns: Sequence[str], not_null: Sequence[str] = ()) -> DataFrame:
-        return self.source.read(table, columns, not_null)
+    def raw(
+        self,
+        table: str,
+        columns: Sequence[str],
+        not_null: Sequence[str] = (),
+        is_null: Sequence[str] = (),
+    ) -> DataFrame:
+        return self.source.read(table, columns, not_null, is_null)
 
     def __getitem__(self, name: str) -> DataFrame:
         if name in self._built:
@@ -65,6 +71,10 @@ class Tables:
         self._built[name] = frame
         self._planned.clear()
 
+    def over(self, source: RawSource) -> Tables:
+        """The same dictionaries over another source, with nothing built yet."""
+        return Tables(self.spark, source, self._agencies, self.taxonomy)
+
     def period(self, table: str, period: str = "current") -> Column:
         """A period as a Column: the given text, or the newest one in the table.
 
@@ -124,7 +134,9 @@ class Tables:
         )
 
     def _build_original_budget(self) -> DataFrame:
-        return normalize.original_budget(self.raw("raw_budget_history", normalize.ADOPTED_INPUT))
+        return normalize.original_budget(
+            self.raw("raw_budget_history", normalize.ADOPTED_INPUT, is_null=("spend_to_date",))
+        )
 
     def _build_project_budget_fy(self) -> DataFrame:
         return normalize.project_budget_fy(self.raw("raw_budget_fy", normalize.FISCAL_INPUT))

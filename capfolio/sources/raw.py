@@ -17,15 +17,28 @@ from capfolio.sources.schemas import DATASETS, RAW_COLUMNS, raw_schema
 class RawSource(Protocol):
     """Where the four raw tables come from."""
 
-    def read(self, table: str, columns: Sequence[str], not_null: Sequence[str] = ()) -> DataFrame:
-        """``columns`` of ``table``, only rows where every ``not_null`` column is present."""
+    def read(
+        self,
+        table: str,
+        columns: Sequence[str],
+        not_null: Sequence[str] = (),
+        is_null: Sequence[str] = (),
+    ) -> DataFrame:
+        """``columns`` of ``table``, from rows with and without a value as asked.
+
+        Stating both conditions here lets a source skip work that a later filter could
+        not undo, such as a join that only serves the rows left out.
+        """
 
     def latest_cadence_period(self, table: str, not_null: Sequence[str] = ()) -> DataFrame:
         """One row, one column: the greatest in-cadence period among those rows."""
 
 
-def required(frame: DataFrame, not_null: Sequence[str]) -> DataFrame:
-    return reduce(lambda df, c: df.where(F.col(c).isNotNull()), not_null, frame)
+def required(
+    frame: DataFrame, not_null: Sequence[str], is_null: Sequence[str] = ()
+) -> DataFrame:
+    present = reduce(lambda df, c: df.where(F.col(c).isNotNull()), not_null, frame)
+    return reduce(lambda df, c: df.where(F.col(c).isNull()), is_null, present)
 
 
 def period_column(table: str) -> str:
@@ -38,8 +51,14 @@ class FrameSource:
     def __init__(self, frames: dict[str, DataFrame]):
         self._frames = frames
 
-    def read(self, table: str, columns: Sequence[str], not_null: Sequence[str] = ()) -> DataFrame:
-        return required(self._frames[table], not_null).select(*columns)
+    def read(
+        self,
+        table: str,
+        columns: Sequence[str],
+        not_null: Sequence[str] = (),
+        is_null: Sequence[str] = (),
+    ) -> DataFrame:
+        return required(self._frames[table], not_null, is_null).select(*columns)
 
     def latest_cadence_period(self, table: str, not_null: Sequence[str] = ()) -> DataFrame:
         period = period_column(table)

@@ -7,6 +7,7 @@ are planned, so a query on budgets never touches orders or customers.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
@@ -37,6 +38,24 @@ STAR_TAXONOMY = Taxonomy(
     )
 )
 
+# Declared so that planning never opens a file; only columns used here are listed.
+_SCHEMAS = {
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_extendedprice double, l_discount double, l_returnflag string, "
+        "l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "customer": "c_custkey bigint, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "part": "p_partkey bigint, p_name string, p_type string, p_size int",
+}
+
 _MONEY = "decimal(18,2)"
 _TEXT_DATE = "yyyy-MM-dd"
 
@@ -134,23 +153,38 @@ class StarSource:
     def __init__(self, spark: SparkSession, folder: str):
         self._spark = spark
         self._folder = folder.rstrip("/")
+        self._opened: dict[str, DataFrame] = {}
 
     def _table(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        if name not in self._opened:
+            reader = self._spark.read.schema(_SCHEMAS[name])
+            self._opened[name] = reader.parquet(f"{self._folder}/{name}.parquet")
+        return self._opened[name]
+
+    def _line_items(self) -> DataFrame:
+        """Line items; a lone local file (one scan task) is spread over the cores first.
+
+        A dataset of many files, or on a shared store, is already read in parallel and is
+        left as it is.
+        """
+        rows = self._table("lineitem")
+        if os.path.isfile(f"{self._folder}/lineitem.parquet"):
+            rows = rows.repartition(self._spark.sparkContext.defaultParallelism, "l_orderkey")
+        return rows
 
     def _items(
         self, *, orders: bool = False, customer: bool = False, region: bool = False,
         part: bool = False,
     ) -> DataFrame:
-        rows = self._table("lineitem")
+        rows = self._line_items()
         if region:
-            places = (
-                self._table("supplier")
+            # One dimension at a time: Spark sizes a join of dimensions as their product,
+            # and would rather broadcast the line items than that.
+            rows = (
+                rows.join(self._table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
                 .join(self._table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
                 .join(self._table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-                .select("s_suppkey", "r_name")
             )
-            rows = rows.join(places, F.col("l_suppkey") == F.col("s_suppkey"))
         if part:
             rows = rows.join(self._table("part"), F.col("l_partkey") == F.col("p_partkey"))
         if orders or customer:
@@ -160,9 +194,19 @@ class StarSource:
             rows = rows.join(head, F.col("l_orderkey") == F.col("o_orderkey"))
         return rows
 
-    def read(self, table: str, columns: Sequence[str], not_null: Sequence[str] = ()) -> DataFrame:
-        frame = getattr(self, f"_{table}")(frozenset(columns), frozenset(not_null))
-        return required(frame, [c for c in not_null if c in columns and c != "pid"]).select(*columns)
+    def read(
+        self,
+        table: str,
+        columns: Sequence[str],
+        not_null: Sequence[str] = (),
+        is_null: Sequence[str] = (),
+    ) -> DataFrame:
+        if table == "raw_budget_history":
+            frame = self._raw_budget_history("spend_to_date" in not_null, "spend_to_date" in is_null)
+        else:
+            frame = getattr(self, f"_{table}")(frozenset(columns), frozenset(not_null))
+        kept = [c for c in not_null if c in columns and c != "pid"]
+        return required(frame, kept, is_null).select(*columns)
 
     def latest_cadence_period(self, table: str, not_null: Sequence[str] = ()) -> DataFrame:
         """Grouping never adds or drops a period, so the line items alone decide."""
@@ -191,9 +235,13 @@ class StarSource:
         rest = F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)")
         return (F.col("l_extendedprice").cast(_MONEY) * rest).cast(_MONEY)
 
-    def _raw_budget_history(self, columns: frozenset[str], not_null: frozenset[str]) -> DataFrame:
+    def _raw_budget_history(self, only_snapshots: bool, only_adopted: bool) -> DataFrame:
         # The agency is part of both group keys, so it is needed whatever is asked for.
         items = self._items(region=True)
+        if only_snapshots:
+            return self._snapshots(items)
+        if only_adopted:
+            return self._adopted(items)
         return self._snapshots(items).unionByName(self._adopted(items))
 
     def _snapshots(self, items: DataFrame) -> DataFrame:
