@@ -30,8 +30,12 @@ def to_int(text: Column) -> Column:
 
 
 def to_date(text: Column) -> Column:
-    """DATE or NULL. Spark also reads '2026' and '2026-01'; a full date is required here."""
-    return F.when(text.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("date"))
+    """DATE or NULL. Spark also reads '2026' and '2026-01'; a full date is required here.
+
+    In ``yyyy-m-d`` the second hyphen is at position 7 or 8.
+    """
+    second_hyphen = F.locate("-", F.ltrim(text), 7)
+    return F.when(second_hyphen > 0, text.try_cast("date"))
 
 
 def money_sum(amount: Column) -> Column:

@@ -70,7 +70,7 @@ add(
     lambda t: t["schedule_history"].groupBy("borough", F.size("boroughs").alias("n_boroughs")).agg(
         F.count("*").alias("n")
     ),
-    "SELECT borough, len(boroughs) AS n_boroughs, count(*) AS n FROM schedule_history GROUP BY ALL",
+    "SELECT borough, CAST(len(boroughs) AS INTEGER) AS n_boroughs, count(*) AS n FROM schedule_history GROUP BY ALL",
 )
 add("n3_budget_history", lambda t: t["budget_history"], "SELECT * FROM budget_history")
 add("n4_original_budget", lambda t: t["original_budget"], "SELECT * FROM original_budget")

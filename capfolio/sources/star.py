@@ -57,7 +57,6 @@ _SCHEMAS = {
 }
 
 _MONEY = "decimal(18,2)"
-_TEXT_DATE = "yyyy-MM-dd"
 
 # Which joins each detail column needs beyond the line item itself.
 _NEEDS_ORDERS = {
@@ -74,6 +73,10 @@ def _month_text(day: Column) -> Column:
     return (F.year(day) * 100 + F.month(day)).cast("string")
 
 
+def _day_text(day: Column) -> Column:
+    return day.cast("date").cast("string")
+
+
 def _period() -> Column:
     day = F.col("l_shipdate")
     month = F.month(day)
@@ -133,17 +136,17 @@ def _detail_columns() -> dict[str, Column]:
         "current_phase": _phase(),
         "forecast_completion": F.when(
             F.col("o_orderstatus") != "F",
-            F.date_format(F.date_add("l_shipdate", 90), _TEXT_DATE),
+            _day_text(F.date_add("l_shipdate", 90)),
         ),
-        "actual_design_start": F.date_format("o_orderdate", _TEXT_DATE),
-        "actual_construction_end": F.when(built, F.date_format("l_shipdate", _TEXT_DATE)),
+        "actual_design_start": _day_text(F.col("o_orderdate")),
+        "actual_construction_end": F.when(built, _day_text(F.col("l_shipdate"))),
         "borough": _borough(),
         "community_board": F.concat(
             _borough(), F.lit(" "), (F.col("p_size") % 3).cast("string")
         ),
         "ten_year_plan_category": F.concat("p_type", F.lit(" "), "p_name"),
-        "agency_data_date": F.date_format("o_orderdate", _TEXT_DATE),
-        "fms_data_date": F.date_format(F.last_day("l_shipdate"), _TEXT_DATE),
+        "agency_data_date": _day_text(F.col("o_orderdate")),
+        "fms_data_date": _day_text(F.last_day("l_shipdate")),
     }
 
 
@@ -303,7 +306,7 @@ class StarSource:
             "managing_agency": lambda: F.min(_agency()),
             "agency_project_name": lambda: F.min(F.concat(F.lit("Project "), F.col("o_custkey").cast("string"))),
             "current_phase": lambda: F.min(_phase()),
-            "completion_date": lambda: F.min(F.date_format("l_shipdate", _TEXT_DATE)),
+            "completion_date": lambda: _day_text(F.min("l_shipdate")),
             "completion_date_type": lambda: F.when(
                 F.bool_or(F.col("o_orderstatus") == "F"), "Actual"
             ).otherwise("Forecast"),
@@ -311,7 +314,7 @@ class StarSource:
             "reason_for_forecast_completion_change": lambda: F.when(
                 days > 0, F.min("o_orderpriority")
             ),
-            "data_date": lambda: F.max(F.date_format("o_orderdate", _TEXT_DATE)),
+            "data_date": lambda: _day_text(F.max("o_orderdate")),
         }
         wanted = [make().alias(c) for c, make in measures.items() if c in columns]
         return (
