@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from capfolio.functions.casts import money_sum
+from capfolio.functions.joins import join_many_to_one
 from capfolio.functions.signs import direction
 from capfolio.functions.text import owner_atoms
 from capfolio.operators.scope import one_of, scoped
@@ -52,7 +53,8 @@ def schedule_breakdown(
         rows = rows.where(F.col(group_by) != "")
     elif group_by == "category":
         funded = tables["link_edges"].where(F.col("reporting_period") == at)
-        kinds = funded.join(tables["category_dim"], "fms_id").select("pid", "category").distinct()
+        kinds = join_many_to_one(funded, tables["category_dim"], ["fms_id"])
+        kinds = kinds.select("pid", "category").distinct()
         rows = rows.join(kinds, "pid")
     value = F.count("*")
     if metric == "schedule_variance":

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from capfolio.functions.aggregates import value_at_latest
 from capfolio.functions.casts import money_sum
+from capfolio.functions.joins import join_many_to_one
 from capfolio.functions.periods import in_cadence
 from capfolio.functions.text import owner_atoms
 
@@ -26,7 +27,7 @@ def pid_links(edges: DataFrame) -> DataFrame:
     Kept as rows. A list per schedule would gather a hot schedule's lines in one task.
     """
     latest = edges.groupBy("pid").agg(F.max("reporting_period").alias("reporting_period"))
-    return edges.join(latest, ["pid", "reporting_period"]).select(
+    return join_many_to_one(edges, latest, ["pid", "reporting_period"]).select(
         "pid", "reporting_period", "fms_id", "managing_agency", "commitments"
     )
 
@@ -151,9 +152,7 @@ def agency_rollup_by_period(history: DataFrame, snapshots: DataFrame) -> DataFra
 def fms_sponsor(state: DataFrame, links: DataFrame) -> DataFrame:
     """Owner of each line: the single sponsors of the schedules it currently funds."""
     owners = state.select("pid", F.explode(owner_atoms(F.col("sponsor_agency"))).alias("sponsor_agency"))
-    return (
-        links.select("pid", "fms_id")
-        .join(owners.where(F.col("sponsor_agency") != ""), "pid")
-        .select("fms_id", "sponsor_agency")
-        .distinct()
+    owned = join_many_to_one(
+        links.select("pid", "fms_id"), owners.where(F.col("sponsor_agency") != ""), ["pid"]
     )
+    return owned.select("fms_id", "sponsor_agency").distinct()

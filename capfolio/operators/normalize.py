@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from capfolio.functions.aggregates import value_at_earliest
 from capfolio.functions.casts import to_date, to_double, to_int, to_long
+from capfolio.functions.joins import join_many_to_one
 from capfolio.functions.periods import in_cadence
 from capfolio.functions.phases import (
     CANCELLED_RANK,
@@ -64,19 +65,15 @@ def schedule_budget_link(edges: DataFrame) -> DataFrame:
     put all edges of one hot schedule or line into one task. All three branches read the
     same exchange of the distinct edges.
     """
-    per_pid = edges.groupBy("reporting_period", "pid").agg(F.count("*").alias("n_budgets_for_pid"))
+    schedule = ("reporting_period", "pid")
     line = ("reporting_period", "fms_id", "managing_agency")
-    per_line = edges.groupBy(*[F.col(c).alias(f"line_{c}") for c in line]).agg(
-        F.count("*").alias("n_pids_for_budget")
-    )
-    same_line = [F.col(c).eqNullSafe(F.col(f"line_{c}")) for c in line]
-    return (
-        edges.join(per_pid, ["reporting_period", "pid"])
-        .join(per_line, same_line)
-        .select(
-            "reporting_period", "pid", "fms_id", "managing_agency", "commitments",
-            "n_budgets_for_pid", "n_pids_for_budget",
-        )
+    per_pid = edges.groupBy(*schedule).agg(F.count("*").alias("n_budgets_for_pid"))
+    per_line = edges.groupBy(*line).agg(F.count("*").alias("n_pids_for_budget"))
+    counted = join_many_to_one(edges, per_pid, schedule)
+    counted = join_many_to_one(counted, per_line, line, null_matches=True)
+    return counted.select(
+        "reporting_period", "pid", "fms_id", "managing_agency", "commitments",
+        "n_budgets_for_pid", "n_pids_for_budget",
     )
 
 

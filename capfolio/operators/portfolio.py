@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capfolio.functions.casts import money_sum
+from capfolio.functions.joins import join_many_to_one
 from capfolio.functions.signs import direction
 from capfolio.operators.ranking import pids_in_category
 from capfolio.operators.scope import one_of, scoped
@@ -47,8 +48,9 @@ def matching_projects(tables, wanted: PortfolioFilter) -> DataFrame:
         rows = rows.join(pids_in_category(tables, wanted.category), "pid", "left_semi")
     if wanted.community_board is not None:
         places = tables["fms_location"].where(F.col("community_board") == wanted.community_board)
-        there = tables["link_edges"].join(places, ["fms_id", "managing_agency"], "left_semi")
-        rows = rows.join(there.select("pid"), "pid", "left_semi")
+        line = ["fms_id", "managing_agency"]
+        there = join_many_to_one(tables["link_edges"], places, line, "left_semi")
+        rows = rows.join(there.select("pid").distinct(), "pid", "left_semi")
     return rows
 
 
@@ -75,12 +77,8 @@ def portfolio_summary(tables, wanted: PortfolioFilter = PortfolioFilter(), n: in
     ``line_budget_total`` counts each line once. Both parts flow into one aggregate.
     """
     matched = matching_projects(tables, wanted)
-    lines = (
-        tables["pid_links"]
-        .join(matched.select("pid"), "pid", "left_semi")
-        .select("fms_id", "managing_agency")
-        .distinct()
-    )
+    funding = join_many_to_one(tables["pid_links"], matched.select("pid"), ["pid"], "left_semi")
+    lines = funding.select("fms_id", "managing_agency").distinct()
     line_budgets = tables["lifetime_budget_variance"].join(
         lines, ["fms_id", "managing_agency"], "left_semi"
     )

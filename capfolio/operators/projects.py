@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from capfolio.functions.joins import join_many_to_one
 from capfolio.functions.signs import direction, link_caveat
 from capfolio.functions.text import contains_text, same_text
 
@@ -103,9 +104,8 @@ def budget_links(
         edges = edges.where(F.col("managing_agency") == managing_agency)
     key = _line_key(by_agency)
     newest = edges.groupBy(*key).agg(F.max("reporting_period").alias("reporting_period"))
-    return edges.join(newest, [*key, "reporting_period"]).select(
-        "line_key", "pid", "managing_agency"
-    ).distinct()
+    current = join_many_to_one(edges, newest, [*key, "reporting_period"])
+    return current.select("line_key", "pid", "managing_agency").distinct()
 
 
 def budget_detail(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from capfolio.functions.joins import join_many_to_one
 from capfolio.functions.signs import direction as direction_of
 from capfolio.operators.derive import within_variance_guard
 from capfolio.operators.scope import ENTITIES, one_of, resolve_scope
@@ -22,9 +23,10 @@ SIGNED = ("budget_variance", "cumulative_budget_change")
 
 
 def pids_in_category(tables, category: str) -> DataFrame:
-    """Schedules ever linked to a line of the category."""
+    """Schedules ever linked to a line of the category, each once."""
     lines = tables["category_dim"].where(F.col("category") == category).select("fms_id")
-    return tables["link_edges"].join(lines, "fms_id", "left_semi").select("pid")
+    linked = join_many_to_one(tables["link_edges"], lines, ["fms_id"], "left_semi")
+    return linked.select("pid").distinct()
 
 
 def _within(frame: DataFrame, column: str, low: float | None, high: float | None) -> DataFrame:
@@ -88,8 +90,8 @@ def _rank_lines(tables, rank_by, low, high, delayed_only, category, scope):
     rows = _within(rows, "latest_budget", low, high)
     if delayed_only:
         late = tables["latest_project_state"].where(F.col("period_variance_days") > 0).select("pid")
-        lines = tables["link_edges"].join(late, "pid", "left_semi").select("fms_id")
-        rows = rows.join(lines, "fms_id", "left_semi")
+        linked = join_many_to_one(tables["link_edges"], late, ["pid"], "left_semi")
+        rows = rows.join(linked.select("fms_id").distinct(), "fms_id", "left_semi")
     if category is not None:
         kind = tables["category_dim"].where(F.col("category") == category).select("fms_id")
         rows = rows.join(kind, "fms_id", "left_semi")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from capfolio.functions.casts import MONEY, money_sum
+from capfolio.functions.joins import join_many_to_one
 from capfolio.functions.signs import direction
 
 # Number of value bands the concentration curve is cut into for parallel running sums.
@@ -88,29 +89,25 @@ def budget_concentration(tables) -> DataFrame:
 
 
 def big_lines(tables, category: str, min_budget: float) -> DataFrame:
-    """Lines of a category at or above a budget, one row per schedule linked in the newest period."""
-    lines = _large(tables, category, min_budget)
-    at = tables.period("schedule_history", "current")
-    now = (
-        tables["link_edges"]
-        .where(F.col("reporting_period") == at)
-        .select("fms_id", "managing_agency", "pid")
-        .distinct()
+    """Lines of a category at or above a budget, one row per schedule linked in the newest period.
+
+    Linked lines start from the links, the side that can be hot; the rest are added after.
+    """
+    line = ["fms_id", "managing_agency"]
+    spent = F.lit(100.0) * F.col("spend_to_date") / F.nullif("latest_budget", F.lit(0.0))
+    lines = _large(tables, category, min_budget).select(
+        *line, "latest_budget", "original_budget", "cumulative_budget_change", "spend_to_date",
+        F.round(spent, 2).alias("spent_pct"),
     )
     state = tables["latest_project_state"].select(
         "pid", "agency_project_name", "current_phase", "lifecycle_status",
         F.col("sponsor_agency").alias("sponsor"), "forecast_completion",
     )
-    linked = now.join(lines.select("fms_id", "managing_agency"), ["fms_id", "managing_agency"], "left_semi")
-    schedules = linked.join(state, "pid")
-    return lines.join(schedules, ["fms_id", "managing_agency"], "left").select(
-        "fms_id", "managing_agency", "latest_budget", "original_budget",
-        "cumulative_budget_change", "spend_to_date",
-        F.round(F.lit(100.0) * F.col("spend_to_date") / F.nullif("latest_budget", F.lit(0.0)), 2)
-        .alias("spent_pct"),
-        "pid", "agency_project_name", "current_phase", "lifecycle_status", "sponsor",
-        "forecast_completion",
-    )
+    at = tables.period("schedule_history", "current")
+    now = tables["link_edges"].where(F.col("reporting_period") == at).select(*line, "pid").distinct()
+    linked = join_many_to_one(join_many_to_one(now, lines, line), state, ["pid"])
+    idle = lines.join(now.select(*line).distinct(), line, "left_anti")
+    return linked.unionByName(idle, allowMissingColumns=True)
 
 
 def _large(tables, category: str, min_budget: float) -> DataFrame:

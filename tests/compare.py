@@ -75,3 +75,7 @@ def difference(frame, con, sql: str) -> str | None:
         if a != b:
             return f"{sorted(expected_names)}\n  spark  {a}\n  duckdb {b}"
     return None if got else "EMPTY"
+
+
+def plan_of(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()

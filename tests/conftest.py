@@ -10,11 +10,15 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
+    from capfolio.session import prepared
+
     session = (
-        SparkSession.builder.master(f"local[{os.environ.get('BENCH_CPUS', '8')}]")
+        prepared(SparkSession.builder)
+        .master(f"local[{os.environ.get('BENCH_CPUS', '8')}]")
         .appName("capfolio-tests")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
