@@ -74,23 +74,28 @@ def portfolio_summary(tables, wanted: PortfolioFilter = PortfolioFilter(), n: in
     """One row over every matching schedule, however many are listed.
 
     ``attributed_budget_total`` counts a shared line once per schedule it funds;
-    ``line_budget_total`` counts each line once. Both parts flow into one aggregate.
+    ``line_budget_total`` counts each line once. One row per schedule and one per link meet
+    the matching set in a single join, so the set is computed once for both totals.
     """
-    matched = matching_projects(tables, wanted)
-    funding = join_many_to_one(tables["pid_links"], matched.select("pid"), ["pid"], "left_semi")
-    lines = funding.select("fms_id", "managing_agency").distinct()
-    line_budgets = tables["lifetime_budget_variance"].join(
-        lines, ["fms_id", "managing_agency"], "left_semi"
+    line = ["fms_id", "managing_agency"]
+    members = tables["pid_links"].select("pid", *line, F.lit(False).alias("is_project")).unionByName(
+        tables["latest_project_state"].select("pid", F.lit(True).alias("is_project")),
+        allowMissingColumns=True,
     )
-    parts = matched.select(
-        "pid", "completion_date", "period_variance_days", "attributed_budget"
-    ).unionByName(
-        line_budgets.select(F.col("latest_budget").alias("line_budget")), allowMissingColumns=True
+    measures = ("completion_date", "period_variance_days", "attributed_budget")
+    matched = matching_projects(tables, wanted).select("pid", *measures)
+    kept = join_many_to_one(members, matched, ["pid"])
+    of_project = [F.when(F.col("is_project"), F.col(c)).alias(c) for c in ("pid", *measures)]
+    once = kept.select(*line, *of_project).distinct()
+    budgets = tables["lifetime_budget_variance"].select(*line, "latest_budget")
+    return (
+        join_many_to_one(once, budgets, line, "left")
+        .agg(
+            F.count("pid").alias("n_projects"),
+            money_sum(F.col("attributed_budget")).alias("attributed_budget_total"),
+            F.count("completion_date").alias("n_with_completion_date"),
+            F.count_if(F.col("period_variance_days") > 0).alias("n_delayed_this_period"),
+            money_sum(F.col("latest_budget")).alias("line_budget_total"),
+        )
+        .withColumn("truncated", F.col("n_projects") > _shown(n))
     )
-    return parts.agg(
-        F.count("pid").alias("n_projects"),
-        money_sum(F.col("attributed_budget")).alias("attributed_budget_total"),
-        F.count("completion_date").alias("n_with_completion_date"),
-        F.count_if(F.col("period_variance_days") > 0).alias("n_delayed_this_period"),
-        money_sum(F.col("line_budget")).alias("line_budget_total"),
-    ).withColumn("truncated", F.col("n_projects") > _shown(n))
