@@ -5,17 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from capfolio.llm.common import documents
+from capfolio.llm.common import documents, fold_of
 from capfolio.llm.exact_dedup import exact_duplicates
+from capfolio.llm.language_id import fit_languages, identify
+from capfolio.llm.line_dedup import drop_lines, keep_bitmaps
 
 
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(documents(spark, folder), digest_all=True)
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    reduced = drop_lines(docs, keep_bitmaps(docs))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return reduced.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", digest)
+
+
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text", "lang")
+    model = fit_languages(docs.where(F.coalesce(fold_of(F.col("doc_id")) != 0, F.lit(True))))
+    held_out = F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
+    return identify(docs, model).select("doc_id", held_out, "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -32,4 +51,21 @@ ORACLE_SQL: dict[str, str] = {
         FROM hashed
         WINDOW same AS (PARTITION BY text_sha256)
     """,
+    "op9_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+        ), keyed AS (
+            SELECT *, translate(
+                trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
+            FROM lines
+        ), frequent AS (
+            SELECT line_key FROM keyed WHERE line_key <> '' GROUP BY line_key HAVING count(DISTINCT doc_id) >= 10
+        )
+        SELECT doc_id, count(*) AS n_lines, count(f.line_key) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (f.line_key IS NULL), '')) AS kept_sha256
+        FROM keyed LEFT JOIN frequent f USING (line_key)
+        GROUP BY doc_id
+    """,
 }
