@@ -11,12 +11,18 @@ from capfolio.llm.common import documents, fold_of
 from capfolio.llm.exact_dedup import exact_duplicates
 from capfolio.llm.language_id import fit_languages, identify
 from capfolio.llm.line_dedup import drop_lines, keep_bitmaps
+from capfolio.llm.mixing import mix_sources
 
 
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(documents(spark, folder), digest_all=True)
 
 
+def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mix_sources(documents(spark, folder), weights=(5, 2, 1), most_copies=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
     reduced = drop_lines(docs, keep_bitmaps(docs))
@@ -33,6 +39,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op7_mix_sources": op7_mix_sources,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }
