@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from capfolio.llm.common import documents, fold_of
 from capfolio.llm.exact_dedup import exact_duplicates
+from capfolio.llm.fingerprints import fingerprint_edits
 from capfolio.llm.language_id import fit_languages, identify
 from capfolio.llm.line_dedup import drop_lines, keep_bitmaps
 from capfolio.llm.mixing import mix_sources
@@ -18,6 +19,10 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(documents(spark, folder), digest_all=True)
 
 
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint_edits(documents(spark, folder))
+
+
 def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix_sources(documents(spark, folder), weights=(5, 2, 1), most_copies=3)
     return mixed.select("doc_id", "size", "source_size", "target", "copies", "taken")
@@ -39,6 +44,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_fingerprints": op4_fingerprints,
     "op7_mix_sources": op7_mix_sources,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
