@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +14,20 @@ from capfolio.llm.fingerprints import fingerprint_edits
 from capfolio.llm.language_id import fit_languages, identify
 from capfolio.llm.line_dedup import drop_lines, keep_bitmaps
 from capfolio.llm.mixing import mix_sources
+from capfolio.llm.packing import pack_exact, pack_matrices, token_pieces
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(documents(spark, folder), digest_all=True)
 
 
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = token_pieces(documents(spark, folder), public_tokenizers.path(TOKENIZER), limit=4096, end_id=1)
+    return pack_exact(pieces, limit=4096)
+
+
 def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_edits(documents(spark, folder))
 
@@ -28,6 +37,10 @@ def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+def op8_token_matrices(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_matrices(documents(spark, folder), public_tokenizers.path(TOKENIZER), capacity=2048, end_id=1)
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
     reduced = drop_lines(docs, keep_bitmaps(docs))
@@ -44,8 +57,10 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_fingerprints": op4_fingerprints,
     "op7_mix_sources": op7_mix_sources,
+    "op8_token_matrices": op8_token_matrices,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }
