@@ -15,10 +15,18 @@ from capfolio.llm.language_id import fit_languages, identify
 from capfolio.llm.line_dedup import drop_lines, keep_bitmaps
 from capfolio.llm.mixing import mix_sources
 from capfolio.llm.packing import pack_exact, pack_matrices, token_pieces
+from capfolio.llm.suffix_tree import fit_suffix_tree, score_texts
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    held_out = F.coalesce(fold_of(F.col("doc_id")) == 1, F.lit(False))
+    model = fit_suffix_tree(docs.where(~held_out))
+    return score_texts(docs, model).withColumn("held_out", held_out)
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(documents(spark, folder), digest_all=True)
 
@@ -56,6 +64,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_tree": op1_suffix_tree,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_fingerprints": op4_fingerprints,
