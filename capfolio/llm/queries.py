@@ -14,6 +14,7 @@ from capfolio.llm.fingerprints import fingerprint_edits
 from capfolio.llm.language_id import fit_languages, identify
 from capfolio.llm.line_dedup import drop_lines, keep_bitmaps
 from capfolio.llm.mixing import mix_sources
+from capfolio.llm.near_dedup import near_duplicates
 from capfolio.llm.packing import pack_exact, pack_matrices, token_pieces
 from capfolio.llm.suffix_tree import fit_suffix_tree, score_texts
 
@@ -40,6 +41,10 @@ def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_edits(documents(spark, folder))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(documents(spark, folder))
+
+
 def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix_sources(documents(spark, folder), weights=(5, 2, 1), most_copies=3)
     return mixed.select("doc_id", "size", "source_size", "target", "copies", "taken")
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_fingerprints": op4_fingerprints,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_token_matrices": op8_token_matrices,
     "op9_line_dedup": op9_line_dedup,
