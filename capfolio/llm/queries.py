@@ -17,6 +17,7 @@ from capfolio.llm.mixing import mix_sources
 from capfolio.llm.near_dedup import near_duplicates
 from capfolio.llm.packing import pack_exact, pack_matrices, token_pieces
 from capfolio.llm.suffix_tree import fit_suffix_tree, score_texts
+from capfolio.llm.surrogates import replace_private
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -41,6 +42,10 @@ def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_edits(documents(spark, folder))
 
 
+def op5_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return replace_private(documents(spark, folder), key="capfolio-check").select("doc_id", "n_entities", "text")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder))
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_fingerprints": op4_fingerprints,
+    "op5_surrogates": op5_surrogates,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_token_matrices": op8_token_matrices,

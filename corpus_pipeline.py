@@ -4,12 +4,79 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from capfolio.llm.common import documents, scratch_folder
+from capfolio.llm.language_id import fit_languages, identify
+from capfolio.llm.line_dedup import drop_lines, keep_bitmaps
+from capfolio.llm.mixing import mix_sources
+from capfolio.llm.near_dedup import near_duplicates
+from capfolio.llm.packing import pack_exact, token_pieces
+
+LEAST_SCORE = 0.3
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def with_copy_number(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """``frame`` with ``copy``: 1, 2, ... for rows that agree in ``keys``."""
+    return frame.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)))
+
+
+def recounted(docs: DataFrame) -> DataFrame:
+    """The columns of documents, ``n_chars`` after the text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language. Rejected are texts without a letter, and texts of which less than
+    ``LEAST_SCORE`` of the letter n-grams belong to one language: no language at all, such as keys or markup."""
+    model = fit_languages(docs)
+    judged = identify(docs, model, keep=())
+    refused = judged.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select("text_hash").distinct()
+    marked = docs.select(*COLUMNS, F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_hash"))
+    return marked.join(refused, F.col("_hash") == F.col("text_hash"), "left_anti").select(*COLUMNS)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten documents or more have."""
+    return recounted(drop_lines(docs.select(*COLUMNS), keep_bitmaps(docs)))
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the least id, once if its row is repeated."""
+    stays = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+    own = docs.select(*COLUMNS)
+    kept = own.join(stays, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.union(own.where("doc_id IS NULL"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    keys = ["k1", "k2", "k3"]
+    mixed = mix_sources(docs).where("copies > 0").select(
+        F.xxhash64("doc_id").alias("k1"), F.col("text_hash").alias("k2"), F.xxhash64("source").alias("k3"), "copies"
+    )
+    own = docs.select(*COLUMNS, F.xxhash64("doc_id").alias("k1"), F.xxhash64("text").alias("k2"), F.xxhash64("source").alias("k3"))
+    taken = with_copy_number(own, keys).join(with_copy_number(mixed, keys), [*keys, "copy"])
+    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes in the training sequences."""
+    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), limit=4096, end_id=1)
+    return pack_exact(pieces, limit=4096)
+
 
 #: (name, function) in order; each function takes (spark, docs, folder of the input tables).
-STAGES: list = []
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_near),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
 #: Language scores, signatures, random rounding and packing have no SQL form; tests/llm compares with brute force.
 ORACLE_SQL = None
