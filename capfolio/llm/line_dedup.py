@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capfolio.llm.common import BLANKS, lower_ascii
+from capfolio.llm.common import BLANKS, cut, lower_ascii
 
 HOT_SHARE = 10_000
 
@@ -35,7 +35,7 @@ def keep_bitmaps(
     their lines if ``min_docs`` documents or more have them; with ``keep_first`` every key keeps its first line,
     by document and position, and loses the others instead.
 
-    Lines become (128-bit key hash, document, position), are range-partitioned by hash and sorted by document
+    Lines become (128-bit key hash, document, position), read from the texts once and kept; they are range-partitioned by hash and sorted by document
     and position inside; one pass over the sorted rows counts documents and finds first occurrences. A key with
     over 1 / 10 000 of all lines is hot: there are at most 10 000, so their list is broadcast, and their rows
     are dealt into slices by document whose counts are summed.
@@ -46,7 +46,7 @@ def keep_bitmaps(
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     key = line_key(F.col("line"))
-    lines = (
+    lines = cut(
         base.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
         .select("doc_id", "text_hash", "pos", key.alias("key"))
         .where(F.length("key") >= min_chars)
