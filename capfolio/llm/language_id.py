@@ -68,29 +68,21 @@ def fit_languages(
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     languages = tuple(sorted(sizes))
     spark = docs.sparkSession
+    names = F.array(*map(F.lit, languages)) if languages else F.array().cast("array<string>")
     order = F.xxhash64("text")
-    picks = [
-        labelled.where(F.col("lang") == name).select("lang", order.alias("order")).orderBy("order").limit(sample_rows)
+    bounds = [
+        labelled.where(F.col("lang") == name).select(order.alias("order")).orderBy("order").limit(sample_rows)
+        .agg(F.max("order")).first()[0] if sizes[name] > sample_rows else (1 << 63) - 1
         for name in languages
-        if sizes[name] > sample_rows
     ]
-    sample = labelled
-    if picks:
-        bounds = {}
-        for name, pick in zip([n for n in languages if sizes[n] > sample_rows], picks, strict=True):
-            bounds[name] = pick.agg(F.max("order")).first()[0]
-        bound = F.lit(None).cast("long")
-        for name, top in bounds.items():
-            bound = F.when(F.col("lang") == name, F.lit(top)).otherwise(bound)
-        sample = labelled.where(F.coalesce(order <= bound, F.lit(True)))
+    limits = F.array(*map(F.lit, bounds)).cast("array<long>")
+    sample = labelled.where(order <= F.get(limits, F.array_position(names, F.col("lang")).cast("int") - 1))
     counts = with_grams(sample, "text", ["lang"]).where("gram IS NOT NULL").groupBy("lang", "gram").count()
     totals = counts.groupBy("lang").agg(F.sum("count").alias("total"))
     shares = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("count") / F.col("total")).where(F.col("share") >= min_share)
     tops = shares.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share")).alias("each"))
     members = tops.select("gram", "top", F.explode("each").alias("e")).where(F.col("e.share") >= F.col("top") * likeness)
-    index = F.lit(None).cast("int")
-    for number, name in enumerate(languages):
-        index = F.when(F.col("e.lang") == name, F.lit(number)).otherwise(index)
+    index = (F.array_position(names, F.col("e.lang")) - 1).cast("int")
     set_bits = members.select("gram", index.alias("language")).select(
         F.explode(F.array(*[cell_of(F.col("gram"), k, cells) for k in range(hashes)])).alias("cell"),
         F.floor(F.col("language") / MASK_BITS).cast("int").alias("slice"),
@@ -114,7 +106,7 @@ def fit_languages(
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, text_hash, lang_pred and score: one row per row of ``docs``.
+    """``keep``, text_hash, lang_pred, score and n_grams: one row per row of ``docs``.
 
     Each n-gram's look-up returns the set of languages containing it; hits are counted per language, corrected
     for the filter's false positive rate ``f`` as ``(hits - f n) / (1 - f)``, and the largest count wins (of
@@ -150,16 +142,18 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
         F.greatest((F.col(f"_h{n}") - F.get(rates, F.lit(n)) * F.col("_n")) / (1 - F.get(rates, F.lit(n))), F.lit(0.0))
         for n in range(len(model.languages))
     ]
-    best = F.greatest(*corrected, F.lit(0.0)) if corrected else F.lit(0.0)
-    chosen = F.lit(model.usual)
-    for number in reversed(range(len(model.languages))):
-        chosen = F.when((F.col("_best") > 0) & (corrected[number] == F.col("_best")), F.lit(model.languages[number])).otherwise(chosen)
+    judged = counted.withColumn("_hits", F.array(*corrected).cast("array<double>")).withColumn(
+        "_best", F.coalesce(F.array_max("_hits"), F.lit(0.0))
+    )
+    names_of = F.array(*map(F.lit, model.languages)).cast("array<string>")
+    first = F.get(names_of, F.array_position("_hits", F.col("_best")).cast("int") - 1)
+    chosen = F.when(F.col("_best") > 0, first).otherwise(F.lit(model.usual))
     blank = (F.col("_n") == 0) | F.lit(not model.languages)
-    judged = counted.withColumn("_best", best)
     return judged.select(
         *[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)],
         "text_hash",
         F.when(blank, F.lit("und")).otherwise(chosen).alias("lang_pred"),
         F.when(blank, F.lit(0.0)).otherwise(F.least(F.col("_best") / F.col("_n"), F.lit(1.0))).alias("score"),
+        F.col("_n").alias("n_grams"),
         F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int"))).alias("_copy"),
     ).drop("_copy")

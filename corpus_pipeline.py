@@ -16,6 +16,7 @@ from capfolio.llm.near_dedup import near_duplicates
 from capfolio.llm.packing import pack_exact, token_pieces
 
 LEAST_SCORE = 0.3
+ENOUGH_GRAMS = 40
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -30,11 +31,11 @@ def recounted(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language. Rejected are texts without a letter, and texts of which less than
-    ``LEAST_SCORE`` of the letter n-grams belong to one language: no language at all, such as keys or markup."""
+    """Documents in a known language. Rejected are texts without a letter, and texts with ``ENOUGH_GRAMS`` letter
+    n-grams or more of which less than ``LEAST_SCORE`` belong to one language: no language at all, such as keys."""
     model = fit_languages(docs)
     judged = identify(docs, model, keep=())
-    refused = judged.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select("text_hash").distinct()
+    refused = judged.where((F.col("lang_pred") == "und") | ((F.col("score") < LEAST_SCORE) & (F.col("n_grams") >= ENOUGH_GRAMS))).select("text_hash").distinct()
     marked = docs.select(*COLUMNS, F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_hash"))
     return marked.join(refused, F.col("_hash") == F.col("text_hash"), "left_anti").select(*COLUMNS)
 
