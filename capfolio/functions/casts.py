@@ -38,6 +38,27 @@ def to_date(text: Column) -> Column:
     return F.when(second_hyphen > 0, text.try_cast("date"))
 
 
+def exact_money(amount: Column) -> Column:
+    """The amount as DECIMAL, NULL where that type cannot hold it (NaN, infinity, 1e22 and beyond)."""
+    return amount.try_cast(MONEY)
+
+
+def beyond_money(amount: Column) -> Column:
+    """The amount where ``exact_money`` cannot hold it, else NULL."""
+    return F.when(exact_money(amount).isNull(), amount)
+
+
+def money_total(exact: Column, beyond: Column) -> Column:
+    """Both parts of a sum as one DOUBLE; NULL only if neither has a value."""
+    return F.when(beyond.isNull(), exact.cast("double")).otherwise(
+        F.coalesce(exact.cast("double"), F.lit(0.0)) + beyond
+    )
+
+
 def money_sum(amount: Column) -> Column:
-    """Order-independent sum of a DOUBLE money column, as DOUBLE."""
-    return F.sum(amount.try_cast(MONEY)).cast("double")
+    """Sum of a DOUBLE money column, as DOUBLE.
+
+    Amounts that DECIMAL holds are summed exactly, so row order does not matter; all others are summed as DOUBLE and
+    added, so that no amount is lost and NaN stays NaN.
+    """
+    return money_total(F.sum(exact_money(amount)), F.sum(beyond_money(amount)))

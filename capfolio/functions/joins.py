@@ -27,6 +27,9 @@ def join_many_to_one(
     NULL keys match only if ``null_matches``.
     """
     side = one if null_matches else one.dropna(subset=list(keys))
+    if not null_matches and how in ("inner", "left_semi"):
+        # Rows without a key cannot match; dropped here, they are not all shuffled to one partition.
+        many = many.dropna(subset=list(keys))
     side = side.withColumnsRenamed({k: f"one_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"one_{k}")) for k in keys]
     joined = many.join(side, same, how)

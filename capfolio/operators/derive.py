@@ -17,8 +17,16 @@ MAX_VARIANCE_DAYS = 36500
 LOCATION_INPUT = ("reporting_period", "fms_id", "managing_agency", "borough", "community_board")
 
 
-def within_variance_guard(days):
-    return days.between(-MAX_VARIANCE_DAYS, MAX_VARIANCE_DAYS)
+def within_variance_guard(days, most: int = MAX_VARIANCE_DAYS):
+    return days.between(-most, most)
+
+
+def variances_left_out(history: DataFrame, most: int = MAX_VARIANCE_DAYS) -> DataFrame:
+    """Per period, how many variances the guard keeps out of sums and ranks."""
+    outside = ~within_variance_guard(F.col("variance_day"), most)
+    return history.groupBy("reporting_period").agg(
+        F.count("variance_day").alias("n_variances"), F.count_if(outside).alias("n_left_out")
+    )
 
 
 def pid_links(edges: DataFrame) -> DataFrame:

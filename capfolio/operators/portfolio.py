@@ -14,8 +14,6 @@ from capfolio.operators.ranking import pids_in_category
 from capfolio.operators.scope import one_of, scoped
 
 LIFECYCLES = ("in_progress", "completed", "cancelled")
-# Fixed value: most rows one listing may show.
-MAX_ROWS = 500
 
 
 @dataclass(frozen=True)
@@ -30,10 +28,6 @@ class PortfolioFilter:
     agency_role: str = "auto"
 
 
-def _shown(n: int) -> int:
-    return max(1, min(int(n), MAX_ROWS))
-
-
 def matching_projects(tables, wanted: PortfolioFilter) -> DataFrame:
     rows = tables["latest_project_state"]
     if wanted.lifecycle_status is not None:
@@ -54,9 +48,9 @@ def matching_projects(tables, wanted: PortfolioFilter) -> DataFrame:
     return rows
 
 
-def portfolio_rows(tables, wanted: PortfolioFilter = PortfolioFilter(), n: int = 50) -> DataFrame:
-    """Matching schedules, nearest completion first, undated ones last."""
-    return (
+def portfolio_rows(tables, wanted: PortfolioFilter = PortfolioFilter(), n: int | None = None) -> DataFrame:
+    """Matching schedules, nearest completion first, undated ones last; all, or the first ``n``."""
+    rows = (
         matching_projects(tables, wanted)
         .select(
             "pid", "agency_project_name", "managing_agency", "sponsor_agency", "borough",
@@ -66,12 +60,12 @@ def portfolio_rows(tables, wanted: PortfolioFilter = PortfolioFilter(), n: int =
             "attributed_budget",
         )
         .orderBy(F.asc_nulls_last("completion_date"), "pid")
-        .limit(_shown(n))
     )
+    return rows if n is None else rows.limit(max(1, int(n)))
 
 
-def portfolio_summary(tables, wanted: PortfolioFilter = PortfolioFilter(), n: int = 50) -> DataFrame:
-    """One row over every matching schedule, however many are listed.
+def portfolio_summary(tables, wanted: PortfolioFilter = PortfolioFilter(), n: int | None = None) -> DataFrame:
+    """One row over every matching schedule; ``truncated`` tells whether a listing of ``n`` would cut some.
 
     ``attributed_budget_total`` counts a shared line once per schedule it funds;
     ``line_budget_total`` counts each line once. One row per schedule and one per link meet
@@ -97,5 +91,5 @@ def portfolio_summary(tables, wanted: PortfolioFilter = PortfolioFilter(), n: in
             F.count_if(F.col("period_variance_days") > 0).alias("n_delayed_this_period"),
             money_sum(F.col("latest_budget")).alias("line_budget_total"),
         )
-        .withColumn("truncated", F.col("n_projects") > _shown(n))
+        .withColumn("truncated", (F.col("n_projects") > max(1, int(n))) if n is not None else F.lit(False))
     )

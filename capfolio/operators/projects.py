@@ -9,16 +9,14 @@ from capfolio.functions.joins import join_many_to_one
 from capfolio.functions.signs import direction, link_caveat
 from capfolio.functions.text import contains_text, same_text
 
-# Fixed value: most matches one look-up returns per side.
-MAX_MATCHES = 50
-
 BUDGET_LOOKUP_INPUT = ("fms_id", "managing_agency", "fms_project_name")
 
 
-def find_schedules(tables, query: str, limit: int = MAX_MATCHES) -> DataFrame:
+def find_schedules(tables, query: str, limit: int | None = None) -> DataFrame:
     """Schedules whose id equals, or whose name or description contains, the text.
 
-    Each is shown by its newest matching snapshot, with the field that matched there.
+    Each is shown by its newest matching snapshot, with the field that matched there. All matches are returned
+    unless the caller gives a ``limit``.
     """
     by_id = same_text(F.col("pid"), query)
     by_name = contains_text(F.col("agency_project_name"), query)
@@ -34,7 +32,7 @@ def find_schedules(tables, query: str, limit: int = MAX_MATCHES) -> DataFrame:
             "lifecycle_status", field.alias("matched_field"),
         )
     )
-    return (
+    found = (
         tables["schedule_history"]
         .where(by_id | by_name | by_description)
         .groupBy("pid")
@@ -42,23 +40,23 @@ def find_schedules(tables, query: str, limit: int = MAX_MATCHES) -> DataFrame:
         .select("pid", "m.*")
         .drop("reporting_period")
         .orderBy("pid")
-        .limit(limit)
     )
+    return found if limit is None else found.limit(limit)
 
 
-def find_budget_lines(tables, query: str, limit: int = MAX_MATCHES) -> DataFrame:
-    """Distinct detail lines whose id equals, or whose name contains, the text."""
+def find_budget_lines(tables, query: str, limit: int | None = None) -> DataFrame:
+    """Distinct detail lines whose id equals, or whose name contains, the text; all, or ``limit``."""
     by_id = same_text(F.col("fms_id"), query)
     by_name = contains_text(F.col("fms_project_name"), query)
     ids = ("fms_id", "managing_agency", "fms_project_name")
-    return (
+    found = (
         tables.raw("raw_project_detail", BUDGET_LOOKUP_INPUT)
         .where(by_id | by_name)
         .select(*ids, F.when(by_id, "fms_id").otherwise("fms_project_name").alias("matched_field"))
         .distinct()
         .orderBy(*[F.asc_nulls_last(c) for c in ids])
-        .limit(limit)
     )
+    return found if limit is None else found.limit(limit)
 
 
 def schedule_links(tables, pid: str | None = None) -> DataFrame:

@@ -52,6 +52,7 @@ def rank_projects(
 ) -> DataFrame:
     """The ``n`` best or worst rows; ties go by id. A bounded heap per task, no full sort."""
     one_of("entity", entity, ENTITIES)
+    one_of("direction", direction, ("top", "bottom"))
     scope = resolve_scope(tables, agency, agency_role, entity) if agency is not None else None
     rank = _rank_schedules if entity == "schedule" else _rank_lines
     rows, ids = rank(

@@ -6,13 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from capfolio.functions.casts import MONEY, money_sum
+from capfolio.functions.casts import beyond_money, exact_money, money_sum, money_total
 from capfolio.functions.joins import join_many_to_one
 from capfolio.functions.signs import direction
 
-# Number of value bands the concentration curve is cut into for parallel running sums.
-BANDS = 256
-
 
 def fan_out(tables, period: str = "current") -> DataFrame:
     """How many schedules and lines are linked once or several times, by side and agency."""
@@ -45,32 +42,36 @@ def fan_out_extremes(tables, period: str = "current", n: int = 20) -> DataFrame:
     )
 
 
-def budget_concentration(tables) -> DataFrame:
+def budget_concentration(tables, bands: int = 256) -> DataFrame:
     """Cumulative share of budget by descending line budget, one row per distinct budget.
 
     Lines of equal budget are first folded into one row. The running sums are then done in
-    two levels, so no task sorts more than one band: bands are cut at approximate
-    quantiles (at most ``BANDS`` numbers, fetched once so both levels use the same cuts),
-    band totals are summed up in order, and each band adds its own running sum.
+    two levels, so no task sorts more than one of ``bands``: bands are cut at approximate
+    quantiles (a scalar subquery, so both levels use the same cuts and nothing runs while planning),
+    band totals are summed up in order, and each band adds its own running sum. Take more bands for more data:
+    a task sorts the distinct budgets of one.
     """
     lines = tables["lifetime_budget_variance"].where(F.col("latest_budget").isNotNull())
     steps = lines.groupBy("latest_budget").agg(
         F.count("*").alias("n_lines"),
-        F.sum(F.col("latest_budget").try_cast(MONEY)).alias("amount"),
+        F.sum(exact_money(F.col("latest_budget"))).alias("amount"),
+        F.sum(beyond_money(F.col("latest_budget"))).alias("beyond"),
     )
-    quantiles = [i / BANDS for i in range(1, BANDS)]
-    cuts = steps.agg(F.percentile_approx("latest_budget", quantiles).alias("c")).first()["c"] or []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>")
-    banded = steps.withColumn("band", F.size(F.filter(bounds, lambda c: c > F.col("latest_budget"))))
+    quantiles = [i / bands for i in range(1, bands)] or [1.0]
+    cuts = steps.agg(F.array_distinct(F.percentile_approx("latest_budget", quantiles)).alias("c")).scalar()
+    higher = F.size(F.filter("cuts", lambda c: c > F.col("latest_budget")))
+    banded = steps.withColumn("cuts", cuts).withColumn("band", higher).drop("cuts")
     before = W.orderBy("band").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy()
     offsets = banded.groupBy("band").agg(
-        F.sum("n_lines").alias("band_lines"), F.sum("amount").alias("band_amount")
+        F.sum("n_lines").alias("band_lines"), F.sum("amount").alias("band_amount"),
+        F.sum("beyond").alias("band_beyond"),
     ).select(
         "band",
         F.coalesce(F.sum("band_lines").over(before), F.lit(0)).alias("lines_before"),
         F.coalesce(F.sum("band_amount").over(before), F.lit(0)).alias("amount_before"),
-        F.sum("band_amount").over(whole).alias("total"),
+        F.sum("band_beyond").over(before).alias("beyond_before"),
+        money_total(F.sum("band_amount").over(whole), F.sum("band_beyond").over(whole)).alias("total"),
     )
     inside = W.partitionBy("band").orderBy(F.desc("latest_budget")).rowsBetween(
         W.unboundedPreceding, W.currentRow
@@ -78,13 +79,15 @@ def budget_concentration(tables) -> DataFrame:
     running = banded.select(
         "band", "latest_budget", "n_lines",
         F.sum("n_lines").over(inside).alias("l"), F.sum("amount").over(inside).alias("a"),
+        F.sum("beyond").over(inside).alias("b"),
     ).join(offsets, "band")
-    cumulative = (F.col("amount_before") + F.col("a")).cast("double")
+    beyond = F.coalesce(F.col("beyond_before") + F.col("b"), "beyond_before", "b")
+    cumulative = money_total(F.col("amount_before") + F.coalesce("a", F.lit(0)), beyond)
     return running.select(
         "latest_budget", "n_lines",
         (F.col("lines_before") + F.col("l")).alias("cumulative_lines"),
         cumulative.alias("cumulative_budget"),
-        F.round(cumulative / F.col("total").cast("double"), 6).alias("cumulative_share"),
+        F.round(cumulative / F.nullif("total", F.lit(0.0)), 6).alias("cumulative_share"),
     )
 
 

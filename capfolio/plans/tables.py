@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +29,8 @@ class Tables:
     """Tables by name, each planned on first use and built only when something reads it.
 
     ``built`` maps names to already materialized DataFrames (a published snapshot); those
-    are read instead of being planned again.
+    are read instead of being planned again. ``newest_periods`` are the greatest periods such a
+    snapshot has recorded for them.
     """
 
     def __init__(
@@ -39,12 +40,14 @@ class Tables:
         agencies: Iterable[Agency] = (),
         taxonomy: Taxonomy = DEFAULT_TAXONOMY,
         built: dict[str, DataFrame] | None = None,
+        newest_periods: dict[str, str | None] | None = None,
     ):
         self.spark = spark
         self.source = source
         self.taxonomy = taxonomy
         self._agencies = tuple(agencies)
         self._built = dict(built or {})
+        self._newest_periods = dict(newest_periods or {})
         self._planned: dict[str, DataFrame] = {}
 
     def raw(
@@ -83,6 +86,8 @@ class Tables:
         """
         if period != "current":
             return F.lit(period)
+        if table in self._newest_periods:
+            return F.lit(self._newest_periods[table]).cast("string")
         if table in self._built:
             newest = self._built[table].agg(F.max("reporting_period"))
         elif table == "schedule_history":
@@ -99,12 +104,16 @@ class Tables:
             rows = self.raw("raw_project_detail", ("reporting_period",), ("pid",))
         return not rows.where(F.col("reporting_period") == period).isEmpty()
 
-    def register_views(self, wanted: Callable[[str], bool] = lambda name: True) -> None:
-        """Temporary views over the wanted raw and derived tables."""
-        for table in filter(wanted, RAW_COLUMNS):
-            self.raw(table, RAW_COLUMNS[table]).createOrReplaceTempView(table)
-        for name in filter(wanted, (*NORMALIZED, *ANALYTIC)):
-            self[name].createOrReplaceTempView(name)
+    def names(self) -> tuple[str, ...]:
+        """Every raw and derived table by name."""
+        return (*RAW_COLUMNS, *NORMALIZED, *ANALYTIC)
+
+    def view(self, name: str) -> DataFrame:
+        """A raw or derived table with all its columns."""
+        return self.raw(name, RAW_COLUMNS[name]) if name in RAW_COLUMNS else self[name]
+
+    def has_built(self, name: str) -> bool:
+        return name in self._built
 
     # -- normalized ---------------------------------------------------------------
 

@@ -7,7 +7,9 @@ build that fails leaves files nobody reads, and the previous snapshot stays in u
 
 from __future__ import annotations
 
+import hashlib
 import json
+import time
 from collections.abc import Iterable
 from datetime import datetime, timezone
 from uuid import uuid4
@@ -21,11 +23,17 @@ from capfolio.operators.lookup import dataset_info
 from capfolio.plans.tables import ANALYTIC, NORMALIZED, PERIOD_GRAIN, Tables
 from capfolio.sources.dictionaries import DEFAULT_TAXONOMY, Agency, Taxonomy
 from capfolio.sources.raw import FrameSource, period_column
-from capfolio.sources.schemas import RAW_COLUMNS
+from capfolio.sources.schemas import DATASETS, RAW_COLUMNS
 
 _MANIFEST = pa.schema(
-    [("snapshot", pa.string()), ("table", pa.string()), ("path", pa.string()), ("layout", pa.string())]
+    [
+        ("snapshot", pa.string()), ("table", pa.string()), ("path", pa.string()), ("layout", pa.string()),
+        ("published_at", pa.int64()), ("newest_period", pa.string()), ("column_hash", pa.string()),
+        ("schema_version", pa.int32()),
+    ]
 )
+# Raised when published tables change in a way that older readers would misread.
+SCHEMA_VERSION = 1
 
 
 def new_snapshot_id() -> str:
@@ -33,6 +41,11 @@ def new_snapshot_id() -> str:
     return f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S}-{uuid4().hex[:6]}"
 
 
+def column_hash(columns: Iterable[str]) -> str:
+    """Digest of column names in order; tells whether a snapshot has the raw layout that this code declares."""
+    return hashlib.sha256("\n".join(columns).encode()).hexdigest()
+
+
 def _write(frame: DataFrame, path: str, partition: str | None) -> DataFrame:
     """Write and reopen with the same schema (a partition value would be read as a number).
 
@@ -73,13 +86,22 @@ def publish(
     for name in (*NORMALIZED, *ANALYTIC):
         partition = "reporting_period" if name in PERIOD_GRAIN else None
         staged.use(name, keep(name, staged[name], partition))
-    stamped = dataset_info(staged, rows_updated_at).withColumn(
-        "ingest_completed_at", F.current_timestamp()
-    )
-    keep("meta", stamped)
+    layout = F.create_map(*[F.lit(x) for d in DATASETS for x in (d.dataset_id, column_hash(RAW_COLUMNS[d.table]))])
+    keep("meta", dataset_info(staged, rows_updated_at).select(
+        "*",
+        F.current_timestamp().alias("ingest_completed_at"),
+        layout[F.col("dataset_id")].alias("column_hash"),
+        F.lit(SCHEMA_VERSION).alias("schema_version"),
+    ))
+    newest = {n: written[n].agg(F.max("reporting_period")).first()[0] for n in PERIOD_GRAIN}
+    published_at = time.time_ns() // 1000
 
     rows = [
-        {"snapshot": snapshot, "table": n, "path": f"{folder}/{n}", "layout": f.schema.json()}
+        {
+            "snapshot": snapshot, "table": n, "path": f"{folder}/{n}", "layout": f.schema.json(),
+            "published_at": published_at, "newest_period": newest.get(n), "column_hash": column_hash(f.columns),
+            "schema_version": SCHEMA_VERSION,
+        }
         for n, f in written.items()
     ]
     manifest = spark.createDataFrame(pa.Table.from_pylist(rows, schema=_MANIFEST))
@@ -94,18 +116,28 @@ def open_published(
     taxonomy: Taxonomy = DEFAULT_TAXONOMY,
     snapshot: str | None = None,
 ) -> Tables:
-    """The newest complete snapshot (or a given one) as tables."""
+    """The snapshot published last (or a given one) as tables.
+
+    ValueError if there is none, or if it was written with another raw layout or schema version.
+    """
     manifest = spark.read.schema(
-        "snapshot string, `table` string, path string, layout string"
+        "snapshot string, `table` string, path string, layout string, published_at bigint, newest_period string, "
+        "column_hash string, schema_version int"
     ).parquet(f"{base.rstrip('/')}/manifest")
     if snapshot is None:
-        snapshot = manifest.agg(F.max("snapshot")).first()[0]
+        latest = manifest.orderBy(F.desc_nulls_last("published_at"), F.desc("snapshot")).select("snapshot").first()
+        snapshot = latest["snapshot"] if latest else None
     entries = manifest.where(F.col("snapshot") == snapshot).collect()
     if not entries:
         raise ValueError(f"no complete snapshot {snapshot!r} under {base}")
+    hashes = {e["table"]: e["column_hash"] for e in entries}
+    other = [t for t, columns in RAW_COLUMNS.items() if hashes.get(t) != column_hash(columns)]
+    if other or any(e["schema_version"] != SCHEMA_VERSION for e in entries):
+        raise ValueError(f"snapshot {snapshot!r} has another layout: {', '.join(other) or 'schema version'}")
     opened = {
         e["table"]: _open(spark, e["path"], T.StructType.fromJson(json.loads(e["layout"])))
         for e in entries
     }
     raw = FrameSource({name: opened.pop(name) for name in RAW_COLUMNS})
-    return Tables(spark, raw, agencies, taxonomy, built=opened)
+    newest = {e["table"]: e["newest_period"] for e in entries if e["table"] in PERIOD_GRAIN}
+    return Tables(spark, raw, agencies, taxonomy, built=opened, newest_periods=newest)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Agencies that run schedules.
 SCHEDULE_EXECUTORS = frozenset(
-    "DDC EDC DEP DOT DPR DOC CUNY NYPD FDNY DCAS DHS DOHMH DSNY".split()
+    ["DDC", "EDC", "DEP", "DOT", "DPR", "DOC", "CUNY", "NYPD", "FDNY", "DCAS", "DHS", "DOHMH", "DSNY"]
 )
 
 _AGENCY_LAYOUT = pa.schema(

@@ -83,14 +83,14 @@ def check_header(spark: SparkSession, table: str, path: str) -> None:
 
 
 def read_raw_csv(
-    spark: SparkSession, table: str, path: str, *, multi_line: bool = True
+    spark: SparkSession, table: str, path: str, *, multi_line: bool = False
 ) -> DataFrame:
     """One raw table from CSV: every column text, empty means NULL.
 
     The first file's header is checked here; Spark checks each file's again while reading
-    (``enforceSchema=False``). ``multi_line`` allows line breaks inside quotes but reads a
-    file in one task, so large loads should come as many files, or as one-line records
-    with ``multi_line=False``, which splits files.
+    (``enforceSchema=False``). Files are split over tasks at line ends, so a record is one line; a quoted
+    line break makes a record with missing columns, which fails the read instead of being misread.
+    ``multi_line`` allows such breaks but reads a file in one task: give those loads many files.
     """
     check_header(spark, table, path)
     return (
@@ -105,7 +105,7 @@ def read_raw_csv(
     )
 
 
-def csv_source(spark: SparkSession, paths: dict[str, str], *, multi_line: bool = True) -> FrameSource:
+def csv_source(spark: SparkSession, paths: dict[str, str], *, multi_line: bool = False) -> FrameSource:
     """All four raw tables from CSV paths keyed by table name."""
     return FrameSource(
         {t: read_raw_csv(spark, t, paths[t], multi_line=multi_line) for t in RAW_COLUMNS}

@@ -7,7 +7,6 @@ are planned, so a query on budgets never touches orders or customers.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
@@ -164,22 +163,11 @@ class StarSource:
             self._opened[name] = reader.parquet(f"{self._folder}/{name}.parquet")
         return self._opened[name]
 
-    def _line_items(self) -> DataFrame:
-        """Line items; a lone local file (one scan task) is spread over the cores first.
-
-        A dataset of many files, or on a shared store, is already read in parallel and is
-        left as it is.
-        """
-        rows = self._table("lineitem")
-        if os.path.isfile(f"{self._folder}/lineitem.parquet"):
-            rows = rows.repartition(self._spark.sparkContext.defaultParallelism, "l_orderkey")
-        return rows
-
     def _items(
         self, *, orders: bool = False, customer: bool = False, region: bool = False,
         part: bool = False,
     ) -> DataFrame:
-        rows = self._line_items()
+        rows = self._table("lineitem")
         if region:
             # One dimension at a time: Spark sizes a join of dimensions as their product,
             # and would rather broadcast the line items than that.
@@ -212,7 +200,11 @@ class StarSource:
         return required(frame, kept, is_null).select(*columns)
 
     def latest_cadence_period(self, table: str, not_null: Sequence[str] = ()) -> DataFrame:
-        """Grouping never adds or drops a period, so the line items alone decide."""
+        """Grouping never adds or drops a period, so the line items alone decide.
+
+        As everywhere in this mapping, keys are taken to be valid: joins are planned only for columns that are asked
+        for, so a line item without its order or part still counts where none of them is.
+        """
         rows = self._table("lineitem")
         if table == "raw_schedule_history" or "pid" in not_null:
             rows = rows.where(_has_schedule())
