@@ -1,5 +1,6 @@
 import pytest
-from fixtures import BASE_BUDGET, BASE_DETAIL, base, keyed
+from compare import plan_of
+from fixtures import BEFORE, NOW, TOWN_BUDGET, TOWN_DETAIL, keyed, town
 from pyspark.sql import functions as F
 
 from capfolio.operators.breakdowns import budget_breakdown, schedule_breakdown
@@ -19,11 +20,28 @@ def test_csv_is_text_with_quotes_breaks_and_blanks(spark, tmp_path):
     path = tmp_path / "sched.csv"
     path.write_text(
         "\ufeff" + ",".join(COLUMNS) + "\n"
-        '202601,DDC,101,"Park, ""North""\nEntrance",Construction,,Forecast,045,"",2026-01-01\n'
+        '202109,BLD,dyke,"Sea wall, ""old""\nsection",Design,,Actual,007,"",2021-10-02\n'
     )
-    row = read_raw_csv(spark, "raw_schedule_history", str(path)).first()
-    assert (row.reporting_period, row.agency_project_name) == ("202601", 'Park, "North"\nEntrance')
-    assert (row.completion_date, row.variance_day, row.reason_for_forecast_completion_change) == (None, "045", None)
+    row = read_raw_csv(spark, "raw_schedule_history", str(path), multi_line=True).first()
+    assert (row.reporting_period, row.agency_project_name) == ("202109", 'Sea wall, "old"\nsection')
+    assert (row.completion_date, row.variance_day, row.reason_for_forecast_completion_change) == (None, "007", None)
+    # read line by line, such a record fails instead of being misread
+    with pytest.raises(Exception):
+        read_raw_csv(spark, "raw_schedule_history", str(path)).collect()
+
+
+def test_csv_of_one_line_records_is_split(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    line = '202109,BLD,s{},"Wall, ""{}""",Design,,Actual,1,,2021-10-02\n'
+    path.write_text(",".join(COLUMNS) + "\n" + "".join(line.format(i, i) for i in range(4000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+    try:
+        frame = read_raw_csv(spark, "raw_schedule_history", str(path))
+        assert frame.rdd.getNumPartitions() > 1
+        assert frame.count() == frame.select("pid").distinct().count() == 4000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_reordered_header_is_rejected(spark, tmp_path):
@@ -43,12 +61,12 @@ def test_every_file_of_a_folder_is_checked(spark, tmp_path):
 
 
 def test_publish_and_reopen(spark, tmp_path):
-    t = base(spark)
+    t = town(spark)
     with pytest.raises(Exception):
         open_published(spark, str(tmp_path))
-    first = publish(t, str(tmp_path), "20260101T000000-a")
-    second = publish(t, str(tmp_path))
-    assert first < second
+    first = publish(t, str(tmp_path), "zz-named")
+    second = publish(t, str(tmp_path), rows_updated_at={"gyhf-rsr3": 5})
+    assert first > second  # what counts is when they were published
     again = open_published(spark, str(tmp_path), (), snapshot=first)
     newest = open_published(spark, str(tmp_path))
     for name in (*NORMALIZED, *ANALYTIC):
@@ -57,18 +75,20 @@ def test_publish_and_reopen(spark, tmp_path):
         assert sorted(map(repr, left.collect())) == sorted(map(repr, right.collect())), name
         assert again[name].count() == left.count()
     # operators read the snapshot's files
-    assert budget_breakdown(newest).first().value == 350.0
+    assert budget_breakdown(newest).first().value == 565.0
     assert schedule_breakdown(newest, "managing_agency").first().n == 2
-    assert keyed(schedule_detail(newest), "pid")["101"].n_linked == 2
-    assert schedule_changes(newest, "delayed", "202509", "202601").first().pid == "101"
+    assert keyed(schedule_detail(newest), "pid")["quay"].n_linked == 3
+    assert schedule_changes(newest, "delayed", BEFORE, NOW).first().pid == "quay"
     assert newest["meta"].where(F.col("ingest_completed_at").isNotNull()).count() == 4
-    assert dataset_info(newest).count() == 4
-    assert newest.raw("raw_project_detail", ("pid",)).count() == len(BASE_DETAIL)
-    assert newest.raw("raw_budget_history", ("fms_id",)).count() == len(BASE_BUDGET)
+    assert {r.rows_updated_at for r in dataset_info(newest).collect()} == {None, 5}
+    assert "raw_" not in plan_of(dataset_info(newest))
+    assert "raw_" not in plan_of(budget_breakdown(newest)) and "max(reporting_period" not in plan_of(budget_breakdown(newest))
+    assert newest.raw("raw_project_detail", ("pid",)).count() == len(TOWN_DETAIL)
+    assert newest.raw("raw_budget_history", ("fms_id",)).count() == len(TOWN_BUDGET)
 
 
 def test_unfinished_snapshot_is_invisible(spark, tmp_path):
-    t = base(spark)
+    t = town(spark)
     done = publish(t, str(tmp_path), "20260101T000000-a")
     t["budget_history"].write.parquet(str(tmp_path / "snapshot=20270101T000000-b" / "budget_history"))
     assert open_published(spark, str(tmp_path))["budget_history"].count() == 4
@@ -78,12 +98,19 @@ def test_unfinished_snapshot_is_invisible(spark, tmp_path):
         publish(t, str(tmp_path), done)
 
 
+def test_snapshot_of_another_layout_is_refused(spark, tmp_path, monkeypatch):
+    publish(town(spark), str(tmp_path))
+    monkeypatch.setitem(RAW_COLUMNS, "raw_budget_fy", ["fms_id", "city"])
+    with pytest.raises(ValueError, match="raw_budget_fy"):
+        open_published(spark, str(tmp_path))
+
+
 def test_exports(spark, tmp_path):
-    state = base(spark)["latest_project_state"]
+    state = town(spark)["latest_project_state"]
     first, second = export_csv(state, str(tmp_path)), export_csv(state, str(tmp_path))
     assert first != second
     back = spark.read.option("header", True).option("escape", '"').csv(first)
-    assert back.count() == 2 and back.where("pid = '101'").first().boroughs == '["K"]'
+    assert back.count() == 2 and back.where("pid = 'quay'").first().boroughs == '["North"]'
     out = export_with_methodology(state, str(tmp_path), {"definition": "d", "n": 2})
     assert spark.read.parquet(f"{out}/data").count() == 2
     notes = spark.read.option("header", True).csv(f"{out}/methodology").collect()

@@ -1,27 +1,27 @@
 import pytest
 from fixtures import (
-    ADOPTED, CATEGORY_BUDGET, CATEGORY_DETAIL, ROLE_BUDGET, ROLE_DETAIL, SHARED_BUDGET, SHARED_DETAIL,
-    base, budget, column, detail, keyed, schedule, tables,
+    BEFORE, FIRST, GROWN, NOW, OWNED_BUDGET, OWNED_DETAIL, SHARED_BUDGET, SHARED_DETAIL,
+    budget, column, detail, keyed, schedule, tables, town,
 )
 
 from capfolio.operators import breakdowns, changes, durations, lookup, portfolio, projects, ranking, reports
 from capfolio.operators.portfolio import PortfolioFilter
 
 
-def roles(spark):
-    return base(spark, ROLE_DETAIL, ROLE_BUDGET)
+def owned(spark):
+    return town(spark, OWNED_DETAIL, OWNED_BUDGET)
 
 
 def shared(spark):
-    return base(spark, [*CATEGORY_DETAIL, *SHARED_DETAIL], [*CATEGORY_BUDGET, *SHARED_BUDGET])
+    return town(spark, SHARED_DETAIL, SHARED_BUDGET)
 
 
-def two_periods(spark):
-    rows = [("202509", "104", "30"), ("202601", "104", "40"), ("202509", "105", "0"), ("202601", "105", "25")]
+def moving(spark):
+    """Three schedules over two periods, late by so many days."""
+    late = [(BEFORE, "m1", "12"), (NOW, "m1", "3"), (BEFORE, "m2", "-6"), (NOW, "m2", "8"), (NOW, "m3", "0")]
     return tables(
-        spark,
-        [detail(p, "DDC", "DDC", pid, "H" + pid) for p, pid, _ in rows],
-        schedules=[schedule(*r, reason_for_forecast_completion_change="Scope") for r in rows],
+        spark, [detail(p, "BLD", "BLD", pid, f"Y{pid}") for p, pid, _ in late],
+        schedules=[schedule(*r, reason_for_forecast_completion_change="Weather") for r in late],
     )
 
 
@@ -29,253 +29,271 @@ def two_periods(spark):
 
 
 def test_breakdown_statistics(spark):
-    t = base(spark)
-    ddc = keyed(breakdowns.schedule_breakdown(t, "managing_agency"), "managing_agency")["DDC"]
-    assert (ddc.value, ddc.n) == (2, 2)
+    t = town(spark)
+    row = breakdowns.schedule_breakdown(t, "managing_agency").first()
+    assert (row.managing_agency, row.value, row.n) == ("BLD", 2, 2)
     counted = breakdowns.schedule_breakdown(t, "managing_agency", "schedule_variance")
     assert counted.first().value == 1 and "direction" not in counted.columns
-    for statistic in ("mean", "median", "sum", "min", "max"):
+    for statistic in ("min", "max", "sum", "mean", "median"):
         row = breakdowns.schedule_breakdown(t, "managing_agency", "schedule_variance", statistic).first()
-        assert (row.value, row.direction) == (45, "later")
+        assert (row.value, row.direction) == (17, "later")
 
 
-def test_breakdown_by_owner_and_scope(spark):
-    t = roles(spark)
-    owners = column(breakdowns.schedule_breakdown(t, "sponsor_agency"), "sponsor_agency")
-    assert owners == {"DDC", "DPR", "DOC", "DOT"}
-    total = lambda **kw: sum(r.n for r in breakdowns.schedule_breakdown(t, "borough", agency="DOC", **kw).collect())
-    assert (total(), total(agency_role="managing")) == (2, 1)
+def test_breakdown_by_owner_and_within_an_agency(spark):
+    t = owned(spark)
+    assert column(breakdowns.schedule_breakdown(t, "sponsor_agency"), "sponsor_agency") == {"BLD", "FOR", "HRB", "TRM"}
+    count = lambda **kw: sum(r.n for r in breakdowns.schedule_breakdown(t, "borough", agency="HRB", **kw).collect())
+    assert (count(), count(agency_role="managing")) == (2, 1)
 
 
-def test_category_counts_in_each_but_budget_adds_up(spark):
-    t = base(spark, CATEGORY_DETAIL, CATEGORY_BUDGET)
+def test_schedules_count_in_each_category_but_money_once(spark):
+    t = shared(spark)
     counts = {r.category: r.n for r in breakdowns.schedule_breakdown(t, "category").collect()}
-    assert counts["Library"] == 2 and counts["Bridges"] == 1
+    assert (counts["Reading"], counts["Crossings"], counts["Greens"]) == (3, 1, 2)
     sums = {r.category: r.value for r in breakdowns.budget_breakdown(t, "category").collect()}
-    assert sums["Library"] == 300.0 and sums["Bridges"] == 50.0
+    assert (sums["Reading"], sums["Crossings"], sums["Greens"]) == (341.0, 19.0, 436.0)
+
+
+def test_breakdowns_come_largest_first(spark):
+    t = shared(spark)
+    for frame in (breakdowns.schedule_breakdown(t, "borough"), breakdowns.budget_breakdown(t)):
+        values = [r.value for r in frame.collect()]
+        assert len(values) > 1 and values == sorted(values, reverse=True)
 
 
-def test_off_cadence_period_is_empty(spark):
-    t = base(spark)
-    assert breakdowns.schedule_breakdown(t, "borough", period="202602").count() == 0
-    assert breakdowns.budget_breakdown(t, period="202602").count() == 0
+def test_a_month_between_periods_is_empty(spark):
+    t = town(spark)
+    assert breakdowns.schedule_breakdown(t, "borough", period="202202").isEmpty()
+    assert breakdowns.budget_breakdown(t, period="202202").isEmpty()
 
 
 @pytest.mark.parametrize(
     "call",
     [
-        lambda t: breakdowns.schedule_breakdown(t, "pid"),
-        lambda t: breakdowns.schedule_breakdown(t, "borough", "budget"),
-        lambda t: breakdowns.schedule_breakdown(t, "borough", "schedule_variance", "stddev"),
-        lambda t: breakdowns.budget_breakdown(t, "borough"),
-        lambda t: breakdowns.budget_breakdown(t, metric="spend_to_date"),
-        lambda t: changes.budget_change(t, "DEP", "a", "b"),
-        lambda t: changes.budget_change(t, "fms:A", "a", "b", "spend_to_date"),
-        lambda t: changes.schedule_changes(t, "completed", "202512", "202601"),
-        lambda t: changes.schedule_changes(t, "delayed", "202601", "202509"),
-        lambda t: changes.schedule_changes(t, "completed", "202505", "202509"),
-        lambda t: changes.schedule_changes(t, "moved", "202509", "202601"),
-        lambda t: ranking.rank_projects(t, "schedule", "total_budget"),
-        lambda t: ranking.rank_projects(t, "project", "total_budget"),
-        lambda t: durations.project_durations(t, group_by="sponsor_agency"),
-        lambda t: durations.project_durations(t, "forecast_completion"),
-        lambda t: portfolio.portfolio_rows(t, PortfolioFilter(lifecycle_status="nope")),
+        lambda t: breakdowns.schedule_breakdown(t, "fms_id"),
+        lambda t: breakdowns.schedule_breakdown(t, "borough", "spend"),
+        lambda t: breakdowns.schedule_breakdown(t, "borough", "schedule_variance", "mode"),
+        lambda t: breakdowns.budget_breakdown(t, "community_board"),
+        lambda t: breakdowns.budget_breakdown(t, metric="variance"),
+        lambda t: changes.budget_change(t, "HRB", "a", "b"),
+        lambda t: changes.budget_change(t, "fms:L1", "a", "b", "variance"),
+        lambda t: changes.schedule_changes(t, "completed", "202112", NOW),
+        lambda t: changes.schedule_changes(t, "delayed", NOW, BEFORE),
+        lambda t: changes.schedule_changes(t, "completed", FIRST, BEFORE),
+        lambda t: changes.schedule_changes(t, "vanished", BEFORE, NOW),
+        lambda t: ranking.rank_projects(t, "schedule", "spend_to_date"),
+        lambda t: ranking.rank_projects(t, "line", "total_budget"),
+        lambda t: ranking.rank_projects(t, "budget", "total_budget", direction="Top"),
+        lambda t: durations.project_durations(t, group_by="pid"),
+        lambda t: durations.project_durations(t, "completion_date"),
+        lambda t: portfolio.portfolio_rows(t, PortfolioFilter(lifecycle_status="done")),
     ],
 )
-def test_bad_arguments(spark, call):
+def test_arguments_that_make_no_sense(spark, call):
     with pytest.raises(ValueError):
-        call(base(spark))
+        call(town(spark))
 
 
-def test_budget_roles(spark):
-    t = roles(spark)
-    total = lambda **kw: sum(r.value for r in breakdowns.budget_breakdown(t, agency="DOC", **kw).collect())
-    assert (total(), total(agency_role="managing")) == (9500.0, 500.0)
+def test_budget_by_role(spark):
+    t = owned(spark)
+    total = lambda **kw: sum(r.value for r in breakdowns.budget_breakdown(t, agency="HRB", **kw).collect())
+    assert (total(), total(agency_role="managing")) == (2164.0, 64.0)
 
 
-def test_delay_reasons(spark):
-    t = two_periods(spark)
-    assert [tuple(r) for r in breakdowns.delay_reasons(t).collect()] == [("Scope", 2)]
-    assert [tuple(r) for r in breakdowns.delay_reasons(t, scope="all_history").collect()] == [("Scope", 3)]
+def test_reasons_of_the_late(spark):
+    t = moving(spark)
+    assert [tuple(r) for r in breakdowns.delay_reasons(t).collect()] == [("Weather", 2)]
+    assert [tuple(r) for r in breakdowns.delay_reasons(t, scope="all_history").collect()] == [("Weather", 3)]
 
 
 # -- changes -------------------------------------------------------------------------
 
 
-def test_newly_delayed_only(spark):
-    t = two_periods(spark)
-    assert column(changes.schedule_changes(t, "delayed", "202509", "202601"), "pid") == {"105"}
-    # an earlier period without data: everything late now is new
-    assert column(changes.schedule_changes(t, "delayed", "202505", "202601"), "pid") == {"104", "105"}
-
-
-def test_newly_completed_and_cancelled(spark):
-    t = tables(
-        spark,
-        [
-            detail("202601", "DDC", "DPR", "5", "A", phase="(Completed)", actual_construction_end="2025-12-01"),
-            detail("202601", "DDC", "DPR", "6", "A", phase="(Cancelled)"),
-            detail("202509", "DDC", "DPR", "7", "A", phase="(Cancelled)"),
-            detail("202601", "DDC", "DPR", "7", "A", phase="Close-out"),
-            detail("202509", "DDC", "DPR", "8", "A", phase="Design"),
-            detail("202601", "DDC", "DPR", "8", "A", phase="Close-out"),
-        ],
-    )
-    done = lambda **kw: column(changes.schedule_changes(t, "completed", "202509", "202601", **kw), "pid")
-    assert done() == {"5", "8"} and done(include_cancelled=True) == {"5", "6", "8"}
-    assert done(agency="DPR") == {"5", "8"} and done(agency="DOC") == set()
+def test_late_now_but_not_before(spark):
+    t = moving(spark)
+    assert column(changes.schedule_changes(t, "delayed", BEFORE, NOW), "pid") == {"m2"}
+    assert column(changes.schedule_changes(t, "delayed", FIRST, NOW), "pid") == {"m1", "m2"}
+
+
+def test_completed_since(spark):
+    phases = [
+        (NOW, "new", "(Completed)"), (NOW, "gone", "(Withdrawn)"), (BEFORE, "back", "(Cancelled)"), (NOW, "back", "Close-out"),
+        (BEFORE, "built", "Construction"), (NOW, "built", "closeout"), (BEFORE, "old", "(Completed)"), (NOW, "old", "(Completed)"),
+    ]
+    t = tables(spark, [detail(p, "BLD", "TRM", pid, "Y", phase=phase) for p, pid, phase in phases])
+    done = lambda **kw: column(changes.schedule_changes(t, "completed", BEFORE, NOW, **kw), "pid")
+    assert done() == {"new", "built"} and done(include_cancelled=True) == {"new", "built", "gone"}
+    assert done(agency="TRM") == {"new", "built"} and done(agency="HRB") == set()
 
 
 def test_budget_change(spark):
-    t = base(spark)
-    row = changes.budget_change(t, "agency:DDC", "202509", "202601").first()
-    assert (row.from_value, row.to_value, row.change_value, row.change_direction) == (90.0, 350.0, 260.0, "increased")
-    line = changes.budget_change(t, "fms:a", "202509", "202601", "spend").first()
-    assert (line.from_value, line.to_value) == (8.0, 10.0)
-    absent = changes.budget_change(t, "fms:A", "202501", "202601").first()
-    assert (absent.from_value, absent.to_value, absent.change_value, absent.change_direction) == (None, 100.0, None, None)
-    every = keyed(changes.budget_changes_by(t, "fms_id", "202509", "202601"), "fms_id")
-    assert every["a"].change_value == 10.0 and every["b"].change_value is None
+    t = town(spark)
+    row = changes.budget_change(t, "agency:BLD", BEFORE, NOW).first()
+    assert (row.from_value, row.to_value, row.change_value, row.change_direction) == (95.0, 565.0, 470.0, "increased")
+    line = changes.budget_change(t, "fms:l1", BEFORE, NOW, "spend").first()
+    assert (line.from_value, line.to_value, line.change_value) == (12.0, 30.0, 18.0)
+    absent = changes.budget_change(t, "fms:L1", FIRST, NOW).first()
+    assert (absent.from_value, absent.to_value, absent.change_value, absent.change_direction) == (None, 120.0, None, None)
+    every = keyed(changes.budget_changes_by(t, "fms_id", BEFORE, NOW), "fms_id")
+    assert every["l1"].change_value == 25.0 and every["l3"].change_value is None
 
 
 # -- rankings ------------------------------------------------------------------------
 
 
 def test_rank_schedules(spark):
-    t = base(spark, [detail("202601", "DDC", "DDC", "103", "G")], schedules=[schedule("202601", "103", "-30")])
-    rank = lambda **kw: [r.pid for r in ranking.rank_projects(t, "schedule", "period_variance_days", **kw).collect()]
-    assert rank() == ["101", "103"] and rank(direction="bottom") == ["103", "101"]
-    assert rank(direction="bottom", delayed_only=True) == ["101"] and rank(n=-1) == ["101"]
-    assert rank(agency="DDC", n=50) == ["101", "103"] and rank(min_total_budget=100) == ["101"]
+    t = town(spark, [detail(NOW, "BLD", "BLD", "shed", "L7")], schedules=[schedule(NOW, "shed", "-5")])
+    rank = lambda **kw: [r.pid for r in ranking.rank_projects(t, "schedule", "period_variance_days", **kw).collect()]
+    assert rank() == ["quay", "shed"] and rank(direction="bottom") == ["shed", "quay"]
+    assert rank(direction="bottom", delayed_only=True) == ["quay"] and rank(n=-3) == ["quay"]
+    assert rank(agency="BLD", n=90) == ["quay", "shed"] and rank(min_total_budget=50) == ["quay"]
     row = ranking.rank_projects(t, "schedule", "cumulative_variance_days").first()
-    assert (row.pid, row.cumulative_variance_days, row.direction) == ("101", 45, "later")
+    assert (row.pid, row.cumulative_variance_days, row.direction) == ("quay", 17, "later")
 
 
 def test_rank_lines(spark):
-    t = roles(spark)
-    rank = lambda **kw: ranking.rank_projects(t, "budget", "total_budget", **kw)
-    assert column(rank(min_total_budget=1000), "fms_id") == {"J2"}
-    assert column(rank(max_total_budget=60), "fms_id") == {"B"}
-    owned = rank(agency="DOC").collect()
-    assert [(r.fms_id, r.sponsor_agencies) for r in owned] == [("J2", ["DOC"]), ("J1", ["DOC"])]
-    assert rank(agency="dot").first().sponsor_agencies == ["DOT", "DPR"]
-    assert column(rank(agency="DOC", agency_role="managing"), "fms_id") == {"J1"}
-    assert column(rank(delayed_only=True), "fms_id") == {"A", "B"}
+    t = owned(spark)
+    rank = lambda **kw: ranking.rank_projects(t, "budget", "total_budget", **kw)
+    assert [r.fms_id for r in rank(n=3).collect()] == ["P2", "L3", "P3"]
+    assert column(rank(min_total_budget=1000), "fms_id") == {"P2"} and column(rank(max_total_budget=50), "fms_id") == {"L2"}
+    assert [(r.fms_id, r.sponsor_agencies) for r in rank(agency="HRB").collect()] == [("P2", ["HRB"]), ("P1", ["HRB"])]
+    assert rank(agency="trm").first().sponsor_agencies == ["FOR", "TRM"]
+    assert column(rank(agency="HRB", agency_role="managing"), "fms_id") == {"P1"}
+    assert column(rank(delayed_only=True), "fms_id") == {"L1", "L2"}
 
 
-def test_rank_by_lifetime_growth(spark):
-    top = ranking.rank_projects(base(spark, budgets=ADOPTED), "budget", "cumulative_budget_change", 3).first()
-    assert (top.fms_id, top.cumulative_budget_change, top.direction) == ("F", 3e5, "increased")
+def test_rank_by_growth(spark):
+    top = ranking.rank_projects(town(spark, budgets=GROWN), "budget", "cumulative_budget_change", 2).collect()
+    assert [(r.fms_id, r.cumulative_budget_change, r.direction) for r in top] == [("GR", 175.0, "increased"), ("L1", 25.0, "increased")]
 
 
 # -- durations and portfolio ---------------------------------------------------------
 
 
 def test_durations(spark):
-    dates = lambda start, end: dict(actual_design_start=start, actual_construction_end=end)
-    t = tables(
-        spark,
-        [
-            detail("202601", "DDC", None, "201", "Z", **dates("2020-01-01", "2023-01-01")),
-            detail("202601", "DPR", None, "301", "Y", **dates("2021-01-01", "2022-01-01")),
-            detail("202601", "DDC", None, "202", "Y", **dates("2021-01-01", None)),
-            detail("202509", "DDC", None, "202", "Y", **dates("2021-01-01", "2021-01-02")),
-        ],
-    )
+    lasting = [(NOW, "BLD", "a", "2018-02-01", "2019-02-01"), (NOW, "HRB", "b", "2019-02-01", "2020-02-11"),
+               (NOW, "BLD", "c", "2020-01-01", None), (BEFORE, "BLD", "c", "2020-01-01", "2020-01-02")]
+    t = tables(spark, [detail(p, m, None, pid, "Y", actual_design_start=s, actual_construction_end=e) for p, m, pid, s, e in lasting])
     row = durations.project_durations(t).first()
-    assert (row.n_projects, row.excluded_missing_dates, row.min_days, row.max_days) == (2, 1, 365, 1096)
+    assert (row.n_projects, row.excluded_missing_dates, row.min_days, row.max_days) == (2, 1, 365, 375)
     grouped = keyed(durations.project_durations(t, group_by="managing_agency"), "managing_agency")
-    assert grouped["DPR"].mean_days == 365 and grouped["DDC"].n_projects == 1
-    empty = durations.project_durations(base(spark)).first()
+    assert grouped["HRB"].mean_days == 375 and grouped["BLD"].n_projects == 1
+    empty = durations.project_durations(town(spark)).first()
     assert (empty.n_projects, empty.excluded_missing_dates, empty.mean_days) == (0, 2, None)
 
 
-def test_portfolio_has_two_budget_bases(spark):
+def test_portfolio_sums_shares_and_lines(spark):
     t = shared(spark)
-    library = PortfolioFilter(category="Library")
-    s = portfolio.portfolio_summary(t, library).first()
-    assert (s.n_projects, s.attributed_budget_total, s.line_budget_total) == (3, 550.0, 350.0)
-    assert column(portfolio.portfolio_rows(t, library), "pid") == {"501", "502", "504"}
-    assert portfolio.portfolio_summary(t, library, n=2).first().truncated is True
-    none = portfolio.portfolio_summary(t, PortfolioFilter(borough="Nowhere")).first()
+    reading = PortfolioFilter(category="Reading")
+    s = portfolio.portfolio_summary(t, reading).first()
+    assert (s.n_projects, s.attributed_budget_total, s.line_budget_total, s.truncated) == (3, 620.0, 360.0, False)
+    assert column(portfolio.portfolio_rows(t, reading), "pid") == {"hall", "annex", "depot"}
+    assert portfolio.portfolio_summary(t, reading, n=2).first().truncated is True
+    none = portfolio.portfolio_summary(t, PortfolioFilter(borough="Moon")).first()
     assert (none.n_projects, none.attributed_budget_total, none.line_budget_total) == (0, None, None)
 
 
-def test_portfolio_filters(spark):
+def test_portfolio_filters_and_order(spark):
     t = shared(spark)
-    pids = lambda **kw: column(portfolio.portfolio_rows(t, PortfolioFilter(**kw)), "pid")
-    assert pids(borough="Bronx") == {"505"} and pids(borough="Multiple") == {"505"}
-    assert pids(community_board="Brooklyn 01") == {"505"}
-    assert pids(agency="DPR") == {"102", "501", "502", "504", "505"}
-    assert pids(lifecycle_status="completed") == {"102"}
-    assert [r.pid for r in portfolio.portfolio_rows(t, n=1).collect()] == ["101"]  # the dated one first
+    pids = lambda **kw: column(portfolio.portfolio_rows(t, PortfolioFilter(**kw)), "pid")
+    assert pids(borough="East") == {"barn", "path"} and pids(borough="Multiple") == {"path"}
+    assert pids(community_board="South 3") == {"path"} and pids(lifecycle_status="completed") == {"barn"}
+    assert pids(agency="FOR") == {"barn", "hall", "annex", "depot", "path"}
+    assert [r.pid for r in portfolio.portfolio_rows(t).collect()] == ["quay", "annex", "barn", "depot", "hall", "path"]
+    assert [r.pid for r in portfolio.portfolio_rows(t, n=1).collect()] == ["quay"]
+
+
+def test_listings_have_no_cap(spark):
+    t = tables(spark, [detail(NOW, "BLD", "BLD", f"s{i:03d}", f"Y{i}", agency_project_name="Same", fms_project_name="Same") for i in range(620)])
+    assert portfolio.portfolio_rows(t).count() == portfolio.portfolio_rows(t, n=10_000).count() == 620
+    assert projects.find_schedules(t, "same").count() == projects.find_budget_lines(t, "same").count() == 620
+    assert [r.pid for r in projects.find_schedules(t, "same", limit=2).collect()] == ["s000", "s001"]
+    result = lookup.run_sql(t, "SELECT pid FROM latest_project_state")
+    assert (len(result.rows), result.truncated) == (620, False)
 
 
 # -- look-ups ------------------------------------------------------------------------
 
 
 def test_find_projects(spark):
-    t = base(
-        spark,
-        [detail("202509", "DDC", "DDC", "101", "A", agency_project_name="Old Park", fms_project_name="Big 50% line")],
-    )
-    field = lambda text: {r.pid: (r.agency_project_name, r.matched_field) for r in projects.find_schedules(t, text).collect()}
-    assert field("101") == {"101": ("Park A", "pid")}
-    assert field("park") == {"101": ("Park A", "agency_project_name")}
-    assert field("old") == {"101": ("Old Park", "agency_project_name")}
-    assert field("%") == {} and field("lib_b") == {}
-    lines = projects.find_budget_lines(t, "50%").collect()
-    assert [(r.fms_id, r.matched_field) for r in lines] == [("A", "fms_project_name")]
-    assert {r.matched_field for r in projects.find_budget_lines(t, "a").where("fms_id = 'A'").collect()} == {"fms_id"}
+    t = town(spark, [detail(BEFORE, "BLD", "BLD", "quay", "L1", agency_project_name="Mud bank", fms_project_name="Dredge 30% more")])
+    found = lambda text: {r.pid: (r.agency_project_name, r.matched_field) for r in projects.find_schedules(t, text).collect()}
+    assert found("QUAY") == {"quay": ("Quay wall", "pid")}
+    assert found("wall") == {"quay": ("Quay wall", "agency_project_name")}
+    assert found("mud") == {"quay": ("Mud bank", "agency_project_name")}
+    assert found("%") == {} and found("quay_wall") == {} and set(found("seed_b")) == {"barn"}
+    assert [(r.fms_id, r.matched_field) for r in projects.find_budget_lines(t, "30%").collect()] == [("L1", "fms_project_name")]
+    assert column(projects.find_budget_lines(t, "l1"), "matched_field") == {"fms_id"}
 
 
 def test_schedule_detail_and_links(spark):
-    t = base(spark)
-    row = projects.schedule_detail(t, "101").first()
-    assert (row.agency, row.sponsor_agency, row.n_linked, row.direction) == ("DDC", "DDC", 2, "later")
-    assert "many-to-many" in row.caveat and "1:1" in projects.schedule_detail(t, "102").first().caveat
-    assert column(projects.schedule_links(t, "101"), "fms_id") == {"A", "B"}
-    assert projects.schedule_detail(t, "nope").count() == 0
-
-
-def test_budget_links_are_current_only(spark):
-    t = tables(
-        spark,
-        [
-            detail("202509", "DDC", "DDC", "101", "A", "100"),
-            detail("202509", "DDC", "DDC", "999", "A", "100"),
-            detail("202601", "DDC", "DDC", "101", "A", "100"),
-            detail("202509", "DPR", "DPR", "888", "A", "100"),
-        ],
-        [budget("DDC", "A", "202601", "100")],
-    )
-    assert column(projects.budget_links(t, "a"), "pid") == {"101"}
-    assert column(projects.budget_links(t, "A", "DPR"), "pid") == {"888"}
-    row = projects.budget_detail(t, "a").first()
-    assert (row.fms_id, row.n_linked) == ("A", 1) and "1:1" in row.caveat
-    assert {r.pid for r in projects.budget_links(t, by_agency=True).collect()} == {"101", "888"}
-
-
-def test_dataset_info_uses_the_full_period(spark):
-    rows = [detail(p, "D", "D", str(i), "A", fms_data_date=f"{p}-f{i}", agency_data_date="x") for p, n in (("202505", 4), ("202509", 4), ("202601", 1), ("202602", 9)) for i in range(n)]
-    info = keyed(lookup.dataset_info(tables(spark, rows), {"fb86-vt7u": 17}), "dataset_id")
-    row = info["fb86-vt7u"]
-    assert (row.row_count, row.latest_reporting_period, row.rows_updated_at) == (18, "202509", 17)
-    assert (row.fms_data_date, row.agency_data_date) == ("202509-f3", "x")
-    empty = info["qj5n-h5qp"]
+    t = town(spark)
+    row = projects.schedule_detail(t, "quay").first()
+    assert (row.agency, row.sponsor_agency, row.n_linked, row.direction) == ("BLD", "BLD", 3, "later")
+    assert "many-to-many" in row.caveat and "1:1" in projects.schedule_detail(t, "barn").first().caveat
+    assert column(projects.schedule_links(t, "quay"), "fms_id") == {"L1", "L2", "L5"}
+    assert projects.schedule_detail(t, "nowhere").isEmpty()
+
+
+def test_a_line_shows_its_newest_links_only(spark):
+    links = [(BEFORE, "BLD", "one"), (BEFORE, "BLD", "two"), (NOW, "BLD", "one"), (BEFORE, "HRB", "three")]
+    t = tables(spark, [detail(p, m, m, pid, "X") for p, m, pid in links], [budget("BLD", "X", NOW, "28")])
+    assert column(projects.budget_links(t, "x"), "pid") == {"one"}
+    assert column(projects.budget_links(t, "X", "HRB"), "pid") == {"three"}
+    assert column(projects.budget_links(t, by_agency=True), "pid") == {"one", "three"}
+    row = projects.budget_detail(t, "x").first()
+    assert (row.fms_id, row.n_linked) == ("X", 1) and "1:1" in row.caveat
+
+
+def test_freshness_skips_a_period_still_arriving(spark):
+    arriving = (("201905", 6), ("201909", 6), ("202001", 2), ("202002", 9))
+    rows = [detail(p, "H", "H", str(i), "X", fms_data_date=f"{p}-d{i}", agency_data_date="y") for p, n in arriving for i in range(n)]
+    # The dataset ids.
+    info = keyed(lookup.dataset_info(tables(spark, rows), {"fb86-vt7u": 23}), "dataset_id")
+    row, empty = info["fb86-vt7u"], info["qj5n-h5qp"]
+    assert (row.row_count, row.latest_reporting_period, row.rows_updated_at) == (23, "201909", 23)
+    assert (row.fms_data_date, row.agency_data_date) == ("201909-d5", "y")
     assert (empty.row_count, empty.latest_reporting_period) == (0, None)
     assert list(info) == sorted(info)
 
 
-def test_adhoc_sql_is_capped_and_read_only(spark):
-    t = base(spark)
-    result = lookup.run_sql(t, "SELECT fms_id FROM lifetime_budget_variance ORDER BY 1 -- note", row_cap=2)
-    assert ([r.fms_id for r in result.rows], result.truncated) == (["A", "B"], True)
-    assert result.latest_reporting_period == "202601"
-    assert lookup.run_sql(t, "WITH x AS (SELECT 'a;b' AS v) SELECT * FROM x;").rows[0].v == "a;b"
-    for bad in ("DROP TABLE lifetime_budget_variance", "INSERT INTO t VALUES (1)", "SELECT 1; SELECT 2"):
-        with pytest.raises(Exception):
-            lookup.run_sql(t, bad)
+# -- ad hoc --------------------------------------------------------------------------
+
+
+def test_adhoc_rows_and_notes(spark):
+    t = town(spark)
+    result = lookup.run_sql(t, "SELECT fms_id FROM lifetime_budget_variance ORDER BY 1 -- all", row_cap=2)
+    assert ([r.fms_id for r in result.rows], result.truncated, result.latest_reporting_period) == (["L1", "L2"], True, NOW)
+    assert "lifetime_budget_variance" in result.note
+    whole = lookup.run_sql(t, "WITH x AS (SELECT 'category_dim;' AS v) SELECT * FROM x;")
+    assert (whole.rows[0].v, whole.truncated, whole.note) == ("category_dim;", False, None)
+
+
+def test_adhoc_reads_its_own_dataset(spark):
+    small, large = town(spark), shared(spark)
+    count = "SELECT count(*) AS n FROM CATEGORY_DIM"
+    assert [lookup.adhoc(t, count).first().n for t in (small, large, small)] == [5, 10, 5]
+    late, early = lookup.adhoc(small, count), lookup.adhoc(large, count)
+    assert (late.first().n, early.first().n) == (5, 10)
+    assert not [v.name for v in spark.catalog.listTables() if v.name.startswith("category_dim")]
+    nested = "SELECT pid FROM Latest_Project_State WHERE pid IN (SELECT pid FROM `pid_links` WHERE fms_id = 'L3')"
+    assert column(lookup.adhoc(small, nested), "pid") == {"barn"}
+
+
+@pytest.mark.parametrize(
+    "query",
+    [
+        "DROP TABLE category_dim", "INSERT INTO category_dim VALUES (1)", "SELECT 1; SELECT 2",
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT java_method('java.lang.Math', 'abs', 1)",
+        "SELECT TRY_REFLECT('java.lang.System', 'nanoTime')", "SELECT `reflect`('java.lang.System', 'nanoTime')",
+        "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`", "SELECT * FROM text.`/etc/hosts`",
+        "SELECT * FROM somewhere.else", "SELECT * FROM unknown_table",
+        "SELECT (SELECT count(*) FROM csv.`/etc/hosts`) FROM category_dim",
+    ],
+)
+def test_adhoc_is_read_only(spark, query):
+    with pytest.raises(Exception):
+        lookup.adhoc(town(spark), query).collect()
 
 
 # -- reports -------------------------------------------------------------------------
@@ -283,16 +301,17 @@ def test_adhoc_sql_is_capped_and_read_only(spark):
 
 def test_fan_out(spark):
     rows = keyed(reports.fan_out(shared(spark)), "side", "managing_agency")
-    pids, lines = rows["schedule", "DPR"], rows["budget", "DPR"]
+    pids, lines = rows["schedule", "FOR"], rows["budget", "FOR"]
     assert (pids.n_entities, pids.n_one_to_one, pids.n_fan_out, pids.max_links) == (4, 2, 2, 2)
-    assert (lines.n_entities, lines.n_fan_out, lines.max_links) == (5, 1, 2)
-    assert reports.fan_out_extremes(shared(spark), n=1).first().n_links == 2
+    assert (lines.n_entities, lines.n_fan_out, lines.n_links, lines.max_links) == (5, 1, 6, 2)
+    assert [tuple(r) for r in reports.fan_out_extremes(shared(spark), n=1).collect()] == [("quay", 3, 166.0)]
 
 
-def test_concentration_matches_a_plain_running_sum(spark):
-    amounts = [(i * 37) % 101 + 1 for i in range(700)]
-    t = tables(spark, budgets=[budget("D", f"L{i}", "202601", str(a)) for i, a in enumerate(amounts)])
-    rows = sorted(reports.budget_concentration(t).collect(), key=lambda r: -r.latest_budget)
+@pytest.mark.parametrize("bands", [1, 7, 256])
+def test_concentration_matches_a_plain_running_sum(spark, bands):
+    amounts = [(i * 53) % 97 + 2 for i in range(400)]
+    t = tables(spark, budgets=[budget("H", f"Y{i}", NOW, str(a)) for i, a in enumerate(amounts)])
+    rows = sorted(reports.budget_concentration(t, bands).collect(), key=lambda r: -r.latest_budget)
     total, lines, budgets = sum(amounts), 0, 0
     assert len(rows) == len(set(amounts))
     for r in rows:
@@ -302,11 +321,21 @@ def test_concentration_matches_a_plain_running_sum(spark):
         assert r.cumulative_share == round(budgets / total, 6)
 
 
+def test_concentration_keeps_huge_amounts_and_runs_nothing_while_planning(spark):
+    t = tables(spark, budgets=[budget("H", "a", NOW, "1e25"), budget("H", "b", NOW, "4")])
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    frame = reports.budget_concentration(t)
+    assert not jobs.getJobIdsForGroup("planning")
+    assert [(r.latest_budget, r.cumulative_budget) for r in frame.orderBy("cumulative_lines").collect()] == [(1e25, 1e25), (4.0, 1e25 + 4)]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_big_lines_and_monitor(spark):
     t = shared(spark)
-    rows = reports.big_lines(t, "Library", 100).collect()
-    assert sorted((r.fms_id, r.pid) for r in rows) == [("LB1", "501"), ("LB2", "502"), ("LB2", "504")]
-    levels = {(r.level, r.managing_agency): (r.n_lines, r.budget) for r in reports.big_lines_summary(t, "Library", 100).collect()}
-    assert levels == {("agency", "DPR"): (2, 300.0), ("total", None): (2, 300.0)}
+    rows = reports.big_lines(t, "Reading", 80).collect()
+    assert sorted((r.fms_id, r.pid) for r in rows) == [("RD7", "hall"), ("RD8", "annex"), ("RD8", "depot")]
+    levels = {(r.level, r.managing_agency): (r.n_lines, r.budget) for r in reports.big_lines_summary(t, "Reading", 80).collect()}
+    assert levels == {("agency", "FOR"): (2, 341.0), ("total", None): (2, 341.0)}
     moves = keyed(reports.change_monitor(t), "managing_agency", "reporting_period")
-    assert (moves["DDC", "202601"].total_budget_change, moves["DDC", "202601"].budget_direction) == (260.0, "increased")
+    assert (moves["BLD", NOW].total_budget_change, moves["BLD", NOW].budget_direction) == (470.0, "increased")

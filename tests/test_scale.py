@@ -5,7 +5,7 @@ import re
 import pyarrow as pa
 import pytest
 from compare import plan_of
-from fixtures import base, tables
+from fixtures import NOW, tables, town
 from pyspark.sql import functions as F
 
 from capfolio.functions.joins import join_many_to_one
@@ -42,9 +42,9 @@ def hot_detail(spark, n=60000):
     """A third of all edges belongs to one schedule, another third to one line."""
     i = F.col("id")
     known = {
-        "reporting_period": F.when(i % 6 == 2, "202509").otherwise("202601"),
-        "managing_agency": F.lit("DDC"),
-        "sponsor_agency": F.lit("DPR"),
+        "reporting_period": F.when(i % 6 == 2, "202109").otherwise("202201"),
+        "managing_agency": F.lit("BLD"),
+        "sponsor_agency": F.lit("FOR"),
         "pid": F.when(i % 3 == 0, "hot").otherwise(i.cast("string")),
         "fms_id": F.when(i % 3 == 1, "HOT").otherwise(F.concat(F.lit("F"), i.cast("string"))),
         "total_budget": F.lit("1"),
@@ -80,7 +80,18 @@ def test_many_to_one_null_keys(spark):
     rows = lambda **kw: sorted((r.v, r.w) for r in join_many_to_one(many, one, ["k"], **kw).collect())
     assert rows() == [(1, 10), (2, 10)]
     assert rows(null_matches=True) == [(1, 10), (2, 10), (3, 20)]
-    assert join_many_to_one(many, one, ["k"], "left_semi").columns == ["k", "v"]
+    semi = join_many_to_one(many, one, ["k"], "left_semi")
+    assert semi.columns == ["k", "v"] and semi.count() == 2
+
+
+def test_rows_without_a_key_are_not_shuffled(spark, small_thresholds):
+    many = spark.range(5000).select(F.when(F.col("id") < 10, F.col("id").cast("string")).alias("k"), "id")
+    one = spark.createDataFrame(pa.table({"k": ["1", "2"], "w": [10, 20]}))
+    for how in ("inner", "left_semi"):
+        plan = plan_of(join_many_to_one(many, one, ["k"], how))
+        assert "< 10" in plan[plan.index("Range") - 400:]
+        assert join_many_to_one(many, one, ["k"], how).count() == 2
+    assert join_many_to_one(many, one, ["k"], "left").count() == 5000
 
 
 def test_budget_queries_leave_orders_and_customers_alone(spark):
@@ -91,13 +102,13 @@ def test_budget_queries_leave_orders_and_customers_alone(spark):
 
 
 def test_unused_variance_join_disappears(spark):
-    history = base(spark)["schedule_history"]
+    history = town(spark)["schedule_history"]
     assert "Join" in plan_of(history)
     assert "Join" not in plan_of(history.groupBy("managing_agency").count())
 
 
 def test_period_filter_prunes_published_partitions(spark, tmp_path):
-    publish(base(spark), str(tmp_path))
-    plan = plan_of(budget_breakdown(open_published(spark, str(tmp_path)), period="202601"))
+    publish(town(spark), str(tmp_path))
+    plan = plan_of(budget_breakdown(open_published(spark, str(tmp_path)), period=NOW))
     filters = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
-    assert any("202601" in f for f in filters)
+    assert any(NOW in f for f in filters)
