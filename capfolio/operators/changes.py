@@ -67,6 +67,20 @@ def schedule_changes(
     return pairs.select("pid", "managing_agency", measure)
 
 
+def schedule_change_notes(tables, from_period: str) -> list[str]:
+    """What a reader of ``schedule_changes`` should know; stops at the first row of the earlier period."""
+    if tables.has_schedules(from_period):
+        return []
+    return [f"no schedule data at from_period {from_period}: all that is finished or late at to_period counts as new"]
+
+
+def budget_change_notes(target: str, agency_role: str = "auto") -> list[str]:
+    """What a reader of ``budget_change`` should know."""
+    if target.startswith("agency:") and agency_role != "managing":
+        return ["an owner's lines are those of its current schedules, for both periods"]
+    return []
+
+
 def _change_columns(metric: str, from_period: str, to_period: str) -> list[Column]:
     amount, period = F.col(BUDGET_METRICS[metric]), F.col("reporting_period")
     return [

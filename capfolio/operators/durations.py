@@ -20,7 +20,7 @@ def project_durations(
 ) -> DataFrame:
     """Statistics over schedules whose newest snapshot has both dates.
 
-    Without ``group_by``: one row that also counts the schedules left out.
+    ``excluded_missing_dates`` counts the schedules left out, in all or per group; groups without any duration are absent.
     """
     one_of("from_milestone", from_milestone, MILESTONES)
     one_of("to_milestone", to_milestone, MILESTONES)
@@ -38,12 +38,12 @@ def project_durations(
         F.min("days").alias("min_days"),
         F.max("days").alias("max_days"),
     ]
+    left_out = F.count_if(F.col("days").isNull()).alias("excluded_missing_dates")
     if group_by is None:
-        left_out = F.count_if(F.col("days").isNull()).alias("excluded_missing_dates")
         return days.agg(*statistics, left_out)
     return (
-        days.where(F.col("days").isNotNull())
-        .groupBy(group_by)
-        .agg(*statistics)
+        days.groupBy(group_by)
+        .agg(*statistics, left_out)
+        .where("n_projects > 0")
         .orderBy(F.desc("n_projects"), F.asc_nulls_last(group_by))
     )

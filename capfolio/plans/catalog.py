@@ -467,7 +467,8 @@ for _label, _column in {
     add(
         f"t10_duration_{_label}",
         lambda t, c=_column: rounded(durations.project_durations(t, group_by=c), "mean_days"),
-        f"SELECT {_column}, {_DAY_STATISTICS} FROM {_DAYS} WHERE days IS NOT NULL GROUP BY {_column}",
+        f"""SELECT {_column}, {_DAY_STATISTICS}, count(*) - count(days) AS excluded_missing_dates
+            FROM {_DAYS} GROUP BY {_column} HAVING count(days) > 0""",
     )
 
 _WANTED = PortfolioFilter(category="Fasteners", borough="B1", agency="BUILDING")

@@ -113,6 +113,8 @@ def test_late_now_but_not_before(spark):
     t = moving(spark)
     assert column(changes.schedule_changes(t, "delayed", BEFORE, NOW), "pid") == {"m2"}
     assert column(changes.schedule_changes(t, "delayed", FIRST, NOW), "pid") == {"m1", "m2"}
+    assert changes.schedule_change_notes(t, BEFORE) == [] and FIRST in changes.schedule_change_notes(t, FIRST)[0]
+    assert changes.budget_change_notes("agency:HRB") and not changes.budget_change_notes("agency:HRB", "managing")
 
 
 def test_completed_since(spark):
@@ -178,6 +180,7 @@ def test_durations(spark):
     assert (row.n_projects, row.excluded_missing_dates, row.min_days, row.max_days) == (2, 1, 365, 375)
     grouped = keyed(durations.project_durations(t, group_by="managing_agency"), "managing_agency")
     assert grouped["HRB"].mean_days == 375 and grouped["BLD"].n_projects == 1
+    assert (grouped["HRB"].excluded_missing_dates, grouped["BLD"].excluded_missing_dates) == (0, 1)
     empty = durations.project_durations(town(spark)).first()
     assert (empty.n_projects, empty.excluded_missing_dates, empty.mean_days) == (0, 2, None)
 
