@@ -164,12 +164,13 @@ def slots_of(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
 def pack_exact(pieces: DataFrame, limit: int = 4096) -> DataFrame:
     """``pieces`` with sequence_id and offset: ``length`` of each sequence's pieces sums to ``limit`` at most.
 
-    Only the histogram of lengths, ``limit`` numbers, reaches the driver. The plan over it says for each length
+    ``pieces`` are kept before they are ranked, since ranking reads them twice. Only the histogram of lengths,
+    ``limit`` numbers, reaches the driver. The plan over it says for each length
     which ranks go where; pieces are ranked within their length in a distributed way and look their place up in
     the plan, which is sent to every task (its size depends on ``limit`` alone). Equal lengths are
     interchangeable, so the result is a valid packing whatever the order of ties. An empty table stays empty.
     """
-    placed = cut(ranked(pieces, ["length"], ["doc_id", "piece", "ids_crc32"]))
+    placed = cut(ranked(cut(pieces), ["length"], ["doc_id", "piece", "ids_crc32"]))
     counts = np.zeros(limit + 1, np.int64)
     for row in placed.groupBy("length").count().collect():
         counts[row["length"]] = row["count"]

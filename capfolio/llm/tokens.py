@@ -13,6 +13,7 @@ from capfolio.llm.words import Words
 CACHE_WORDS = 600_000
 #: The file's own splitting pattern; fixed values.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+SIGNS = frozenset(".,;:!?")
 PLAIN = regex.compile(r"[!-~¡-įı-ſ]+")
 
 
@@ -42,7 +43,10 @@ class WordTokenizer:
             self.pieces.clear()
         whole, parts = [], {}
         for word in new:
-            if PLAIN.fullmatch(word) and "<|" not in word:
+            core = word[:-1] if word[-1] in SIGNS else word
+            if core.isalpha() and (core.isascii() or PLAIN.fullmatch(core)):
+                parts[word] = [core.lower()] if core is word else [core.lower(), word[-1]]
+            elif PLAIN.fullmatch(word) and "<|" not in word:
                 parts[word] = SPLIT.findall(word.lower())
             else:
                 whole.append(word)
