@@ -153,20 +153,24 @@ def differences(left: Column, right: Column, level: int) -> Column:
 def likeness(pairs: DataFrame) -> DataFrame:
     """pair, likeness: Jaccard similarity of the digest sets of ``left`` and ``right``, by sketch subtraction.
 
-    The difference of the two sketches is peeled; pairs for which that fails are sketched anew with cells
-    doubled and other hash functions, at most five times, and the few left after that are compared digest by digest.
-    Two empty sets are alike (1).
+    The difference of the two sketches is peeled; pairs for which that fails are kept with their digests, and sketched
+    anew with cells doubled and other hash functions, at most five times; the few left after that are compared digest by
+    digest. Two empty sets are alike (1).
     """
     both = (F.size("left") + F.size("right")).alias("both")
     waiting, done = pairs, None
     for level in range(LEVELS):
-        tried = cut(waiting.select("pair", both, differences(F.col("left"), F.col("right"), level).alias("d")))
-        good = tried.where("d.left_over = 0").select("pair", "both", "d.extra")
+        parts = waiting.select("pair", both, "left", "right", differences(F.col("left"), F.col("right"), level).alias("d"))
+        failed = F.col("d.left_over") > 0
+        tried = cut(parts.select(
+            "pair", "both", "d.extra", failed.alias("failed"),
+            F.when(failed, F.col("left")).alias("left"), F.when(failed, F.col("right")).alias("right"),
+        ))
+        good = tried.where("NOT failed").select("pair", "both", "extra")
         done = good if done is None else done.union(good)
-        failed = tried.where("d.left_over > 0").select("pair")
-        if failed.isEmpty():
+        waiting = tried.where("failed").select("pair", "left", "right")
+        if waiting.isEmpty():
             break
-        waiting = waiting.join(failed, "pair", "left_semi")
     else:
         apart = F.size(F.array_except("left", "right")) + F.size(F.array_except("right", "left"))
         done = done.union(waiting.select("pair", both, apart.alias("extra")))
@@ -189,7 +193,7 @@ def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.xxhash64(id_col).alias("k1"), F.xxhash64(text).alias("k2"), F.col(id_col).alias("doc_id"), text.alias("text")
     )
     named = keyed.select("k1", "k2", "doc_id", F.length("text").alias("n_chars"), F.col("doc_id").isNull().alias("missing"))
-    order = cut(ranked(named.distinct(), [], ["missing", "doc_id", "k2"]).select("k1", "k2", "n_chars", "rank"))
+    order = cut(ranked(named.distinct(), [], ["missing", "doc_id", "k2"]).select("k1", "k2", "doc_id", "n_chars", "rank"))
     total = order.count()
     following = order.select(
         F.pmod(F.col("rank") - 1, F.lit(total)).alias("rank"), F.col("k1").alias("next_k1"), F.col("k2").alias("next_k2")
@@ -199,7 +203,8 @@ def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.floor(F.col("n_chars") / 2).cast("int").alias("lend"),
     )
     links = cut(order.join(following, "rank").join(before, "rank").drop("rank"))
-    placed = keyed.join(links.select("k1", "k2", "n_chars", "next_k1", "next_k2", "to_k1", "to_k2", "lend"), ["k1", "k2"])
+    # Both uses of the texts below read the same three columns, so that their shuffle is done once and reused.
+    placed = keyed.select("k1", "k2", "text").join(links, ["k1", "k2"])
     heads = placed.select("to_k1", "to_k2", F.substring(F.col("text"), F.lit(1), F.col("lend")).alias("head")).dropDuplicates(["to_k1", "to_k2"])
     heads = heads.select(F.col("to_k1").alias("k1"), F.col("to_k2").alias("k2"), "head")
     keep = F.col("n_chars") - F.floor(F.col("n_chars") / 2).cast("int")
@@ -234,7 +239,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             F.struct((F.col("row") * 2 + 1).alias("pair"), F.col("own").alias("left"), F.col("next_own").alias("right")),
         )).alias("p")
     ).select("p.pair", "p.left", "p.right")
-    alike = likeness(cut(pairs)).groupBy(F.expr("pair div 2").alias("row")).agg(
+    alike = likeness(pairs).groupBy(F.expr("pair div 2").alias("row")).agg(
         F.max(F.when(F.col("pair") % 2 == 0, F.col("likeness"))).alias("near_edited"),
         F.max(F.when(F.col("pair") % 2 == 1, F.col("likeness"))).alias("near_next"),
     )
