@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capfolio.llm.common import bit_set, cut, in_bit_set
+from capfolio.llm.common import bit_set, cut, in_bit_set, ranked
 from capfolio.llm.words import Words, chunks
 
 HASHES = 128
@@ -19,6 +19,8 @@ ROWS = 4  # hashes in a band: a pair of similarity 0.75 misses all 32 bands with
 STEP = 16  # hashes compared before the next look at the posterior
 NUMERATOR, DENOMINATOR = 3, 4  # the threshold as a fraction
 NEEDED_BITS = 1 << 20
+BLOCK = 128  # members of a group that meet in a task: two blocks at most
+COLUMNS = 8192
 MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -63,7 +65,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, offsets = hash_family()
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=2 << 20):
                 with np.errstate(over="ignore"):
                     shingles, edges = shingle_sets(Words(part.column("text")))
                     counts = np.diff(edges)
@@ -156,30 +158,155 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     return joined.select("a", "b", "a_text", "b_text").mapInArrow(check, f"a {kind}, b {kind}").distinct()
 
 
+def block_pairs(members: DataFrame) -> DataFrame:
+    """``members`` (grp, doc_id, label) in pairs of blocks: grp, x, y, block, doc_id, label.
+
+    Members of a group are ranked by label and dealt into blocks of ``BLOCK``. Two blocks meet unless both hold
+    one and the same label, so a large component is not compared with itself, and it meets each foreign block once.
+    """
+    placed = ranked(members, ["grp"], ["label", "doc_id"]).withColumn("block", F.floor(F.col("rank") / BLOCK).cast("int"))
+    blocks = placed.groupBy("grp", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    side = lambda name: blocks.select("grp", F.col("block").alias(name), F.col("low").alias(f"{name}_low"), F.col("high").alias(f"{name}_high"))
+    alike = (F.col("x_low") == F.col("x_high")) & (F.col("y_low") == F.col("y_high")) & (F.col("x_low") == F.col("y_low"))
+    meet = side("x").join(side("y"), "grp").where((F.col("x") <= F.col("y")) & ~alike).select("grp", "x", "y")
+    sides = meet.select("grp", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"), "x", "y")
+    return placed.join(sides, ["grp", "block"]).select("grp", "x", "y", "block", "doc_id", "label")
+
+
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (grp, x, y) of a sorted partition: two blocks at most."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("grp", "x", "y")], axis=1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for start, end in zip(edges, edges[1:], strict=False):
+            if start == end:
+                continue
+            key = tuple(keys[start])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def forest(left: np.ndarray, right: np.ndarray, size: int) -> list[int]:
+    """Positions of the pairs that connect what earlier ones did not."""
+    root = list(range(size))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    kept = []
+    for position, (i, j) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+        i, j = find(i), find(j)
+        if i != j:
+            root[i] = j
+            kept.append(position)
+    return kept
+
+
+def open_pairs(table: pa.Table) -> np.ndarray:
+    """Which rows may meet, as a matrix: of different labels, in different blocks if two meet, each pair once."""
+    _, labels = np.unique(np.array(table.column("label").to_pylist()), return_inverse=True)
+    block = table.column("block").to_numpy()
+    x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+    differ = labels[:, None] != labels[None, :]
+    return differ & ((block[:, None] == x) & (block[None, :] == y) if x != y else np.triu(differ, 1))
+
+
+def met(rows: DataFrame, columns: list[str], links) -> DataFrame:
+    """(a, b) of a spanning forest of the ``links(table, may_meet)`` within each meeting of two blocks."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in meetings(batches):
+            left, right = links(table, open_pairs(table))
+            kept = forest(left, right, table.num_rows)
+            ids = table.column("doc_id").combine_chunks()
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(left[kept])), ids.take(pa.array(right[kept]))], names=["a", "b"])
+
+    keys = ["grp", "x", "y"]
+    # The work of a meeting is not in its bytes, so the number of partitions is given and stays as it is.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(*keys, "block", "doc_id", "label", *columns).repartition(parts, *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+
+
+def likely_links(miss: float):
+    """Pairs whose signatures leave a chance of ``miss`` or more, batch by batch of hashes."""
+    least = least_matches(NUMERATOR / DENOMINATOR, miss)
+
+    def links(table: pa.Table, may_meet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(-1, HASHES)
+        counts = table.column("n_shingles").to_numpy()
+        smaller, larger = np.minimum(counts[:, None], counts[None, :]), np.maximum(counts[:, None], counts[None, :])
+        left, right = np.nonzero(may_meet & (DENOMINATOR * smaller >= NUMERATOR * larger))
+        equal = np.zeros(len(left), np.int64)
+        for step, bound in enumerate(least):
+            part = slice(step * STEP, (step + 1) * STEP)
+            equal += (signature[left, part] == signature[right, part]).sum(axis=1)
+            alive = equal >= bound
+            left, right, equal = left[alive], right[alive], equal[alive]
+        return left, right
+
+    return links
+
+
+def exact_links(table: pa.Table, may_meet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose full shingle sets have ``4 * intersection >= 3 * union``, counted by products of 0-1 matrices."""
+    with np.errstate(over="ignore"):
+        shingles, edges = shingle_sets(Words(table.column("text").combine_chunks()))
+    counts = np.diff(edges)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    _, number, times = np.unique(shingles, return_inverse=True, return_counts=True)
+    shared = times[number] > 1
+    owner, number = owner[shared], number[shared]
+    _, number = np.unique(number, return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    common = np.zeros((len(counts), len(counts)), np.float32)
+    width = int(number[-1]) + 1 if len(number) else 0
+    for start in range(0, width, COLUMNS):
+        begin, end = np.searchsorted(number, [start, start + COLUMNS])
+        present = np.zeros((len(counts), min(COLUMNS, width - start)), np.float32)
+        present[owner[begin:end], number[begin:end] - start] = 1
+        common += present @ present.T
+    union = counts[:, None] + counts[None, :] - common
+    return np.nonzero(may_meet & (DENOMINATOR * common >= NUMERATOR * union) & (common > 0))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (least node reachable) of the graph with ``edges`` (a, b), for nodes that have an edge.
 
-    Large-star and small-star steps alternate until the edges are stars around their least node; every step is one
-    aggregate and one join, and its result is checkpointed.
+    Large-star and small-star steps alternate until every node is the centre of a star or a leaf of one, around the
+    least node. The result of each pair of steps is checkpointed; edges in both directions, and the edges a step makes of one, come from an
+    explode, so that a plan holds few joins.
     """
-    least, most = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
-    stars = cut(edges.select(least, most).where("low <> high").distinct())
-    state = None
+    def turned(frame: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+        made = F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in pairs])
+        return frame.select(F.explode(made).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+
+    stars = cut(turned(edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), ("low", "high")))
     while True:
-        both = stars.select(F.col("low").alias("u"), F.col("high").alias("v")).union(stars.select("high", "low"))
-        centre = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(centre, F.col("u").eqNullSafe(F.col("_u"))).select(F.col("m").alias("low"), F.col("v").alias("high"))
-        large = large.where("low <> high").distinct()
-        floor = large.groupBy("high").agg(F.min("low").alias("m")).select(F.col("high").alias("_u"), "m")
-        small = large.join(floor, F.col("high").eqNullSafe(F.col("_u")))
-        moved = small.select(F.col("m").alias("low"), F.col("low").alias("high")).union(small.select("m", "high"))
-        stars = cut(moved.where("low <> high").distinct())
-        now = tuple(stars.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("low", "high"))).first())
-        if now == state:
+        ends = stars.select(F.col("v").alias("node"), F.lit(1).alias("leaf")).union(stars.select("u", F.lit(0)))
+        roles = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.min("leaf").alias("centre"))
+        if roles.where("leaf > 1 OR (leaf = 1 AND centre = 0)").isEmpty():
             break
-        state = now
-    leaves = stars.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("component"))
-    return leaves.union(stars.select("low", "low").distinct())
+        both = turned(stars, ("u", "v"), ("v", "u"))
+        centre = both.groupBy(F.col("u").alias("_u")).agg(F.least(F.min("v"), F.col("_u")).alias("m"))
+        large = both.where("v > u").join(centre, F.col("u").eqNullSafe(F.col("_u"))).select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+        floor = large.groupBy(F.col("v").alias("_v")).agg(F.min("u").alias("m"))
+        small = large.join(floor, F.col("v").eqNullSafe(F.col("_v"))).select("m", "u", "v")
+        stars = cut(turned(small, ("m", "u"), ("m", "v")))
+    centres = stars.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
+    return stars.select(F.col("v").alias("node"), F.col("u").alias("component")).union(centres)
 
 
 def near_duplicates(
@@ -192,10 +319,13 @@ def near_duplicates(
     and that document is kept.
 
     Equal sets are found first by a digest and go on as one node. Nodes that agree in one of 32 bands share a
-    bucket. First each is compared with its bucket's least node only; then, in buckets whose nodes are still in
-    several components, those of different components with each other. So a bucket of copies costs one comparison per
-    copy, no pair of different components in a bucket goes untested, and nothing is capped. Compared pairs run through
-    sequential Bayesian pruning, 16 hashes at a time, and what survives is confirmed on full sets.
+    bucket. First each is compared with its bucket's least node only. A bucket of copies costs one comparison per
+    copy. In buckets whose nodes are still in several components, members of different components meet
+    block by block inside tasks; what the signatures cannot rule out is joined to clusters, and within a cluster the
+    active members meet once more, in blocks with their full sets. Tasks return spanning forests, so no step returns
+    more rows than it has members, nothing is capped, and no pair of different components in a bucket goes untested.
+    Signatures are compared 16 hashes at a time; a pair is given up as soon as the posterior chance of reaching the
+    threshold is below ``miss``, and every link is confirmed on full sets.
 
     Results for special input: NULL and blank texts have no shingles and are linked with nothing. Rows without
     an id are linked with nothing, have component NULL and are kept. Rows that share an id are one document. An empty table
@@ -203,8 +333,7 @@ def near_duplicates(
     """
     rows = cut(signatures(docs, id_col, text_col))
     linked = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut(linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("members")))
-    firsts = classes.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "node")
+    firsts = linked.groupBy(F.col("d1").alias("_d1"), F.col("d2").alias("_d2")).agg(F.min("doc_id").alias("node"))
     same_set = F.col("d1").eqNullSafe(F.col("_d1")) & F.col("d2").eqNullSafe(F.col("_d2"))
     nodes = cut(
         linked.join(firsts, same_set & (F.col("doc_id") == F.col("node"))).dropDuplicates(["doc_id", "d1", "d2"])
@@ -219,31 +348,36 @@ def near_duplicates(
         banded.join(buckets, F.col("bucket").eqNullSafe(F.col("_bucket"))).select("bucket", "doc_id", "n_shingles", "hub", "size")
     )
 
-    tested = cut(members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
-    edges = cut(confirmed(cut(pruned(tested, nodes, miss)), docs, id_col, text_col))
-    labels = components(edges)
+    tested = members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    labels = components(confirmed(cut(pruned(tested, nodes, miss)), docs, id_col, text_col))
 
     labelled = members.where("size > 2").join(labels, F.col("doc_id").eqNullSafe(F.col("node")), "left").select(
         "bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("label")
     )
     mixed_buckets = labelled.groupBy(F.col("bucket").alias("_bucket")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    size_class = F.floor(F.log(F.col("n_shingles")) / math.log(DENOMINATOR / NUMERATOR) + 1e-9).cast("int")
-    open_ = cut(
-        labelled.join(mixed_buckets, F.col("bucket").eqNullSafe(F.col("_bucket")))
-        .select("bucket", "doc_id", "n_shingles", "label", size_class.alias("size_class"))
-    )
-    small = open_.select("bucket", "size_class", F.col("doc_id").alias("a"), F.col("n_shingles").alias("a_n"), F.col("label").alias("a_label"))
-    large = open_.select(
-        "bucket", F.explode(F.array("size_class", F.col("size_class") - 1)).alias("size_class"),
-        F.col("doc_id").alias("b"), F.col("n_shingles").alias("b_n"), F.col("label").alias("b_label"),
+    open_ = labelled.join(mixed_buckets, F.col("bucket").eqNullSafe(F.col("_bucket"))).select(
+        F.col("bucket").alias("grp"), "doc_id", "label"
     )
-    ordered = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))
-    close = F.col("a_n") * DENOMINATOR >= F.col("b_n") * NUMERATOR
-    across = small.join(large, ["bucket", "size_class"]).where(ordered & close & (F.col("a_label") != F.col("b_label")))
-    pairs = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = cut(confirmed(cut(pruned(pairs.join(tested, ["a", "b"], "left_anti"), nodes, miss)), docs, id_col, text_col))
-    if not more.isEmpty():
-        labels = components(edges.union(more))
+    signed = nodes.select(F.col("doc_id").alias("_id"), "n_shingles", "signature")
+    in_blocks = block_pairs(open_)
+    meeting = in_blocks.join(signed, F.col("doc_id").eqNullSafe(F.col("_id")))
+    likely = cut(met(meeting, ["n_shingles", "signature"], likely_links(miss)))
+    if not likely.isEmpty():
+        suspects = components(likely.union(labels.select("node", "component"))).withColumnRenamed("component", "cluster")
+        active = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        clustered = (
+            active.join(suspects, F.col("doc_id").eqNullSafe(F.col("node"))).drop("node")
+            .join(labels, F.col("doc_id").eqNullSafe(F.col("node")), "left")
+            .select(F.xxhash64("cluster").alias("grp"), "doc_id", F.coalesce("component", "doc_id").alias("label"))
+        )
+        clustered = cut(clustered)
+        named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+        needed = bit_set(clustered.select(F.xxhash64("doc_id").alias("cell")), NEEDED_BITS)
+        texts = named.where(in_bit_set(F.xxhash64("_id"), needed, NEEDED_BITS))
+        meeting = block_pairs(clustered).join(texts, F.col("doc_id").eqNullSafe(F.col("_id")))
+        more = cut(met(meeting, ["text"], exact_links))
+        if not more.isEmpty():
+            labels = components(more.union(labels.select("node", "component")))
 
     by_class = firsts.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
         "_d1", "_d2", F.coalesce("component", "node").alias("component")

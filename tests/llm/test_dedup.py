@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from capfolio.llm.exact_dedup import exact_duplicates
 from capfolio.llm.line_dedup import drop_lines, keep_bitmaps
-from capfolio.llm.near_dedup import components, least_matches, near_duplicates
+from capfolio.llm.near_dedup import (
+    block_pairs, components, exact_links, least_matches, likely_links, met, near_duplicates, signatures,
+)
 
 BLANK = re.compile("[\x20\x09-\x0d]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -123,6 +125,35 @@ def test_chain_inside_a_bucket_is_found(spark):
     assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == want
 
 
+def test_members_meet_in_blocks(spark):
+    """A group of copies around the threshold, larger than two blocks, some of which are known to belong together."""
+    random = __import__("random").Random(2)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(random.randint(0, 7)):
+            words[random.randrange(120)] = f"x{random.randrange(10**6)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    known = {i: want[i] if i % 3 == 0 else i for i in want}
+    members = spark.createDataFrame([(5, i, known[i]) for i in want], "grp long, doc_id long, label long")
+    placed = block_pairs(members)
+    assert 1 < placed.select("x", "y").distinct().count() <= 6
+    signed = signatures(docs, "doc_id", "text").withColumnRenamed("doc_id", "_id")
+    meeting = placed.join(signed.join(docs.withColumnRenamed("doc_id", "_id"), "_id"), F.col("doc_id") == F.col("_id"))
+    stars = members.where("doc_id <> label").select(F.col("doc_id").alias("a"), F.col("label").alias("b"))
+    exact = met(meeting, ["text"], exact_links)
+    found = {r.node: r.component for r in components(exact.union(stars)).collect()}
+    assert {i: found.get(i, i) for i in want} == want
+    assert exact.count() < 900
+    likely = met(meeting, ["n_shingles", "signature"], likely_links(1e-6))
+    coarse = {r.node: r.component for r in components(likely.union(stars)).collect()}
+    assert all(coarse.get(i, i) == coarse.get(want[i], want[i]) for i in want)
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
