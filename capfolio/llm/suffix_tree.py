@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -15,30 +16,46 @@ from capfolio.llm.common import cut
 from capfolio.llm.words import Words, chunks
 
 END = 0x9E3779B97F4A7C15  # the end token; words have hashes of their own
+STEP = np.uint64(0xD6E8FEB86659FD93)  # a gram's hash is its last token's plus STEP times that of the gram before it
 SYMBOL_BITS = 20
 FLUSH = 1 << 20
+CACHE = 1 << 19
+MOST_BITS = 1 << 26
 
 
 @dataclass(frozen=True)
 class SuffixTree:
-    """``counts`` (token, c): every training token by its hash, in a table; and the tree, whose size has a bound.
+    """The model as tables that grow with the corpus.
 
-    ``symbols`` are the sorted hashes of the frequent tokens with their counts. ``edges`` maps (state, symbol) to
-    the log10 ratio of the smoothed probability to the base probability, as sorted keys and values; ``backoff`` is
-    the log10 weight of a state on all other symbols. State numbers: 0 the root, then contexts of one symbol,
-    then of two, found by ``state_keys``.
+    ``counts`` (token, c): every training token by its hash. ``weights`` (key, c, gain, n): what one occurrence of a
+    gram adds to a text's score above the base, for every gram that is a token, a retained context or an edge of one;
+    c is set for tokens. ``frequent`` are tables of the tokens that reach ``min_count``, ``kept`` of the retained contexts and
+    ``edges`` of their edges, by length of the context from 1.
+
+    ``symbols``, ``symbol_counts``, ``state_keys``, ``edge_keys``, ``edge_values``, ``backoff`` and ``parent`` are the tree of
+    up to two symbols collected as arrays, to look into small models; nothing else uses them.
     """
 
     counts: DataFrame
     total: int
     distinct: int
-    symbols: np.ndarray
-    symbol_counts: np.ndarray
-    state_keys: np.ndarray
-    edge_keys: np.ndarray
-    edge_values: np.ndarray
-    backoff: np.ndarray
-    parent: np.ndarray
+    weights: DataFrame
+    frequent: DataFrame
+    kept: list[DataFrame]
+    edges: list[DataFrame]
+
+    @property
+    def depth(self) -> int:
+        return len(self.kept)
+
+    @cached_property
+    def collected(self) -> dict[str, np.ndarray]:
+        return collected_tree(self)
+
+    def __getattr__(self, name: str):
+        if name in ("symbols", "symbol_counts", "state_keys", "edge_keys", "edge_values", "backoff", "parent"):
+            return self.collected[name]
+        raise AttributeError(name)
 
 
 def closed_texts(words: Words, table: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,50 +68,81 @@ def closed_texts(words: Words, table: np.ndarray, end: int) -> tuple[np.ndarray,
     return found, edges
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, int)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+def grams(tokens: np.ndarray, edges: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each length from 1: places of the grams' last tokens, the grams, and the grams less their last and first token."""
+    age = np.arange(len(tokens)) - np.repeat(edges[:-1], np.diff(edges))
+    whole = tokens
+    yield np.arange(len(tokens)), whole, None, None
+    for length in range(2, longest + 1):
+        places = np.flatnonzero(age >= length - 1)
+        context, suffix = whole[places - 1], whole[places]
+        whole = whole.copy()
+        whole[places] = tokens[places] + STEP * context
+        yield places, whole[places], context, suffix
+
+
+def may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only where a key was certainly not put into the set ``bits``."""
+    cell = keys.view(np.uint64) & np.uint64(len(bits) * 64 - 1)
+    return (bits[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def bits_of(keys: DataFrame) -> np.ndarray:
+    """A bit set over the column ``key``. Its size has a bound; a full set answers "maybe", and exact joins decide."""
+    bits = min(MOST_BITS, max(1 << 12, 1 << (16 * keys.count()).bit_length()))
+    cell = F.pmod("key", F.lit(bits))
+    words = keys.select(
+        F.shiftright(cell, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(key, {bits}L) % 64 AS int))").alias("bit")
+    ).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    found = np.zeros(bits // 64, np.uint64)
+    found[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return found
 
 
-def counted(texts: DataFrame, keys_of) -> DataFrame:
-    """(key, count) of the integer keys that ``keys_of(words)`` finds in each slice of the column ``text``.
+def counted(texts: DataFrame, length: int, shorter=None) -> DataFrame:
+    """(key, n) of the grams of ``length`` tokens in the column ``text``; from length 2 with ``context`` and ``suffix``,
+    the grams without their last and first token, and only of grams that ``shorter`` (a broadcast bit set) may have.
 
     Tasks sum what they meet and hand on sorted runs of about a million keys; Spark sums these over all tasks.
     """
+    names = ["key", "context", "suffix"][: 1 if length == 1 else 3]
+
+    def run(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=[*names, "n"])
+
+    def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        *columns, counts = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        order = np.argsort(columns[0], kind="stable")
+        keys = columns[0][order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+        sums = np.add.reduceat(counts[order], first) if len(first) else counts
+        return [*(c[order[first]] for c in columns), sums]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
+        parts, held = [], 0
         for batch in batches:
             for part in chunks(batch):
-                found, times = np.unique(keys_of(Words(part.column("text"))), return_counts=True)
-                keys.append(found.view(np.int64))
-                counts.append(times.astype(np.int64))
+                words = Words(part.column("text"))
+                tokens, edges = closed_texts(words, words.hashes(), np.uint64(END))
+                *_, (_, *columns) = grams(tokens, edges, length)
+                if length > 1:
+                    maybe = may_have(shorter.value, columns[1])
+                    maybe[maybe] = may_have(shorter.value, columns[2][maybe])
+                    columns = [c[maybe] for c in columns]
+                found, index, times = np.unique(columns[0], return_index=True, return_counts=True)
+                parts.append([found, *(c[index] for c in columns[1:] if c is not None), times.astype(np.int64)])
                 held += len(found)
                 if held >= FLUSH:
-                    merged, sums = summed(np.concatenate(keys), np.concatenate(counts))
-                    if len(merged) > FLUSH // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(merged), pa.array(sums)], names=["key", "n"])
-                        merged, sums = merged[:0], sums[:0]
-                    keys, counts, held = [merged], [sums], len(merged)
-        if keys:
-            merged, sums = summed(np.concatenate(keys), np.concatenate(counts))
-            yield pa.RecordBatch.from_arrays([pa.array(merged), pa.array(sums)], names=["key", "n"])
-
-    runs = texts.mapInArrow(count, "key long, n long")
-    return runs.groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def symbols_of(words: Words, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number (from 1; 0: not frequent) of each token with the ends, and the texts' edges."""
-    def number(hashes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(symbols, hashes)
-        at[at == len(symbols)] = 0
-        return np.where(symbols[at] == hashes, at + 1, 0) if len(symbols) else np.zeros(len(hashes), np.int64)
+                    parts = [merged(parts)]
+                    held = len(parts[0][0])
+                    if held > FLUSH // 2:
+                        yield run(parts[0])
+                        parts, held = [], 0
+        if parts:
+            yield run(merged(parts))
 
-    table = number(words.hashes()).astype(np.int64)
-    end = int(number(np.array([END], np.uint64))[0])
-    return closed_texts(words, table, end)
+    runs = texts.mapInArrow(count, ", ".join(f"{name} long" for name in [*names, "n"]))
+    return runs.groupBy("key").agg(*[F.any_value(name).alias(name) for name in names[1:]], F.sum("n").alias("n"))
 
 
 def before(numbers: np.ndarray, edges: np.ndarray, steps: int) -> np.ndarray:
@@ -116,112 +164,115 @@ def contains(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def fit_suffix_tree(
-    texts: DataFrame, min_share: float = 2e-6, min_count: int = 4, divergence: float = 12.0, discount: float = 0.75
+    texts: DataFrame, min_count: int = 4, divergence: float = 12.0, discount: float = 0.75, depth: int = 2
 ) -> SuffixTree:
     """The model of all of ``texts`` (one column, ``text``; NULL is the empty text).
 
-    Tokens are lower-cased words and one end per text. All tokens are counted, and counts stay a distributed table.
-    Symbols are tokens whose count reaches ``min_share`` of all tokens (and ``min_count``); a context of one or two symbols
-    is a candidate, and a symbol after it an edge, if they reach the same count together. There are therefore
-    ``1 / min_share`` symbols, candidates and edges of a length at most, and that bounds what the driver and the tasks
-    hold. A context is retained if the sum over its edges of ``n * ln(P(symbol | context) / P(symbol | suffix))``,
+    Tokens are lower-cased words and one end per text. A context of up to ``depth`` tokens is a candidate, and a token
+    after it an edge, if they occur ``min_count`` times together, whatever the size of the corpus; all of them are rows
+    of tables. A context is retained if the sum over its edges of ``n * ln(P(token | context) / P(token | suffix))``,
     its divergence from its suffix, is ``divergence`` or more; a retained context keeps its suffix.
 
-    Smoothing: an edge has (n - discount) / N; what is left goes to all other symbols in proportion to the next
+    Smoothing: an edge has (n - discount) / N; what is left goes to all other tokens in proportion to the next
     shorter state, down to the base (c + 0.5) / (N + 0.5 (V + 1)), so each state's distribution sums to 1.
+
+    Each length is counted in one scan of the texts. A gram that reaches ``min_count`` has a context and a suffix that do,
+    so a bit set of the shorter ones keeps most others out of the shuffle, and loses none.
     """
     texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
-    counts = cut(counted(texts, lambda w: closed_texts(w, w.hashes(), np.uint64(END))[0]))
+    counts = cut(counted(texts, 1))
     total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     total = total or 0
-    least = max(min_count, math.ceil(min_share * total))
-    frequent = counts.where(F.col("n") >= least).toPandas()
-    hashes = frequent["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    symbols, symbol_counts = hashes[order], frequent["n"].to_numpy(np.int64)[order]
-
     context = texts.sparkSession.sparkContext
-    shared = context.broadcast(symbols)
-
-    def pair_keys(words: Words) -> np.ndarray:
-        numbers, edges = symbols_of(words, shared.value)
-        first = before(numbers, edges, 1)
-        return (first << SYMBOL_BITS | numbers)[(first > 0) & (numbers > 0)]
-
-    pairs = counted(texts, pair_keys).where(F.col("n") >= least).toPandas().sort_values("key")
-    pair_key, pair_n = pairs["key"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)
-    candidates = context.broadcast(pair_key)
-
-    def triple_keys(words: Words) -> np.ndarray:
-        numbers, edges = symbols_of(words, shared.value)
-        first, second = before(numbers, edges, 1), before(numbers, edges, 2)
-        state = contains(candidates.value, second << SYMBOL_BITS | first)
-        return (state << SYMBOL_BITS | numbers)[(second > 0) & (state >= 0) & (numbers > 0)]
-
-    triples = counted(texts, triple_keys).where(F.col("n") >= least).toPandas().sort_values("key")
-    return grown_tree(
-        counts.select(F.col("key").alias("token"), F.col("n").alias("c")), total, distinct, symbols, symbol_counts,
-        pair_key, pair_n, triples["key"].to_numpy(np.int64), triples["n"].to_numpy(np.int64), divergence, discount,
-    )
-
-
-def grown_tree(
-    counts, total, distinct, symbols, symbol_counts, pair_key, pair_n, triple_key, triple_n, divergence, discount
-) -> SuffixTree:
-    mask = (1 << SYMBOL_BITS) - 1
-    scale = total + 0.5 * (distinct + 1)
-    base = (symbol_counts + 0.5) / scale
-
-    # Contexts of one symbol. The number of times a context occurs is its token count (the end is never one).
-    head, tail = pair_key >> SYMBOL_BITS, pair_key & mask
-    ratio = pair_n * np.log(pair_n / symbol_counts[head - 1] / base[tail - 1])
-    gain = np.bincount(head, ratio, len(symbols) + 1)
-    # Contexts of two symbols are pairs; their suffix is the context of the later symbol.
-    state, last = triple_key >> SYMBOL_BITS, triple_key & mask
-    suffix_pair = contains(pair_key, tail[state] << SYMBOL_BITS | last)
-    suffix_p = np.where(suffix_pair >= 0, pair_n[suffix_pair] / symbol_counts[tail[state] - 1], base[last - 1])
-    ratio2 = triple_n * np.log(triple_n / pair_n[state] / suffix_p)
-    gain2 = np.bincount(state, ratio2, len(pair_key))
-    kept2 = np.flatnonzero(gain2 >= divergence)
-    kept1 = np.flatnonzero(gain >= divergence)
-    kept1 = np.union1d(kept1, tail[kept2]).astype(np.int64)
-
-    state_keys = np.concatenate((kept1, pair_key[kept2])).astype(np.int64)  # one symbol: under 2**20
-    number_of = {int(k): i + 1 for i, k in enumerate(state_keys)}
-    one = np.zeros(len(symbols) + 1, np.int64)
-    one[kept1] = np.arange(1, len(kept1) + 1)
-    two = np.zeros(len(pair_key), np.int64)
-    two[kept2] = np.arange(len(kept1) + 1, len(number_of) + 1)
-    parent = np.zeros(len(state_keys) + 1, np.int64)
-    parent[len(kept1) + 1 :] = one[tail[kept2]]
-
-    backoff = np.zeros(len(state_keys) + 1)
-    has1 = one[head] > 0
-    from1, to1, n1 = one[head[has1]], tail[has1], pair_n[has1]
-    p1 = (n1 - discount) / symbol_counts[head[has1] - 1]
-    spent = np.bincount(from1, p1, len(backoff))
-    covered = np.bincount(from1, base[to1 - 1], len(backoff))
-    states1 = np.arange(1, len(kept1) + 1)
-    backoff[states1] = np.log10(np.maximum(1 - spent[states1], 1e-12) / np.maximum(1 - covered[states1], 1e-12))
-    key1, value1 = from1 << SYMBOL_BITS | to1, np.log10(p1 / base[to1 - 1])
-    order = np.argsort(key1)
-    key1, value1 = key1[order], value1[order]
-
-    has2 = two[state] > 0
-    from2, to2, n2 = two[state[has2]], last[has2], triple_n[has2]
-    p2 = (n2 - discount) / pair_n[state[has2]]
-    at = contains(key1, parent[from2] << SYMBOL_BITS | to2)
-    lower = np.where(at >= 0, value1[at] if len(value1) else 0.0, backoff[parent[from2]])
-    spent = np.bincount(from2, p2, len(backoff))
-    covered = np.bincount(from2, 10.0**lower * base[to2 - 1], len(backoff))
-    states2 = np.arange(len(kept1) + 1, len(backoff))
-    backoff[states2] = np.log10(np.maximum(1 - spent[states2], 1e-12) / np.maximum(1 - covered[states2], 1e-12))
-    keys = np.concatenate((key1, from2 << SYMBOL_BITS | to2))
-    values = np.concatenate((value1, np.log10(p2 / base[to2 - 1])))
-    order = np.argsort(keys)
-    return SuffixTree(
-        counts, total, distinct, symbols, symbol_counts, state_keys, keys[order], values[order], backoff, parent
-    )
+    enough = F.col("n") >= min_count
+    frequent = [counts.where(enough)]
+    for length in range(2, depth + 2):
+        shorter = context.broadcast(bits_of(frequent[-1]))
+        frequent.append(cut(counted(texts, length, shorter).where(enough)))
+        shorter.unpersist()
+
+    base = (F.col("n") + 0.5) / (total + 0.5 * (distinct + 1))
+    rates = frequent[0].select("key", base.alias("likely"), base.alias("smooth"))
+    states, steps = [], []
+    for shorter, longer in zip(frequent, frequent[1:], strict=False):
+        lower = rates.select(F.col("key").alias("suffix"), F.col("likely").alias("lower_likely"), F.col("smooth").alias("lower_smooth"))
+        edges = longer.join(lower, "suffix").select("key", "context", "n", "lower_likely", "lower_smooth")
+        spent = (F.col("seen") - discount * F.col("symbols")) / F.col("times")
+        left = lambda share: F.greatest(1 - share, F.lit(1e-12))
+        found = cut(
+            edges.groupBy("context").agg(
+                F.sum(F.col("n") * F.log(F.col("n") / F.col("lower_likely"))).alias("gain"), F.sum("n").alias("seen"),
+                F.count(F.lit(1)).alias("symbols"), F.sum("lower_smooth").alias("covered"),
+            )
+            .join(shorter.withColumnsRenamed({"context": "_head", "suffix": "_suffix", "key": "context", "n": "times"}), "context")
+            .select(
+                "context", "times", *[c for c in ("_head", "_suffix") if "suffix" in shorter.columns],
+                (F.col("gain") - F.col("seen") * F.log("times")).alias("divergence"),
+                F.log10(left(spent) / left(F.col("covered"))).alias("backoff"),
+            )
+        )
+        smooth = (F.col("n") - discount) / F.col("times")
+        rates = cut(
+            edges.join(found.select("context", "times", "backoff"), "context").select(
+                "key", "context", "n", (F.col("n") / F.col("times")).alias("likely"), smooth.alias("smooth"),
+                (F.log10(smooth / F.col("lower_smooth")) - F.col("backoff")).alias("step"),
+            )
+        )
+        states.append(found)
+        steps.append(rates)
+
+    kept: list[DataFrame] = []
+    for found in reversed(states):
+        own = F.col("divergence") >= divergence
+        if kept:
+            marks = kept[0].select(F.col("_suffix").alias("context"), F.lit(True).alias("marked")).distinct()
+            found = cut(found.join(marks, "context", "left").where(own | F.col("marked")).drop("marked"))
+        else:
+            found = found.where(own)
+        kept.insert(0, found)
+    steps = [table.join(held.select("context"), "context", "left_semi") for table, held in zip(steps, kept, strict=True)]
+
+    # A gram occurs as a context just where it occurs, since no text ends with it: both its weights count there.
+    none = F.lit(None).cast("long").alias("c")
+    parts = counts.select("key", F.col("n").alias("c"), F.lit(0.0).alias("gain"), "n")
+    for table, held in zip(steps, kept, strict=True):
+        parts = parts.union(table.select("key", none, "step", "n"))
+        parts = parts.union(held.select("context", none, "backoff", "times"))
+    weights = cut(parts.groupBy("key").agg(F.max("c").alias("c"), F.sum("gain").alias("gain"), F.max("n").alias("n")))
+    tokens = counts.select(F.col("key").alias("token"), F.col("n").alias("c"))
+    return SuffixTree(tokens, total, distinct, weights, frequent[0], kept, steps)
+
+
+def collected_tree(model: SuffixTree) -> dict[str, np.ndarray]:
+    """The states of one and two symbols as arrays, numbered from 1 (0: the root), as ``gains`` takes them."""
+    column = lambda frame, name: frame[name].to_numpy(np.int64).view(np.uint64)
+    frequent = model.frequent.toPandas()
+    order = np.argsort(column(frequent, "key"))
+    symbols, counts = column(frequent, "key")[order], frequent["n"].to_numpy(np.int64)[order]
+    number = lambda hashes: contains(symbols, hashes) + 1
+    base = (counts + 0.5) / (model.total + 0.5 * (model.distinct + 1))
+    one, *deeper = [k.toPandas() for k in model.kept[:2]]
+    contexts, keys = [column(one, "context")], [number(column(one, "context"))]
+    parent, backoff = [np.zeros(len(one) + 1, np.int64)], [np.zeros(1), one["backoff"].to_numpy(float)]
+    for two in deeper:
+        place = {int(k): i + 1 for i, k in enumerate(contexts[0])}
+        contexts.append(column(two, "context"))
+        keys.append(number(column(two, "_head")) << SYMBOL_BITS | number(column(two, "_suffix")))
+        parent.append(np.array([place[int(k)] for k in column(two, "_suffix")], np.int64))
+        backoff.append(two["backoff"].to_numpy(float))
+    place = {int(k): i + 1 for i, k in enumerate(np.concatenate(contexts))}
+    edge_keys, edge_values = [], []
+    for frame in (e.toPandas() for e in model.edges[:2]):
+        heads = column(frame, "context")
+        last = number(column(frame, "key") - STEP * heads)
+        edge_keys.append(np.array([place[int(k)] for k in heads], np.int64) << SYMBOL_BITS | last)
+        edge_values.append(np.log10(frame["smooth"].to_numpy(float) / base[last - 1]))
+    edge_keys, edge_values = np.concatenate(edge_keys), np.concatenate(edge_values)
+    order = np.argsort(edge_keys)
+    return {
+        "symbols": symbols, "symbol_counts": counts, "state_keys": np.concatenate(keys), "edge_keys": edge_keys[order],
+        "edge_values": edge_values[order], "backoff": np.concatenate(backoff), "parent": np.concatenate(parent),
+    }
 
 
 def gains(tree, numbers: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -247,77 +298,109 @@ def gains(tree, numbers: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return result
 
 
+def most_frequent(weights: DataFrame, most: int = CACHE) -> tuple[np.ndarray, ...]:
+    """Sorted keys, counts (0: no token) and gains of the most frequent weights, ``most`` at most: a cache, whose size
+    changes no result."""
+    level = F.floor(F.log2("n") * 4).cast("int")
+    rows = dict(weights.groupBy(level.alias("level")).count().collect())
+    least, held = max(rows, default=0) + 1, 0
+    while rows and least > min(rows) and held + rows.get(least - 1, 0) <= most:
+        least -= 1
+        held += rows.get(least, 0)
+    found = weights.where(level >= least).select("key", F.coalesce("c", F.lit(0)).alias("c"), "gain").toPandas().sort_values("key")
+    return found["key"].to_numpy(np.int64), found["c"].to_numpy(np.int64), found["gain"].to_numpy(float)
+
+
 def score_texts(docs: DataFrame, model: SuffixTree, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``.
 
-    ``base_score`` uses the counts of all training tokens. Frequent symbols are looked up inside the task; tokens
-    below that leave the task once per document and distinct token and meet the table of counts in a join, in
-    which no token is hot, since all hot ones are symbols. ``score`` adds the tree's gain over the base.
+    ``base_score`` uses the counts of all training tokens; ``score`` adds what the longest retained suffix before each
+    token gives. That is a sum over the text's grams: a retained context adds its weight on other tokens, an edge the
+    difference from that and from the next shorter state. The most frequent grams are looked up inside the task; other
+    grams that a bit set does not rule out leave the task once per document and gram and meet the table of weights
+    in a join, in which no gram is hot, since all hot ones are in the cache.
 
     A NULL or blank text is the end alone. NULL ids and repeated rows are scored like any other; an empty table
     gives an empty result, and a model of no texts scores every token by the base formula with all counts 0.
     """
     context = docs.sparkSession.sparkContext
-    one = model.state_keys < (1 << SYMBOL_BITS)
-    numbers = np.arange(1, len(model.state_keys) + 1)
-    keys_two, state_two = model.state_keys[~one], numbers[~one]
-    order = np.argsort(keys_two)
-    tree = context.broadcast((
-        model.state_keys[one], keys_two[order], numbers[one], state_two[order], model.edge_keys, model.edge_values,
-        model.backoff, model.parent,
-    ))
-    symbols = context.broadcast((model.symbols, np.concatenate(([0.0], np.log10(model.symbol_counts + 0.5)))))
+    known = context.broadcast((bits_of(model.weights.select("key")), *most_frequent(model.weights)))
     source = cut(
         docs.select(
             F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"),
         ).select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(
-            scorer(symbols, tree), score_schema(docs.schema[id_col].dataType.simpleString())
+            scorer(known, model.depth), score_schema(docs.schema[id_col].dataType.simpleString())
         )
     )
     scale = math.log10(model.total + 0.5 * (model.distinct + 1))
-    rare = source.select("row", F.explode(F.arrays_zip("tokens", "times")).alias("e")).select("row", "e.tokens", "e.times")
-    joined = rare.join(model.counts, F.col("tokens") == F.col("token"), "left")
-    logs = F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_logs")
-    known = F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known")
-    sums = joined.groupBy("row").agg(logs, known)
+    rare = source.select("row", F.explode(F.arrays_zip("grams", "times")).alias("e")).select("row", "e.grams", "e.times")
+    joined = rare.join(model.weights.select("key", "c", F.col("gain").alias("weight")), F.col("grams") == F.col("key"))
+    logs = F.sum(F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - math.log10(0.5))).alias("rare_logs")
+    sums = joined.groupBy("row").agg(
+        logs, F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
+        F.sum(F.col("times") * F.col("weight")).alias("rare_gain"),
+    )
     base = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("n_tokens") * scale
-    return source.drop("tokens", "times").join(sums, "row", "left").select(
+    gain = F.col("gain") + F.coalesce("rare_gain", F.lit(0.0))
+    return source.drop("grams", "times").join(sums, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"),
+        F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + gain).alias("score"),
     )
 
 
 def score_schema(id_type: str) -> str:
     return (
         f"doc_id {id_type}, row long, n_tokens long, known long, logs double, gain double, "
-        "tokens array<long>, times array<int>"
+        "grams array<long>, times array<int>"
     )
 
 
-def scorer(symbols, tree):
-    """Per text: what the symbols and the tree give, and its other tokens with their numbers of occurrences."""
+def scorer(known, depth: int):
+    """Per text: what the cached grams give, and its other grams with their numbers of occurrences.
+
+    All tokens outside the cache get the count 0 here; the join adds the difference for those that it finds.
+    """
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, keys, counts, gained = known.value
         for batch in batches:
             for part in chunks(batch):
                 words = Words(part.column("text"))
-                numbers, edges = symbols_of(words, symbols.value[0])
-                hashes, _ = closed_texts(words, words.hashes(), np.uint64(END))
+                tokens, edges = closed_texts(words, words.hashes(), np.uint64(END))
                 begins = edges[:-1]
                 owners = np.repeat(np.arange(len(begins)), np.diff(edges))
-                rare = numbers == 0
-                pairs = np.rec.fromarrays((owners[rare], hashes[rare].view(np.int64)), names="o,h")
-                found, times = np.unique(pairs, return_counts=True)
-                places = np.searchsorted(found["o"], np.arange(len(begins) + 1)).astype(np.int32)
+                logs, gain, seen = np.full(len(tokens), math.log10(0.5)), np.zeros(len(tokens)), np.zeros(len(tokens), np.int64)
+                rare_owners, rare_keys = [], []
+                for length, (places, found, _, _) in enumerate(grams(tokens, edges, depth + 1), 1):
+                    maybe = np.flatnonzero(may_have(bits, found))
+                    places, found = places[maybe], found[maybe].view(np.int64)
+                    at = contains(keys, found)
+                    hit, at = places[at >= 0], at[at >= 0]
+                    gain[hit] += gained[at]
+                    if length == 1:
+                        logs[hit] = np.log10(counts[at] + 0.5)
+                        seen[hit] = counts[at] > 0
+                    miss = np.ones(len(tokens), bool)
+                    miss[hit] = False
+                    miss = miss[places]
+                    rare_owners.append(owners[places[miss]])
+                    rare_keys.append(found[miss])
+                rare_owners, rare_keys = np.concatenate(rare_owners), np.concatenate(rare_keys)
+                order = np.lexsort((rare_keys, rare_owners))
+                rare_owners, rare_keys = rare_owners[order], rare_keys[order]
+                new = np.ones(len(order), bool)
+                new[1:] = (rare_owners[1:] != rare_owners[:-1]) | (rare_keys[1:] != rare_keys[:-1])
+                first = np.flatnonzero(new)
+                times = np.diff(np.append(first, len(order))).astype(np.int32)
+                lists = pa.array(np.searchsorted(rare_owners[first], np.arange(len(begins) + 1)).astype(np.int32))
                 total = lambda values: np.add.reduceat(values, begins)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), part.column("row"), pa.array(np.diff(edges)),
-                        pa.array(total((numbers > 0).astype(np.int64))), pa.array(total(np.where(rare, 0.0, symbols.value[1][numbers]))),
-                        pa.array(total(gains(tree.value, numbers, edges))),
-                        pa.ListArray.from_arrays(pa.array(places), pa.array(found["h"])),
-                        pa.ListArray.from_arrays(pa.array(places), pa.array(times.astype(np.int32))),
+                        part.column("doc_id"), part.column("row"), pa.array(np.diff(edges)), pa.array(total(seen)),
+                        pa.array(total(logs)), pa.array(total(gain)),
+                        pa.ListArray.from_arrays(lists, pa.array(rare_keys[first])),
+                        pa.ListArray.from_arrays(lists, pa.array(times)),
                     ],
-                    names=["doc_id", "row", "n_tokens", "known", "logs", "gain", "tokens", "times"],
+                    names=["doc_id", "row", "n_tokens", "known", "logs", "gain", "grams", "times"],
                 )
 
     return score

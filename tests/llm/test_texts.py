@@ -209,3 +209,47 @@ def test_model_helps_on_held_out_documents(spark):
     got = [r for r in QUERIES["op1_suffix_tree"](spark, SMALL).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 1 for r in got)
+
+
+def test_model_keeps_all_contexts_that_reach_the_count_whatever_the_corpus(spark):
+    """A context seen ten times stays in the model beside 6 million other tokens."""
+    rare = "alpha beta gamma"
+    filler = spark.range(3000).selectExpr("repeat('x y ', 1000) AS text")
+    model = fit_suffix_tree(filler.union(spark.range(10).selectExpr(f"'{rare}' AS text")))
+    got = score_texts(spark.createDataFrame([(1, rare), (2, "gamma beta alpha")], "doc_id long, text string"), model).collect()
+    (known,), (mixed,) = ([r for r in got if r.doc_id == i] for i in (1, 2))
+    assert known.n_known == 4 and known.score > known.base_score + 5
+    assert mixed.n_known == 4 and mixed.score < mixed.base_score
+
+
+def test_model_scores_equal_the_collected_tree(spark, docs, rows, monkeypatch):
+    from capfolio.llm import suffix_tree
+
+    model = fit_suffix_tree(docs, min_count=2, divergence=1.0)
+    one = model.state_keys < (1 << 20)
+    numbers = np.arange(1, len(one) + 1)
+    order = np.argsort(model.state_keys[one]), np.argsort(model.state_keys[~one])
+    tree = (
+        model.state_keys[one][order[0]], model.state_keys[~one][order[1]], numbers[one][order[0]], numbers[~one][order[1]],
+        model.edge_keys, model.edge_values, model.backoff, model.parent,
+    )
+    assert one.any() and (~one).any()
+    words = Words(pa.array([r[1] for r in rows], pa.string()))
+    hashes, edges = suffix_tree.closed_texts(words, words.hashes(), np.uint64(suffix_tree.END))
+    gain = np.add.reduceat(suffix_tree.gains(tree, contains(model.symbols, hashes) + 1, edges), edges[:-1])
+    want = Counter((r[0], round(g, 4) + 0.0) for r, g in zip(rows, gain.tolist()))
+    for size in (0, 7, suffix_tree.CACHE):
+        monkeypatch.setattr(suffix_tree.most_frequent, "__defaults__", (size,))
+        got = score_texts(docs, model).collect()
+        assert Counter((r.doc_id, round(r.score - r.base_score, 4) + 0.0) for r in got) == want
+
+
+def test_model_of_longer_contexts(spark):
+    texts = ["a b c d e", "z b c d f"] * 40
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    ask = spark.createDataFrame([(0, "a b c d e"), (1, "a b c d f")], "doc_id long, text string")
+    gap = []
+    for depth in (2, 4):
+        scores = {r.doc_id: r.score for r in score_texts(ask, fit_suffix_tree(train, depth=depth)).collect()}
+        gap.append(scores[0] - scores[1])
+    assert abs(gap[0]) < 0.01 and gap[1] > 1
