@@ -50,8 +50,9 @@ def source_targets(sized: DataFrame, weights: Sequence[float], most_copies: int)
 def fold_block(nodes: Column, source: Column, seed: int) -> Column:
     """Pivotal rounding along one block, largest first: struct(leaf, size, mass, decided).
 
-    ``mass`` counts words. Where two nodes meet, the larger becomes integral: it takes its whole size with the
-    chance ``mass / size``, and the smaller one carries the difference on, as a debt if need be.
+    ``mass`` counts words, from 0 to the node's size. Where two nodes meet, words move from one to the other as far as
+    both stay in these bounds, in either direction with chances inverse to the amounts, so the expected mass of
+    both stays as it is. A node that reached 0 or its size is decided, and the other one is carried on.
     """
     start = F.struct(
         F.lit(None).cast("long").alias("leaf"), F.lit(None).cast("long").alias("size"), F.lit(0.0).alias("mass"),
@@ -59,14 +60,22 @@ def fold_block(nodes: Column, source: Column, seed: int) -> Column:
     )
 
     def meet(have: Column, new: Column) -> Column:
-        takes = unit_interval(F.lit(seed), source, have["leaf"], new["leaf"]) * have["size"] < have["mass"]
-        entry = F.struct(have["leaf"].alias("leaf"), takes.cast("int").alias("take"))
-        left = F.when(takes, have["mass"] - have["size"]).otherwise(have["mass"])
+        room, new_room = have["size"] - have["mass"], new["size"] - new["mass"]
+        up, down = F.least(room, new["mass"]), F.least(have["mass"], new_room)
+        rises = unit_interval(F.lit(seed), source, have["leaf"], new["leaf"]) * (up + down) < down
+        settles = F.when(rises, room <= new["mass"]).otherwise(have["mass"] <= new_room)  # the node held, not the new one
+        # A settled node that rose has its size, one that fell has nothing; the new node moves the other way.
+        entry = F.struct(
+            F.when(settles, have["leaf"]).otherwise(new["leaf"]).alias("leaf"), (rises == settles).cast("int").alias("take")
+        )
+        moved = F.when(rises, up).otherwise(-down)
+        left = F.when(settles, new["mass"] - moved).otherwise(have["mass"] + moved)
         none = have["leaf"].isNull()
+        stays = ~none & ~settles
         return F.struct(
-            new["leaf"].alias("leaf"),
-            new["size"].alias("size"),
-            F.when(none, new["mass"]).otherwise(new["mass"] + left).alias("mass"),
+            F.when(stays, have["leaf"]).otherwise(new["leaf"]).alias("leaf"),
+            F.when(stays, have["size"]).otherwise(new["size"]).alias("size"),
+            F.when(none, new["mass"]).otherwise(left).alias("mass"),
             F.when(none, have["decided"]).otherwise(F.concat(have["decided"], F.array(entry))).alias("decided"),
         )
 
@@ -86,9 +95,9 @@ def mix_sources(
 
     Every document of a source should be copied ``target / source_size`` times. The whole part is taken as it is;
     the fraction is rounded by the pivotal method: two documents meet, and mass moves between them at random until
-    one is taken once more or not at all, while the other carries the rest on. Mass is counted in words and
-    moves from larger documents to smaller ones, so a source ends within the size of its smallest documents of its
-    target. Documents are ranked by falling size within their source; blocks of 256 neighbours are folded at once
+    one is taken once more or not at all, while the other carries the rest on. Mass is counted in words, and each
+    document keeps its expected number of copies; a source ends within the size of one document, the last that
+    was carried, of its target. Documents are ranked by falling size within their source; blocks of 256 neighbours are folded at once
     and leave one carrier, which meets those of neighbouring blocks one level up. The tree's depth is
     the logarithm of the largest source, and each level is one shuffle keyed by source and block.
     Random numbers are hashes of seed and ranks, so reruns agree.

@@ -253,3 +253,25 @@ def test_model_of_longer_contexts(spark):
         scores = {r.doc_id: r.score for r in score_texts(ask, fit_suffix_tree(train, depth=depth)).collect()}
         gap.append(scores[0] - scores[1])
     assert abs(gap[0]) < 0.01 and gap[1] > 1
+
+
+def test_mix_rounds_each_document_with_its_own_chance(spark):
+    from capfolio.llm.mixing import fold_block
+
+    sizes = [500, 40, 40, 40, 40, 7, 7, 7, 3, 3]
+    share, runs = 0.3, 20000
+    nodes = F.array(*[
+        F.struct(F.lit(i).cast("long").alias("node"), F.lit(i).cast("long").alias("leaf"), F.lit(s).cast("long").alias("size"), F.lit(share * s).alias("mass"))
+        for i, s in enumerate(sizes)
+    ])
+    folded = spark.range(runs).select("id", nodes.alias("nodes"), F.concat(F.lit("s"), F.col("id")).alias("source"))
+    folded = folded.select(fold_block(F.col("nodes"), F.col("source"), 7).alias("s")).cache()
+    assert folded.where("s.mass < -1e-9 OR s.mass > s.size + 1e-9 OR size(s.decided) <> 9").isEmpty()
+    sums = folded.select("s.mass", F.aggregate(
+        "s.decided", F.lit(0.0), lambda a, d: a + d["take"] * F.get(F.array(*map(F.lit, sizes)), d["leaf"].cast("int"))
+    ).alias("taken"))
+    assert sums.where(f"abs(taken + mass - {share * sum(sizes)}) > 1e-6").isEmpty()
+    taken = folded.select(F.explode("s.decided").alias("d")).select("d.leaf", F.col("d.take").cast("double").alias("p"))
+    carried = folded.select("s.leaf", (F.col("s.mass") / F.col("s.size")).alias("p"))
+    got = {r.leaf: r.p / runs for r in taken.union(carried).groupBy("leaf").agg(F.sum("p").alias("p")).collect()}
+    assert got == pytest.approx({i: share for i in range(len(sizes))}, abs=0.02)
