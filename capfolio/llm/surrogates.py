@@ -17,19 +17,26 @@ ADDRESS = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9])(?!\.[0-9])"
 PHONE = (
     r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
     r"|(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?[0-9]{2,4}[ .-]?[0-9]{3}[ .-]?[0-9]{3,4}(?![0-9])"
-    r"|(?<![0-9A-Za-z.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
+    r"|(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?[0-9](?:[ .-]?[0-9]{2}){4}(?![0-9])"
+    r"|(?<![0-9A-Za-z.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
 )
 SOCIAL = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9A-Za-z])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])"
+CARD = (
+    r"(?<![0-9A-Za-z])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9A-Za-z])"
+)
+KEYWORD = "(?i:password|passwd|secret|token|api_key|apikey)"
 SECRET = (
     r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{12,20}(?![0-9A-Za-z])"
-    r"|(?<=(?:password|passwd|secret|token|api_key|apikey)(?: ?[=:] ?[\"']?))[A-Za-z0-9+/_-]{8,}"
+    rf"|(?<={KEYWORD}(?: ?[=:] ?[\"']?))[A-Za-z0-9+/_-]{{8,}}"
     r"|(?<![0-9A-Za-z])(?:ghp_|sk-)[A-Za-z0-9]{16,}"
 )
 NAME = rf"(?<!\p{{L}})(?:{TITLE})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}"
 PATTERN = "|".join((SECRET, EMAIL, ADDRESS, SOCIAL, CARD, PHONE, NAME))
 #: Every text with a match has one of these; texts without are not searched.
-HINT = rf"[0-9@]|password|passwd|secret|token|api_?key|sk-|(?:{TITLE})\.? "
+HINT = rf"[0-9@]|{KEYWORD}|AKIA|ghp_|sk-|(?:{TITLE})\.? "
+#: The end of the text before a value that a keyword makes a secret, whatever it looks like.
+AFTER_KEYWORD = rf"(?:^|{KEYWORD}) ?[=:] ?[\"']?\z"
 
 #: Syllables of invented names by script.
 SYLLABLES = {
@@ -116,6 +123,12 @@ def luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(each, F.lit(0), lambda a, b: a + b), F.lit(10))
 
 
+def ordinary_number(entity: Column, before: Column) -> Column:
+    """Whether a match only looks like a card: its Luhn sum is wrong, and no keyword makes it a secret."""
+    wrong = luhn(F.regexp_replace(entity, "[^0-9]", "")) != 0
+    return F.when(entity.rlike(rf"^(?:{CARD})$"), wrong & ~F.coalesce(before.rlike(AFTER_KEYWORD), F.lit(False))).otherwise(False)
+
+
 def surrogate(key: str, kind: Column, original: Column, attempt: Column) -> Column:
     """The canonical surrogate of a canonical entity; another one for each attempt."""
     numbers = keyed_bytes(key, kind, original, attempt)
@@ -225,7 +238,8 @@ def replace_private(
     """doc_id, text, n_entities: each text with its private data replaced, one row per row of ``docs``.
 
     Detected are e-mail and IPv4 addresses, phone, card and social security numbers, credentials, and names after
-    a title. Replacements depend on the key and the entity alone, so an entity has the same surrogate everywhere,
+    a title. A number in a card's layout whose Luhn sum is wrong stays, unless a keyword before it makes it a secret.
+    Replacements depend on the key and the entity alone, so an entity has the same surrogate everywhere,
     whatever its layout (coreference, across documents too); they keep format, script, a name's gender, a card's
     Luhn remainder, country codes and top-level domains.
 
@@ -236,12 +250,20 @@ def replace_private(
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(f"({PATTERN})"), 1))
-    searched = base.withColumn("entities", F.coalesce(found, F.array().cast("array<string>")))
-    clean = searched.where(F.size("entities") == 0).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"))
-    private = searched.where(F.size("entities") > 0).withColumn("k1", F.xxhash64("doc_id")).withColumn("k2", F.xxhash64("text"))
+    searched = base.withColumn("matches", F.coalesce(found, F.array().cast("array<string>")))
+    between = F.split("text", f"(?:{PATTERN})", -1)
+    card = F.exists("matches", lambda m: m.rlike(rf"^(?:{CARD})$"))
+    before = F.when(card, between).otherwise(F.array().cast("array<string>"))
+    entity = lambda m, i: F.struct(m.alias("value"), ordinary_number(m, F.get("before", i)).alias("ordinary"))
+    searched = searched.withColumn("before", before).withColumn("entities", F.transform("matches", entity))
+    searched = searched.withColumn("n_entities", F.size(F.filter("entities", lambda e: ~e["ordinary"])).cast("long")).drop("matches", "before")
+    clean = searched.where(F.col("n_entities") == 0).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"))
+    private = searched.where(F.col("n_entities") > 0).withColumn("k1", F.xxhash64("doc_id")).withColumn("k2", F.xxhash64("text"))
     occurrences = private.select("k1", "k2", "entities").dropDuplicates(["k1", "k2"]).select("k1", "k2", F.posexplode("entities").alias("place", "entity"))
+    unchanged = F.array(F.struct(F.lit("keep").alias("kind"), F.col("entity.value").alias("value")))
+    parts = F.when(F.col("entity.ordinary"), unchanged).otherwise(tokens_of(F.col("entity.value")))
     tokens = cut(
-        occurrences.select("k1", "k2", "place", F.posexplode(tokens_of(F.col("entity"))).alias("part", "token"))
+        occurrences.select("k1", "k2", "place", F.posexplode(parts).alias("part", "token"))
         .select("k1", "k2", "place", "part", F.col("token.kind").alias("kind"), F.col("token.value").alias("value"))
         .withColumn("original", canonical(F.col("kind"), F.col("value")))
     )
@@ -252,9 +274,8 @@ def replace_private(
     ordered = lambda first: F.array_sort(F.collect_list(F.struct(first, "put")))
     whole = replaced.groupBy("k1", "k2", "place").agg(F.array_join(F.transform(ordered("part"), lambda e: e["put"]), " ").alias("put"))
     lists = whole.groupBy("k1", "k2").agg(F.transform(ordered("place"), lambda e: e["put"]).alias("puts"))
-    between = F.split("text", f"(?:{PATTERN})", -1)
     pieces = F.transform(between, lambda part, i: F.concat(part, F.coalesce(F.get("puts", i), F.lit(""))))
     rewritten = private.join(lists, ["k1", "k2"]).select(
-        "doc_id", F.array_join(pieces, "").alias("text"), F.size("entities").cast("long").alias("n_entities")
+        "doc_id", F.array_join(pieces, "").alias("text"), "n_entities"
     )
     return clean.union(rewritten)
