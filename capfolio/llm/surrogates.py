@@ -138,6 +138,11 @@ def surrogate(key: str, kind: Column, original: Column, attempt: Column) -> Colu
     known = F.when(kind == "secret", F.regexp_extract(original, "^(?:AKIA|ghp_|sk-)", 0)).otherwise("")
     plain = F.concat(known, F.substring(plain, F.length(known) + 1, F.length(plain)))
 
+    # Every four attempts, names get one more syllable, and credentials and mailboxes one more letter.
+    longer = F.floor(attempt / 4).cast("int")
+    letters = F.transform(F.sequence(F.lit(1), longer), lambda i: pick("abcdefghijklmnopqrstuvwxyz", numbers(F.length(original) + i)))
+    extra = F.when(longer > 0, F.array_join(letters, "")).otherwise("")
+
     # A phone's area and exchange do not begin with 0 or 1.
     digit = lambda c, i: F.when((kind == "phone") & i.isin(0, 3), pick("23456789", numbers(i))).otherwise(pick("0123456789", numbers(i)))
     digits = F.array_join(F.transform(characters, digit), "")
@@ -154,23 +159,23 @@ def surrogate(key: str, kind: Column, original: Column, attempt: Column) -> Colu
     stem_of_host = F.substring(host, F.lit(1), F.length(host) - F.length(last))
     new_host = F.array_join(F.transform(characters_of(stem_of_host), lambda c, i: like_character(c, host_numbers(i), F.lit(False))), "")
     local = F.substring(plain, F.lit(1), F.length(F.substring_index(original, "@", 1)))
-    email = F.concat(local, F.lit("@"), new_host, last)
+    email = F.concat(local, extra, F.lit("@"), new_host, last)
 
     cyrillic = original.rlike(r"\p{IsCyrillic}")
 
     def name(script: str) -> Column:
         syllables = SYLLABLES[script]
-        chosen = [F.get(F.array(*map(F.lit, syllables)), F.pmod(numbers(F.lit(i)), F.lit(len(syllables))).cast("int")) for i in range(3)]
-        more = F.when(attempt > 3, F.get(F.array(*map(F.lit, syllables)), F.pmod(numbers(F.lit(3)), F.lit(len(syllables))).cast("int"))).otherwise("")
+        listed = F.array(*map(F.lit, syllables))
+        chosen = F.transform(F.sequence(F.lit(0), longer + 2), lambda i: F.get(listed, F.pmod(numbers(i), F.lit(len(syllables))).cast("int")))
         ending = F.when(kind == "given_f", ENDINGS[script, "f"]).when(kind == "given_m", ENDINGS[script, "m"]).otherwise(ENDINGS[script, "s"])
-        return F.concat(*chosen, more, ending)
+        return F.concat(F.array_join(chosen, ""), ending)
 
     return (
         F.when(kind == "card", card)
         .when(kind.isin("phone", "social"), digits)
         .when(kind == "address", address)
         .when(kind == "email", email)
-        .when(kind == "secret", plain)
+        .when(kind == "secret", F.concat(plain, extra))
         .when(cyrillic, name("cyrillic"))
         .otherwise(name("latin"))
     )
@@ -205,12 +210,14 @@ def surrogate_map(entities: DataFrame, key: str, attempts: int = 64) -> DataFram
 
     No two entities of a kind share a surrogate and none is itself an entity of its kind. Where that fails, all
     but the least of the entities that met try again with the next attempt number; each round is one aggregate and
-    runs until nothing clashes. ValueError if ``attempts`` rounds do not suffice, which means that a kind
+    runs until nothing clashes. Names, mailboxes and credentials get longer with the attempts, so there is room for any
+    number of them. ValueError if ``attempts`` rounds do not suffice for numbers and addresses, which means that a kind
     has more entities than its format has values.
     """
     columns = ("kind", "original")
     assigned = cut(entities.select(*columns).distinct().withColumn("attempt", F.lit(0)))
-    for _ in range(attempts):
+    rounds = 0
+    while True:
         tried = assigned.withColumn("new", surrogate(key, F.col("kind"), F.col("original"), F.col("attempt")))
         taken = tried.select("kind", F.col("original").alias("value"), F.lit(None).cast("string").alias("owner"))
         offers = tried.select("kind", F.col("new").alias("value"), F.col("original").alias("owner"))
@@ -225,11 +232,13 @@ def surrogate_map(entities: DataFrame, key: str, attempts: int = 64) -> DataFram
         )
         if losers.isEmpty():
             return tried.select(*columns, "new")
+        rounds += 1
+        if rounds >= attempts and not losers.where(F.col("kind").isin("address", *DIGIT_KINDS)).isEmpty():
+            raise ValueError(f"surrogates still clash after {attempts} attempts")
         assigned = cut(
             assigned.join(losers, [*columns], "left")
             .select(*columns, (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
         )
-    raise ValueError(f"surrogates still clash after {attempts} attempts")
 
 
 def replace_private(

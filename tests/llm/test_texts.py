@@ -293,3 +293,14 @@ def test_surrogates_of_upper_case_keywords_and_further_layouts(spark):
         assert (got[i].text, got[i].n_entities) == (text, 0)
     last = got[len(private) + len(plain)]
     assert last.n_entities == 1 and last.text.startswith("4111 1111 1111 1112 and ") and "bob" not in last.text
+
+
+def test_surrogates_grow_where_a_format_is_full(spark, monkeypatch):
+    from capfolio.llm import surrogates
+
+    monkeypatch.setitem(surrogates.SYLLABLES, "latin", ("ba", "do"))
+    entities = [("surname", f"name{i}") for i in range(24)] + [("secret", "--------")]
+    frame = spark.createDataFrame(entities, "kind string, original string")
+    got = surrogates.surrogate_map(frame, "k", attempts=8).collect()
+    new = {(r.kind, r.new) for r in got}
+    assert len(got) == len(entities) == len(new) and not new & set(entities)
