@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,27 +30,34 @@ def fold_of(identifier: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(identifier.cast("string").cast("binary")), F.lit(folds))
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """``frame`` written to the shared checkpoint folder, so that lost executors cost no recomputation.
+def scratch_folder(spark: SparkSession) -> str:
+    """A shared folder for tables between stages: the session's checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where there is none.
+    Where ``spark.checkpoint.dir`` is unset, a session whose tasks all run in this process gets a temporary one; any
+    other is refused, since executors of other machines could not read a local folder.
     """
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="capfolio-"))
-    return frame.checkpoint()
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """A shared folder for tables between stages: the session's checkpoint folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="capfolio-"))
     return context.getCheckpointDir()
 
 
+def cut(frame: DataFrame) -> DataFrame:
+    """``frame`` checkpointed in the shared folder, so that lost executors cost no recomputation."""
+    scratch_folder(frame.sparkSession)
+    return frame.checkpoint()
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """``frame`` written as Parquet to the shared folder and read again; columns that are not read later cost nothing."""
+    path = f"{scratch_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def bit_set(hashes: DataFrame, bits: int) -> Column:
     """The single long column of ``hashes`` as a scalar array of ``bits / 64`` longs, for ``in_bit_set``.
 

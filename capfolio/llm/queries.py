@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capfolio.llm.common import documents, fold_of
+from capfolio.llm.common import documents, fold_of, lower_ascii
 from capfolio.llm.exact_dedup import exact_duplicates
 from capfolio.llm.fingerprints import fingerprint_edits
 from capfolio.llm.language_id import fit_languages, identify
 from capfolio.llm.line_dedup import drop_lines, keep_bitmaps
+from capfolio.llm.merkle import folded, leaf_digest, merkle_manifest, proof_text
 from capfolio.llm.mixing import mix_sources
 from capfolio.llm.near_dedup import near_duplicates
 from capfolio.llm.packing import pack_exact, pack_matrices, token_pieces
@@ -73,6 +74,22 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.col("text")
+    values = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = fold_of(F.col("doc_id"), 3) == 0
+    leaves = documents(spark, folder).select(
+        "doc_id", "lang", leaf_digest(*values, text).alias("leaf"),
+        F.when(tampered, leaf_digest(*values, lower_ascii(text))).alias("tampered_leaf"),
+    )
+    proved = merkle_manifest(leaves, tree="lang", order="doc_id")
+    again = proved.withColumn("folded_root", folded(F.coalesce("tampered_leaf", "leaf"), F.col("proof")))
+    return again.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("proof")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_exact_dedup": op2_exact_dedup,
@@ -84,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_matrices": op8_token_matrices,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
