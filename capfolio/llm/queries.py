@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capfolio.llm.chat import events_of_rows, fold_events, format_turns, read_back
 from capfolio.llm.common import documents, fold_of, lower_ascii
 from capfolio.llm.exact_dedup import exact_duplicates
 from capfolio.llm.fingerprints import fingerprint_edits
@@ -74,6 +75,13 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op12_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    tricky = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return read_back(format_turns(fold_events(events_of_rows(rows.union(tricky)))))
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
     values = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -101,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_matrices": op8_token_matrices,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op12_chat_formatting": op12_chat_formatting,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -135,4 +144,25 @@ ORACLE_SQL: dict[str, str] = {
         FROM keyed LEFT JOIN frequent f USING (line_key)
         GROUP BY doc_id
     """,
+    "op12_chat_formatting": r"""
+        WITH said AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), sized AS (
+            SELECT *, length(concat('<s>[INST]  [/INST]', chr(10), '</s>', chr(10)))
+                + length(role) + length(role) - length(replace(role, '\', ''))
+                + length(text) + length(text) - length(replace(text, '\', ''))
+                + length(regexp_replace(concat(role, chr(10), text), '(</?s>|\[/?INST\])', '\1+', 'g'))
+                - length(concat(role, chr(10), text)) AS formatted
+            FROM said
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(formatted) AS BIGINT) AS formatted_chars
+        FROM sized
+        GROUP BY conv_id
+    """,
 }
