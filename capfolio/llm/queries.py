@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capfolio.llm.chat import events_of_rows, fold_events, format_turns, read_back
+from capfolio.llm.collocations import collocations
 from capfolio.llm.common import documents, fold_of, lower_ascii
 from capfolio.llm.exact_dedup import exact_duplicates
 from capfolio.llm.fingerprints import fingerprint_edits
@@ -75,6 +76,10 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(documents(spark, folder), least=30, most=2000, share=80)
+
+
 def op12_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     rows = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_matrices": op8_token_matrices,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op11_collocations": op11_collocations,
     "op12_chat_formatting": op12_chat_formatting,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -144,6 +150,44 @@ ORACLE_SQL: dict[str, str] = {
         FROM keyed LEFT JOIN frequent f USING (line_key)
         GROUP BY doc_id
     """,
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), spoken AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+        ), grams AS (
+            SELECT lang, len(p) AS words, array_to_string(p, ' ') AS phrase
+            FROM (SELECT lang, w[i:i + s - 1] AS p
+                  FROM (SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i
+                        FROM spoken, (SELECT unnest([1, 2, 3, 4]) AS s)))
+        ), counts AS (
+            SELECT lang, words, phrase, count(*) AS f FROM grams GROUP BY ALL
+        ), sizes AS (
+            SELECT lang, sum(f) AS n FROM counts WHERE words = 1 GROUP BY lang
+        ), candidates AS (
+            SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE words > 1 AND f >= 30
+        ), cut AS (
+            SELECT c.*, k, l.f AS l, r.f AS r, (2000000::HUGEINT * a) // (l.f::HUGEINT + r.f) AS score
+            FROM (SELECT *, unnest(range(1, words)) AS k FROM candidates) c
+            JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ')
+            JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:], ' ')
+        ), least AS (
+            SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), inside AS (
+            SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS longer
+            FROM (SELECT *, unnest(range(1, words - s + 2)) AS i
+                  FROM (SELECT *, unnest(range(2, words)) AS s FROM candidates))
+            GROUP BY ALL
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+               CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM least LEFT JOIN inside USING (lang, phrase) JOIN sizes USING (lang)
+        WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT
+        QUALIFY rank <= 2000
+    """,
     "op12_chat_formatting": r"""
         WITH said AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
