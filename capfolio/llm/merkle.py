@@ -150,10 +150,10 @@ def merkle_manifest(leaves: DataFrame, tree: str, order: str) -> DataFrame:
     up: the digests to the ``left`` and to the ``right`` within the run. Folding a leaf with it gives ``root``.
 
     NULL is a tree of its own and comes first, as does a NULL in ``order``; rows that tie there are ordered by leaf, and
-    repeated rows are leaves each. A tree of one row is its leaf. An empty table gives no rows. Texts do not move: only
+    repeated rows are leaves each. A tree of one row is its leaf. An empty table gives no rows. Other columns are kept, but for those named as the new ones. Texts do not move: only
     digests are shuffled, and a hot tree is spread over blocks of 4 096 rows.
     """
-    others = [c for c in leaves.columns if c not in ("leaf", tree, order)]
+    others = [c for c in leaves.columns if c not in ("leaf", tree, order, "subroot", "root", "proof")]
     carried = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(others)]
     own = leaves.select(F.col(tree).cast("string").alias("tree"), F.col(tree).alias("tree_value"), F.col(order).alias("place"), F.col("leaf").alias("digest"), *carried)
     first = stored(with_leaves(ranked(own, ["tree"], ["place", "digest"])))

@@ -119,6 +119,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+def tree_levels(name: str, depth: int) -> str:
+    """CTEs ``{name}1`` to ``{name}{depth}`` from ``{name}0`` (tree, i, d): runs of 8 folded, and ``{name}_steps`` with what a node
+    has beside it at each level. A tree of one node stays as it is, so ``depth`` only has to be large enough."""
+    levels, steps = [], []
+    for k in range(depth):
+        window = f"FROM {name}{k} WINDOW t AS (PARTITION BY tree), run AS (PARTITION BY tree, i // 8 ORDER BY i)"
+        steps.append(f"""
+            SELECT {k} AS level, tree, i, count(*) OVER t > 1 AS folds,
+                coalesce(string_agg(d, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+                coalesce(string_agg(d, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+            {window}""")
+        levels.append(f"""{name}{k + 1} AS (
+            SELECT tree, i // 8 AS i, CASE WHEN max(n) = 1 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d
+            FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}{k}) GROUP BY tree, i // 8)""")
+    return ", ".join(levels) + f", {name}_steps AS ({' UNION ALL '.join(steps)})"
+
+
+def folding(source: str, steps: str, tree: str, place: str, depth: int) -> str:
+    """A query that folds ``h`` of each row of ``source`` up a tree, and appends the siblings to ``proof``."""
+    for k in range(depth):
+        source = f"""
+            SELECT r.* REPLACE (CASE WHEN s.folds THEN sha256(s.lft || r.h || s.rgt) ELSE r.h END AS h, r.proof || s.lft || s.rgt AS proof)
+            FROM ({source}) r JOIN {steps} s ON s.level = {k} AND s.tree = r.{tree} AND s.i = r.{place} // {8**k}"""
+    return source
+
+
+def field_sql(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || {value}, '-')"
+
+
+def leaf_sql(text: str) -> str:
+    return f"sha256({' || '.join(field_sql(v) for v in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+#: CRC-32 bit by bit, over the digits of doc_id; -1 stands for a shift.
+CRC32_SQL = """
+    xor(4294967295, list_reduce(
+        [4294967295::BIGINT] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+            lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+        lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": r"""
         WITH hashed AS (
@@ -209,4 +251,27 @@ ORACLE_SQL: dict[str, str] = {
         FROM sized
         GROUP BY conv_id
     """,
+    # Six levels hold 262 144 documents a language, three 512 languages.
+    "op13_merkle_manifest": f"""
+        WITH leaves AS (
+            SELECT doc_id, lang, {leaf_sql("text")} AS leaf,
+                CASE WHEN {CRC32_SQL} % 3 = 0
+                     THEN {leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered
+            FROM documents
+        ), placed AS (
+            SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+                row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+            FROM leaves
+        ), sub0 AS (SELECT tree, i, leaf AS d FROM placed),
+        {tree_levels("sub", 6)},
+        top0 AS (SELECT 0 AS tree, tree AS i, d FROM sub6),
+        {tree_levels("top", 3)},
+        folded AS (
+            SELECT * FROM ({folding(
+                folding("SELECT *, 0 AS whole, coalesce(tampered, leaf) AS h, '' AS proof FROM placed", "sub_steps", "tree", "i", 6),
+                "top_steps", "whole", "tree", 3)})
+        )
+        SELECT f.doc_id, f.leaf, s.d AS subroot, t.d AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = t.d AS verified
+        FROM folded f JOIN sub6 s USING (tree) CROSS JOIN top3 t
+    """,
 }
