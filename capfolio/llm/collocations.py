@@ -18,13 +18,14 @@ LONGEST = 4
 #: Upper case to lower case, tab to space, and whatever ends a piece to a line feed. All are single bytes in UTF-8.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 FOLDED = bytes.maketrans(UPPER.encode() + b"\t" + ENDS, UPPER.lower().encode() + b" " + b"\n" * len(ENDS))
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
 RANGE_BYTES = 16 << 20
 MOST_RANGES = 65536
 SAMPLE_BYTES = 8 << 20
 SAMPLE_STEP = 61
 LEAST_MERGE = 1 << 20
 SALTS = 4
+RANK_SALTS = 64
 Cut = tuple[bytes, bytes, bytes]
 
 
@@ -240,7 +241,7 @@ def collocations(
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = range_cuts(texts, range_bytes)
     parts = texts.mapInArrow(cut_shards(cuts, longest, shard_bytes), "range int, lang string, counts binary")
-    by_range = parts.repartition("range").sortWithinPartitions("range", "lang")
+    by_range = parts.repartition(len(cuts) + 1, "range").sortWithinPartitions("range", "lang")
     counts = stored(by_range.mapInArrow(add_up(least), "range int, lang string, n_words long, counts binary"))
 
     requests = counts.select("lang", "counts").mapInArrow(ask_parts(cuts, least), REQUEST)
@@ -263,8 +264,12 @@ def collocations(
     longer = answers.where(inner).groupBy("lang", F.col("part").alias("phrase")).agg(F.max("a").alias("longer"))
     within = whole(F.col("longer")) * 100 >= whole(F.col("a")) * share
     scored = best.join(longer, ["lang", "phrase"], "left").where(~F.coalesce(within, F.lit(False)))
-    ranked = scored.select("lang", "phrase", "a", "best.l", "best.r", "best.score").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")
+    phrases = scored.select("lang", "phrase", "a", "best.l", "best.r", "best.score", F.pmod(F.xxhash64("phrase"), F.lit(RANK_SALTS)).alias("salt"))
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # The first of each slice hold the first of all, so a task ranks RANK_SALTS * most phrases of a language at most.
+    sliced = phrases.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order)))
+    ranked = sliced.where(F.col("rank") <= most).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")
     )
     sizes = counts.groupBy("lang").agg(F.sum("n_words").alias("n"))
     return ranked.where(F.col("rank") <= most).join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
