@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +12,8 @@ from pyspark.sql import functions as F
 from capfolio.functions.casts import beyond_money, exact_money, money_sum, money_total
 from capfolio.functions.joins import join_many_to_one
 from capfolio.functions.signs import direction
+from capfolio.operators.derive import within_variance_guard
+from capfolio.operators.scope import one_of
 
 
 def fan_out(tables, period: str = "current") -> DataFrame:
@@ -152,3 +157,85 @@ def change_monitor(tables) -> DataFrame:
     return rollup.select("*", *changes).withColumn(
         "budget_direction", direction(F.col("total_budget_change"), "budget")
     )
+
+
+WATCHED = ("budget", "schedule")
+
+
+def _moves(tables, entity: str) -> DataFrame:
+    """Each line's change of budget since its snapshot before, or each schedule's reported variance, where there is one."""
+    if entity == "budget":
+        by_time = W.partitionBy("fms_id", "managing_agency").orderBy("reporting_period")
+        return (
+            tables["budget_history"]
+            .select(
+                F.col("fms_id").alias("id"), "managing_agency", "reporting_period",
+                F.col("total_budget").alias("value"), F.lag("total_budget").over(by_time).alias("previous_value"),
+            )
+            .withColumn("movement", F.col("value") - F.col("previous_value"))
+            .where(F.col("movement") != 0)
+        )
+    by_time = W.partitionBy("pid").orderBy("reporting_period")
+    total = F.sum("variance_day").over(by_time.rowsBetween(W.unboundedPreceding, W.currentRow))
+    days = F.col("variance_day")
+    return (
+        tables["schedule_history"]
+        .where(within_variance_guard(days))
+        .select("pid", "managing_agency", "reporting_period", "variance_day")
+        .select(
+            F.col("pid").alias("id"), "managing_agency", "reporting_period",
+            total.cast("double").alias("value"), (total - days).cast("double").alias("previous_value"),
+            days.cast("double").alias("movement"),
+        )
+        .where(F.col("movement") != 0)
+    )
+
+
+def watchlist(tables, n: int = 10, entities: Sequence[str] = WATCHED) -> DataFrame:
+    """The ``n`` greatest movements of every agency and period, by absolute size; ties go by id.
+
+    A budget line moves by the change of its budget since its own snapshot before; a schedule by the days it reports, and
+    its values are the days added up so far. Schedules beyond the variance guard and rows that did not move are left out. Within
+    an agency and period, ``rank`` runs from 1 for each entity.
+
+    Up to Spark's window group limit (1 000 by default) each task drops what cannot be among the ``n`` before the shuffle, so an
+    agency with most of all rows costs no more than ``n`` rows from each task. The windows over time hold one row per
+    period of a line or schedule.
+    """
+    parts = []
+    for entity in entities:
+        one_of("entity", entity, WATCHED)
+        size = W.partitionBy("managing_agency", "reporting_period").orderBy(F.abs("movement").desc(), "id")
+        parts.append(
+            _moves(tables, entity)
+            .withColumn("rank", F.row_number().over(size))
+            .where(F.col("rank") <= max(1, int(n)))
+            .select(
+                F.lit(entity).alias("entity"), "managing_agency", "reporting_period", "rank", "id",
+                "previous_value", "value", "movement",
+                direction(F.col("movement"), "budget" if entity == "budget" else "schedule").alias("direction"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def watched_history(tables, n: int = 10, period: str = "current") -> DataFrame:
+    """All periods of the lines and schedules that are on one period's watchlist: what a click on an entry opens.
+
+    ``amount`` and ``spend`` of a line's snapshot, ``days`` of a schedule's report. The list of one period has ``n`` entries per
+    agency and entity, so it is the small side of both joins.
+    """
+    rows = []
+    for entity, table, key in (("budget", "budget_history", ["fms_id", "managing_agency"]), ("schedule", "schedule_history", ["pid"])):
+        at = tables.period(table, period)
+        listed = watchlist(tables, n, (entity,)).where(F.col("reporting_period") == at)
+        listed = listed.select(F.col("id").alias(key[0]), "managing_agency", "rank")
+        if entity == "budget":
+            shown = (F.col("total_budget").alias("amount"), F.col("spend_to_date").alias("spend"))
+        else:
+            listed = listed.withColumnRenamed("managing_agency", "holder")
+            shown = (F.col("variance_day").alias("days"), "lifecycle_status")
+        found = join_many_to_one(tables[table], listed, key, null_matches=True)
+        holder = F.col("managing_agency") if entity == "budget" else F.col("holder").alias("managing_agency")
+        rows.append(found.select(F.lit(entity).alias("entity"), F.col(key[0]).alias("id"), holder, "rank", "reporting_period", *shown))
+    return rows[0].unionByName(rows[1], allowMissingColumns=True)

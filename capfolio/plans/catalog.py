@@ -17,7 +17,7 @@ from capfolio.operators import reports
 from capfolio.operators.dimensions import period_counts
 from capfolio.operators.portfolio import PortfolioFilter
 from capfolio.operators.scope import resolve_scope
-from capfolio.plans.oracle import _direction, _money, statement
+from capfolio.plans.oracle import CADENCE, _direction, _money, statement
 from capfolio.plans.tables import Tables
 from capfolio.sources.schemas import DATASETS
 from capfolio.sources.star import star_tables
@@ -77,10 +77,9 @@ add("n4_original_budget", lambda t: t["original_budget"], "SELECT * FROM origina
 add(
     "n5_budget_fy",
     lambda t: t["project_budget_fy"],
-    """SELECT * EXCLUDE (month) REPLACE (CAST(fiscal_year AS INTEGER) AS fiscal_year,
-           CAST(city AS DOUBLE) AS city, CAST(non_city AS DOUBLE) AS non_city, CAST(spend AS DOUBLE) AS spend)
-       FROM (SELECT *, TRY_CAST(substr(reporting_period, 5) AS INTEGER) AS month FROM raw_budget_fy)
-       WHERE month % 4 = 1 AND month < 12""",
+    f"""SELECT fms_id, managing_agency, reporting_period, CAST(fiscal_year AS INTEGER) AS fiscal_year,
+            CAST(city AS DOUBLE) AS city, CAST(non_city AS DOUBLE) AS non_city, CAST(spend AS DOUBLE) AS spend
+        FROM raw_budget_fy WHERE right(reporting_period, 2) IN {CADENCE}""",
 )
 add("a1_pid_funding", lambda t: t["pid_funding"], "SELECT * FROM pid_funding")
 add("a1_pid_links", lambda t: t["pid_links"], "SELECT * FROM pid_links")
@@ -632,3 +631,35 @@ add(
                 completed_count - lag(completed_count) OVER past AS completed_count_change
             FROM agency_rollup WINDOW past AS (PARTITION BY managing_agency ORDER BY reporting_period))""",
 )
+
+_MOVES = f"""
+    SELECT *, CASE entity WHEN 'budget' THEN {_direction('movement', 'increased', 'decreased')}
+                          ELSE {_direction('movement')} END AS direction FROM (
+        SELECT *, row_number() OVER (
+            PARTITION BY entity, managing_agency, reporting_period ORDER BY abs(movement) DESC, id) AS rank
+        FROM (
+            SELECT 'budget' AS entity, fms_id AS id, managing_agency, reporting_period, total_budget AS value,
+                lag(total_budget) OVER (PARTITION BY fms_id, managing_agency ORDER BY reporting_period) AS previous_value,
+                total_budget - previous_value AS movement
+            FROM budget_history
+            UNION ALL
+            SELECT 'schedule', pid, managing_agency, reporting_period,
+                CAST(sum(variance_day) OVER (PARTITION BY pid ORDER BY reporting_period) AS DOUBLE) AS value,
+                value - variance_day, CAST(variance_day AS DOUBLE)
+            FROM schedule_history WHERE abs(variance_day) <= 36500)
+        WHERE movement <> 0)
+    WHERE rank <= 10"""
+add("r3_watchlist", reports.watchlist, _MOVES)
+add(
+    "r3_watched_history",
+    reports.watched_history,
+    f"""SELECT * FROM (WITH listed AS ({_MOVES})
+        SELECT w.entity, w.id, w.managing_agency, w.rank, h.reporting_period, h.total_budget AS amount,
+            h.spend_to_date AS spend, CAST(NULL AS BIGINT) AS days, CAST(NULL AS VARCHAR) AS lifecycle_status
+        FROM listed w JOIN budget_history h ON h.fms_id = w.id AND h.managing_agency IS NOT DISTINCT FROM w.managing_agency
+        WHERE w.entity = 'budget' AND w.reporting_period = {BUDGET_NOW}
+        UNION ALL
+        SELECT w.entity, w.id, w.managing_agency, w.rank, h.reporting_period, NULL, NULL, h.variance_day, h.lifecycle_status
+        FROM listed w JOIN schedule_history h ON h.pid = w.id
+        WHERE w.entity = 'schedule' AND w.reporting_period = {SCHEDULE_NOW})""",
+)
