@@ -11,6 +11,7 @@ from capfolio.llm.common import WORD, cut, ranked, unit_interval
 
 FAN_IN = 256
 EPSILON = 1e-9
+CLASS_BITS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -82,6 +83,35 @@ def fold_block(nodes: Column, source: Column, seed: int) -> Column:
     return F.aggregate(nodes, start, meet)
 
 
+def size_class(size: Column) -> Column:
+    """0 for sizes below 8, 1 below 64, and so on."""
+    return F.floor((F.length(F.bin(size)) - 1) / CLASS_BITS).cast("int")
+
+
+def round_class(nodes: DataFrame, largest: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Pivotal rounding of ``nodes`` (source, node, leaf, size, mass) in a tree.
+
+    Gives (source, leaf, take) of all that were decided, and the one node of each source that is left.
+    """
+    decided, reach = None, 1
+    while True:
+        block = F.floor(F.col("node") / FAN_IN).alias("node")
+        entries = F.array_sort(F.collect_list(F.struct("node", "leaf", "size", "mass")))
+        gathered = nodes.groupBy("source", block).agg(entries.alias("entries"))
+        level = cut(gathered.select("source", "node", fold_block(F.col("entries"), F.col("source"), seed).alias("s")))
+        done = level.select("source", F.explode("s.decided").alias("d")).select("source", "d.leaf", "d.take")
+        decided = done if decided is None else decided.union(done)
+        nodes = level.select("source", "node", "s.leaf", "s.size", "s.mass")
+        reach *= FAN_IN
+        if reach > largest:
+            return decided, nodes
+
+
+def same_source(frame: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
+    renamed = other.withColumnRenamed("source", "_source")
+    return frame.join(renamed, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -96,11 +126,16 @@ def mix_sources(
     Every document of a source should be copied ``target / source_size`` times. The whole part is taken as it is;
     the fraction is rounded by the pivotal method: two documents meet, and mass moves between them at random until
     one is taken once more or not at all, while the other carries the rest on. Mass is counted in words, and each
-    document keeps its expected number of copies; a source ends within the size of one document, the last that
-    was carried, of its target. Documents are ranked by falling size within their source; blocks of 256 neighbours are folded at once
-    and leave one carrier, which meets those of neighbouring blocks one level up. The tree's depth is
-    the logarithm of the largest source, and each level is one shuffle keyed by source and block.
-    Random numbers are hashes of seed and ranks, so reruns agree.
+    document keeps its expected number of copies. Documents are ranked by falling size within their source; blocks of 256
+    neighbours are folded at once and leave one carrier, which meets those of neighbouring blocks one level up. The
+    tree's depth is the logarithm of the largest source, and each level is one shuffle keyed by source and block.
+
+    A tree leaves one document whose mass is not whole. So that a long one does not decide a source's total, documents are
+    rounded by classes of size (factor 8), the longest first: what a class took too much or too little, which is 0 on average, is
+    shared by all smaller documents of the source, up to their limits of 0 and ``most_copies``. If the smaller ones could make
+    good only one outcome of a class's last document, or neither, the outcome that leaves less is taken instead of a random
+    one; a source thus ends within the size of one of its shortest documents of its target, wherever whole copies
+    allow that. Random numbers are hashes of seed and ranks, so reruns agree.
 
     Results for special input: a NULL text has size 0 and is never taken; a NULL source is a source of its
     own, last in order; repeated rows are separate documents; NULL ids are allowed. An empty table gives an
@@ -111,37 +146,62 @@ def mix_sources(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text).alias("text_hash"),
         word_count(text).alias("size"),
     ).withColumn("down", -F.col("size"))
-    placed = cut(ranked(sized, ["source"], ["down", "doc_id", "text_hash"], "leaf").drop("down"))
-    targets = source_targets(placed.select("source", "size"), weights, most_copies)
-    named = targets.withColumnRenamed("source", "_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.floor(rate + EPSILON)
-    rated = placed.join(named, placed["source"].eqNullSafe(named["_source"])).select(
-        *placed.columns, "source_size", "target", whole.cast("int").alias("whole"),
-        (F.greatest(rate - whole, F.lit(0.0)) * F.col("size")).alias("mass"),
+    placed = cut(
+        ranked(sized, ["source"], ["down", "doc_id", "text_hash"], "leaf").drop("down").withColumn("class", size_class(F.col("size")))
     )
-    nodes = rated.where(F.col("mass") > EPSILON * F.col("size")).select("source", F.col("leaf").alias("node"), "leaf", "size", "mass")
-    largest = placed.agg(F.max("leaf")).first()[0]
-    decided, reach = None, 1
-    while largest is not None:
-        block = F.floor(F.col("node") / FAN_IN).alias("node")
-        entries = F.array_sort(F.collect_list(F.struct("node", "leaf", "size", "mass")))
-        gathered = nodes.groupBy("source", block).agg(entries.alias("entries"))
-        level = cut(gathered.select("source", "node", fold_block(F.col("entries"), F.col("source"), seed).alias("s")))
-        done = level.select("source", F.explode("s.decided").alias("d")).select("source", "d.leaf", "d.take")
-        decided = done if decided is None else decided.union(done)
-        nodes = level.select("source", "node", "s.leaf", "s.size", "s.mass")
-        reach *= FAN_IN
-        if reach > largest:
-            last = (unit_interval(F.lit(seed), F.lit("last"), "source", "leaf") * F.col("size") < F.col("mass")).cast("int")
-            decided = decided.union(nodes.select("source", "leaf", last.alias("take")))
-            break
-    if decided is None:
-        decided = nodes.select("source", "leaf", F.lit(0).alias("take"))
-    takes = decided.select(F.col("source").alias("_source"), F.col("leaf").alias("_leaf"), "take")
-    same = rated["source"].eqNullSafe(takes["_source"]) & (rated["leaf"] == takes["_leaf"])
-    copies = F.col("whole") + F.coalesce("take", F.lit(0))
-    return rated.join(takes, same, "left").select(
+    targets = source_targets(placed.select("source", "size"), weights, most_copies)
+    classes = cut(placed.where("size > 0").groupBy("source", "class").agg(F.sum("size").alias("words"), F.max("leaf").alias("last")))
+    present = classes.groupBy("class").agg(F.max("last").alias("last")).orderBy(F.desc("class")).collect()
+
+    open_words = targets.select("source", F.col("target").alias("left"), F.col("source_size").alias("rest"))
+    copies_of = None
+    for number, largest in present:
+        words = classes.where(F.col("class") == number).select("source", "words")
+        states = same_source(open_words, words, "left").fillna(0, ["words"])
+        rate = F.greatest(F.lit(0.0), F.least(F.lit(float(most_copies)), F.col("left") / F.nullif("rest", F.lit(0))))
+        states = states.withColumn("rate", F.coalesce(rate, F.lit(0.0))).withColumn("smaller", (F.col("rest") - F.col("words")) * most_copies)
+        whole = F.floor(F.col("rate") + EPSILON)
+        rated = same_source(placed.where((F.col("class") == number) & (F.col("size") > 0)), states.select("source", "rate")).select(
+            "source", "leaf", "size", whole.cast("int").alias("whole"),
+            (F.greatest(F.col("rate") - whole, F.lit(0.0)) * F.col("size")).alias("mass"),
+        )
+        nodes = rated.where(F.col("mass") > EPSILON * F.col("size")).select("source", F.col("leaf").alias("node"), "leaf", "size", "mass")
+        decided, last = round_class(nodes, largest, seed)
+        known = join_leaves(rated, decided).withColumn("copies", F.col("whole") + F.coalesce("take", F.lit(0))).select("source", "leaf", "size", "copies")
+        sums = known.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("sure"))
+        final = same_source(same_source(states, sums, "left"), last.select("source", F.col("leaf").alias("open"), F.col("size").alias("open_size"), "mass"), "left")
+        without = F.col("left") - F.coalesce("sure", F.lit(0))
+        taken_more = _miss(without - F.col("open_size"), F.col("smaller"))
+        taken_less = _miss(without, F.col("smaller"))
+        drawn = unit_interval(F.lit(seed), F.lit("last"), "source", "open") * F.col("open_size") < F.col("mass")
+        takes = F.when(taken_more < taken_less, True).when(taken_more > taken_less, False).otherwise(drawn)
+        final = cut(final.select(
+            "source", "open", (F.col("open").isNotNull() & takes).cast("int").alias("take"),
+            (without - F.when(F.col("open").isNotNull() & takes, F.col("open_size")).otherwise(0)).alias("left"),
+            (F.col("rest") - F.col("words")).alias("rest"),
+        ))
+        open_words = final.select("source", "left", "rest")
+        ends = final.where("open IS NOT NULL").select("source", F.col("open").alias("leaf"), "take")
+        counted = join_leaves(known, ends).select("source", "leaf", (F.col("copies") + F.coalesce("take", F.lit(0))).alias("copies"))
+        copies_of = counted if copies_of is None else copies_of.union(counted)
+
+    if copies_of is None:
+        copies_of = placed.select("source", "leaf", F.lit(0).alias("copies")).limit(0)
+    found = join_leaves(same_source(placed, targets), copies_of)
+    copies = F.coalesce("copies", F.lit(0)).cast("int")
+    return found.select(
         "doc_id", "source", "text_hash", "size", "source_size", "target", copies.alias("copies"),
         (copies * F.col("size")).cast("long").alias("taken"),
     )
+
+
+def _miss(left: Column, most: Column) -> Column:
+    """How many words stay open, whatever smaller documents take, if ``left`` are to come from them and they have ``most``."""
+    return F.greatest(-left, left - most, F.lit(0.0))
+
+
+def join_leaves(rows: DataFrame, of_leaves: DataFrame) -> DataFrame:
+    """``rows`` with what ``of_leaves`` says of their leaf, if anything."""
+    renamed = of_leaves.withColumnsRenamed({"source": "_source", "leaf": "_leaf"})
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("leaf") == F.col("_leaf"))
+    return rows.join(renamed, same, "left").drop("_source", "_leaf")
