@@ -19,7 +19,7 @@ LONGEST = 4
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 FOLDED = bytes.maketrans(UPPER.encode() + b"\t" + ENDS, UPPER.lower().encode() + b" " + b"\n" * len(ENDS))
 SHARD_BYTES = 12 << 20
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 12 << 20
 MOST_RANGES = 65536
 SAMPLE_BYTES = 8 << 20
 SAMPLE_STEP = 61

@@ -7,7 +7,7 @@ of times its phrase was counted. States of a level ascend by (parent, label), so
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,10 @@ def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
     return found[first], total, place
 
 
+def level_of(keys: np.ndarray, base: int, weight: np.ndarray) -> Level:
+    return (keys // base).astype(np.int32), (keys % base).astype(np.int32), weight
+
+
 class CountTransducer:
     def __init__(self, words: pa.Array, levels: Sequence[Level]):
         self.words = words
@@ -65,7 +69,7 @@ class CountTransducer:
             whole = piece[starts] == piece[starts + n]
             starts, states = starts[whole], states[whole]
             keys, weight, states = counted(states * base + codes[starts + n])
-            levels.append((keys // base, keys % base, weight))
+            levels.append(level_of(keys, base, weight))
         return cls(words, levels)
 
     @classmethod
@@ -84,7 +88,7 @@ class CountTransducer:
             keys = [s[parent] * base + to[label] for s, to, (parent, label, _) in zip(states, labels, own, strict=True)]
             found, weight, at = counted(np.concatenate(keys), np.concatenate([w for _, _, w in own]))
             states = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
-            levels.append((found // base, found % base, weight))
+            levels.append(level_of(found, base, weight))
         return cls(words, levels)
 
     def kept(self, least: int) -> CountTransducer:
@@ -107,15 +111,14 @@ class CountTransducer:
         levels = [(parent, place[label] if len(label) else label, weight) for parent, label, weight in self.levels]
         return CountTransducer(self.words.filter(pa.array(used)), levels)
 
-    def cut(self, cuts: Sequence[tuple[bytes, bytes]]) -> list[CountTransducer]:
-        """Parts by ranges of the first two words; ``cuts`` are the least prefixes of all ranges but the first.
+    def cut(self, cuts: Sequence[tuple[bytes, bytes]]) -> Iterator[CountTransducer]:
+        """Parts, one at a time, by ranges of the first two words; ``cuts`` are the least prefixes of all ranges but the first.
 
         A phrase of one word goes where that word and an empty second one go. A state above a part's first phrase that
         belongs to an earlier part is repeated without weight.
         """
         lower = [self.lower(first, second) for first, second in cuts]
         ends = [tuple(len(w) for _, _, w in self.levels)]
-        parts = []
         for begin, end in zip([(0,) * len(self.levels), *lower], [*lower, *ends], strict=True):
             levels, shift = [], 0
             for n, (parent, label, weight) in enumerate(self.levels):
@@ -126,8 +129,7 @@ class CountTransducer:
                     own = np.concatenate((np.zeros(1, weight.dtype), own))
                 levels.append((parent[a:b] - shift, label[a:b], own))
                 shift = a
-            parts.append(CountTransducer(self.words, levels).narrowed())
-        return parts
+            yield CountTransducer(self.words, levels).narrowed()
 
     def lower(self, first: bytes, second: bytes) -> tuple[int, ...]:
         """At each level, how many states have a phrase below that prefix."""
@@ -171,7 +173,7 @@ class CountTransducer:
             reached = np.full(len(found), -1, np.int64)
             known = going & (codes >= 0) & (above >= 0)
             if known.any() and len(weight):
-                have = parent * base + label
+                have = parent.astype(np.int64) * base + label
                 want = above[known] * base + codes[known]
                 at = np.searchsorted(have, want).clip(max=len(have) - 1)
                 reached[known] = np.where(have[at] == want, at, -1)
@@ -214,7 +216,7 @@ class CountTransducer:
         levels = []
         for count in sizes:
             steps, label, weight = taken(count, np.uint32), taken(count, np.uint32), taken(count, np.int64)
-            levels.append((np.cumsum(steps.astype(np.int64)), label.astype(np.int64), weight))
+            levels.append((np.cumsum(steps.astype(np.int32)), label.astype(np.int32), weight))
         text = pa.py_buffer(body[at:])
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n_words, [None, pa.py_buffer(offsets.tobytes()), text])
         return cls(words, levels)

@@ -243,7 +243,7 @@ def test_transducers_count_unite_cut_prune_and_compose():
     assert weights(whole) == want
     assert weights(CountTransducer.from_bytes(whole.to_bytes())) == want
     for cuts in ([(b"be", b"")], [(b"a", b"a"), (b"be", b"or"), (b"not", b"to"), (b"zz", b"")], [(b"", b""), (b"to", b"az")]):
-        parts = whole.cut(cuts)
+        parts = list(whole.cut(cuts))
         assert len(parts) == len(cuts) + 1
         assert sum((Counter(weights(p)) for p in parts), Counter()) == want
         for i, part in enumerate(parts):
