@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from capfolio.llm.common import documents
 from capfolio.llm.fingerprints import fingerprint_edits, likeness
-from capfolio.llm.language_id import fit_languages, identify
+from capfolio.llm.language_id import fit_languages, identify, sampled, with_masks
 from capfolio.llm.mixing import mix_sources
 from capfolio.llm.queries import QUERIES
 from capfolio.llm.suffix_tree import before, contains, fit_suffix_tree, score_texts
@@ -56,13 +56,56 @@ def test_language_edges(docs, rows, nothing, spark):
     assert {r.lang_pred for r in identify(docs, untaught).collect()} == {"und"}
 
 
-def test_many_languages_use_several_slices(spark):
+@pytest.mark.parametrize("n", [70, 300])
+def test_many_languages_use_several_slices(spark, n):
     alphabet = "abcdefghijklmnopqrst"
-    rows = [(i, " ".join(alphabet[i % 20] + alphabet[i // 20] + c for c in alphabet), f"l{i:03d}") for i in range(70)]
+    rows = [(i, " ".join(alphabet[i % 20] + alphabet[i // 20] + c for c in alphabet), f"l{i:03d}") for i in range(n)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = fit_languages(docs, min_share=0.0, likeness=0.0)
     got = {r.doc_id: r.lang_pred for r in identify(docs, model).collect()}
-    assert sum(got[i] == lang for i, _, lang in rows) >= 68
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.97 * n
+
+
+def brute_grams(text):
+    pieces = [p for run in re.findall(r"[^\W\d_]+", (text or "").lower()) for p in re.findall(".{1,32}", run)]
+    return [f"_{p}_"[i : i + 3] for p in pieces for i in range(max(1, len(p)))]
+
+
+@pytest.mark.parametrize("bits", [8, 64])
+def test_languages_equal_brute_force_filters(spark, bits):
+    docs = documents(spark, SMALL)
+    model = fit_languages(docs, bits_per_gram=bits)
+    rows = docs.select("doc_id", "text", "lang").collect()
+    counts = {name: Counter() for name in model.languages}
+    for text, lang in {(r.text, r.lang) for r in rows if r.lang is not None and r.text is not None}:
+        counts[lang].update(brute_grams(text))
+    share = {name: {g: c / sum(found.values()) for g, c in found.items()} for name, found in counts.items()}
+    share = {name: {g: s for g, s in found.items() if s >= 2e-5} for name, found in share.items()}
+    top = Counter()
+    for found in share.values():
+        for g, s in found.items():
+            top[g] = max(top[g], s)
+    members = {name: {g for g, s in found.items() if s >= 0.2 * top[g]} for name, found in share.items()}
+    assert bits * max(map(len, members.values())) <= model.cells < 2 * bits * max(map(len, members.values()))
+    grams = sorted({g for found in counts.values() for g in found})
+    told = with_masks(spark.createDataFrame([(g,) for g in grams], "gram string"), model).collect()
+    said = {name: {r.gram for r in told if r._m0 >> i & 1} for i, name in enumerate(model.languages)}
+    wrong = sum(len(said[name] - members[name]) for name in members) / sum(len(grams) - len(m) for m in members.values())
+    assert all(members[name] <= said[name] for name in members)  # no member is missed
+    assert wrong <= (0.07 if bits == 8 else 0.003)
+    for r in identify(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        own = brute_grams(r.text)
+        hits = [sum(g in members[name] for g in own) for name in model.languages]
+        assert r.n_grams == len(own)
+        if bits == 64 and own:
+            assert abs(r.score - max(hits) / len(own)) < 0.02
+
+
+def test_copies_of_a_text_do_not_fill_the_sample(spark):
+    rows = [(i, "zzz yyy xxx", "a") for i in range(300)] + [(1000 + i, f"w{chr(97 + i % 26)}{chr(97 + i // 26)}q kk", "a") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    texts = sampled(docs.select("text", "lang"), {"a": (500, 201)}, 100).collect()
+    assert len({r.text for r in texts}) == len(texts) and 60 <= len(texts) <= 140
 
 
 def test_mix_reaches_targets_and_repeats(docs, rows, nothing):
