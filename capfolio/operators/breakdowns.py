@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from capfolio.functions.casts import money_sum
 from capfolio.functions.joins import join_many_to_one
+from capfolio.functions.medians import histogram, with_medians
 from capfolio.functions.signs import direction
 from capfolio.functions.text import owner_atoms
 from capfolio.operators.scope import one_of, scoped
@@ -18,7 +19,7 @@ SCHEDULE_GROUPS = (
 VARIANCE_STATISTICS = {
     "count": F.count,
     "mean": F.avg,
-    "median": F.median,
+    "median": None,  # selected from counts per value, see exact_medians
     "sum": F.sum,
     "min": F.min,
     "max": F.max,
@@ -56,10 +57,13 @@ def schedule_breakdown(
         kinds = join_many_to_one(funded, tables["category_dim"], ["fms_id"])
         kinds = kinds.select("pid", "category").distinct()
         rows = rows.join(kinds, "pid")
-    value = F.count("*")
-    if metric == "schedule_variance":
-        value = VARIANCE_STATISTICS[statistic]("variance_day")
-    groups = rows.groupBy(group_by).agg(value.alias("value"), F.count("*").alias("n"))
+    if metric == "schedule_variance" and statistic == "median":
+        counts = histogram(rows, [group_by], "variance_day")
+        groups = with_medians(counts.groupBy(group_by).agg(F.sum("n").alias("n")), counts, [group_by], "variance_day")
+        groups = groups.select(group_by, F.col("median").alias("value"), "n")
+    else:
+        value = VARIANCE_STATISTICS[statistic]("variance_day") if metric == "schedule_variance" else F.count("*")
+        groups = rows.groupBy(group_by).agg(value.alias("value"), F.count("*").alias("n"))
     if metric == "schedule_variance" and statistic != "count":
         groups = groups.withColumn("direction", direction(F.col("value")))
     return groups.orderBy(F.desc_nulls_last("value"), F.asc_nulls_last(group_by))

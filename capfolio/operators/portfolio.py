@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -48,6 +49,16 @@ def matching_projects(tables, wanted: PortfolioFilter) -> DataFrame:
     return rows
 
 
+def filter_uses(wanted: PortfolioFilter) -> Counter:
+    """The tables that the conditions read."""
+    uses: Counter = Counter()
+    if wanted.category is not None:
+        uses.update(("link_edges", "category_dim"))
+    if wanted.community_board is not None:
+        uses.update(("link_edges", "fms_location"))
+    return uses
+
+
 def portfolio_rows(tables, wanted: PortfolioFilter = PortfolioFilter(), n: int | None = None) -> DataFrame:
     """Matching schedules, nearest completion first, undated ones last; all, or the first ``n``."""
     rows = (
@@ -69,8 +80,10 @@ def portfolio_summary(tables, wanted: PortfolioFilter = PortfolioFilter(), n: in
 
     ``attributed_budget_total`` counts a shared line once per schedule it funds;
     ``line_budget_total`` counts each line once. One row per schedule and one per link meet
-    the matching set in a single join, so the set is computed once for both totals.
+    the matching set in a single join, so the set is computed once for both totals. Tables read more than once are derived once.
     """
+    own = Counter(latest_project_state=2, pid_links=1, lifetime_budget_variance=1)
+    tables = tables.sharing(own + filter_uses(wanted))
     line = ["fms_id", "managing_agency"]
     members = tables["pid_links"].select("pid", *line, F.lit(False).alias("is_project")).unionByName(
         tables["latest_project_state"].select("pid", F.lit(True).alias("is_project")),

@@ -14,6 +14,7 @@ from capfolio.functions.joins import join_many_to_one
 from capfolio.functions.signs import direction
 from capfolio.operators.derive import within_variance_guard
 from capfolio.operators.scope import one_of
+from capfolio.sinks.staging import stage
 
 
 def fan_out(tables, period: str = "current") -> DataFrame:
@@ -47,45 +48,38 @@ def fan_out_extremes(tables, period: str = "current", n: int = 20) -> DataFrame:
     )
 
 
-def budget_concentration(tables, bands: int = 256) -> DataFrame:
+def budget_concentration(tables) -> DataFrame:
     """Cumulative share of budget by descending line budget, one row per distinct budget.
 
-    Lines of equal budget are first folded into one row. The running sums are then done in
-    two levels, so no task sorts more than one of ``bands``: bands are cut at approximate
-    quantiles (a scalar subquery, so both levels use the same cuts and nothing runs while planning),
-    band totals are summed up in order, and each band adds its own running sum. Take more bands for more data:
-    a task sorts the distinct budgets of one.
+    Lines of equal budget are first folded into one row, which is staged. The running sums are prefix sums over ranges: rows are
+    dealt out by falling budget, each range is added up, the totals of the ranges before (one row per range) are
+    its offset, and each range adds its own running sum. No task orders more than one range, whose number and size follow the
+    session's shuffle partitions.
     """
     lines = tables["lifetime_budget_variance"].where(F.col("latest_budget").isNotNull())
-    steps = lines.groupBy("latest_budget").agg(
+    steps = stage(lines.groupBy("latest_budget").agg(
         F.count("*").alias("n_lines"),
         F.sum(exact_money(F.col("latest_budget"))).alias("amount"),
         F.sum(beyond_money(F.col("latest_budget"))).alias("beyond"),
-    )
-    quantiles = [i / bands for i in range(1, bands)] or [1.0]
-    cuts = steps.agg(F.array_distinct(F.percentile_approx("latest_budget", quantiles)).alias("c")).scalar()
-    higher = F.size(F.filter("cuts", lambda c: c > F.col("latest_budget")))
-    banded = steps.withColumn("cuts", cuts).withColumn("band", higher).drop("cuts")
-    before = W.orderBy("band").rowsBetween(W.unboundedPreceding, -1)
+    ))
+    dealt = stage(steps.repartitionByRange(F.desc("latest_budget")).withColumn("part", F.spark_partition_id()))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy()
-    offsets = banded.groupBy("band").agg(
-        F.sum("n_lines").alias("band_lines"), F.sum("amount").alias("band_amount"),
-        F.sum("beyond").alias("band_beyond"),
+    offsets = dealt.groupBy("part").agg(
+        F.sum("n_lines").alias("part_lines"), F.sum("amount").alias("part_amount"), F.sum("beyond").alias("part_beyond"),
     ).select(
-        "band",
-        F.coalesce(F.sum("band_lines").over(before), F.lit(0)).alias("lines_before"),
-        F.coalesce(F.sum("band_amount").over(before), F.lit(0)).alias("amount_before"),
-        F.sum("band_beyond").over(before).alias("beyond_before"),
-        money_total(F.sum("band_amount").over(whole), F.sum("band_beyond").over(whole)).alias("total"),
-    )
-    inside = W.partitionBy("band").orderBy(F.desc("latest_budget")).rowsBetween(
-        W.unboundedPreceding, W.currentRow
+        "part",
+        F.coalesce(F.sum("part_lines").over(before), F.lit(0)).alias("lines_before"),
+        F.coalesce(F.sum("part_amount").over(before), F.lit(0)).alias("amount_before"),
+        F.sum("part_beyond").over(before).alias("beyond_before"),
+        money_total(F.sum("part_amount").over(whole), F.sum("part_beyond").over(whole)).alias("total"),
     )
-    running = banded.select(
-        "band", "latest_budget", "n_lines",
+    inside = W.partitionBy("part").orderBy(F.desc("latest_budget")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = dealt.select(
+        "part", "latest_budget", "n_lines",
         F.sum("n_lines").over(inside).alias("l"), F.sum("amount").over(inside).alias("a"),
         F.sum("beyond").over(inside).alias("b"),
-    ).join(offsets, "band")
+    ).join(offsets, "part")
     beyond = F.coalesce(F.col("beyond_before") + F.col("b"), "beyond_before", "b")
     cumulative = money_total(F.col("amount_before") + F.coalesce("a", F.lit(0)), beyond)
     return running.select(
@@ -99,8 +93,10 @@ def budget_concentration(tables, bands: int = 256) -> DataFrame:
 def big_lines(tables, category: str, min_budget: float) -> DataFrame:
     """Lines of a category at or above a budget, one row per schedule linked in the newest period.
 
-    Linked lines start from the links, the side that can be hot; the rest are added after.
+    Linked lines start from the links, the side that can be hot; the rest are added after. Tables read more than once are
+    derived once.
     """
+    tables = tables.sharing({"link_edges": 2, "latest_project_state": 1, "lifetime_budget_variance": 2, "category_dim": 2})
     line = ["fms_id", "managing_agency"]
     spent = F.lit(100.0) * F.col("spend_to_date") / F.nullif("latest_budget", F.lit(0.0))
     lines = _large(tables, category, min_budget).select(
@@ -129,6 +125,7 @@ def _large(tables, category: str, min_budget: float) -> DataFrame:
 
 def big_lines_summary(tables, category: str, min_budget: float) -> DataFrame:
     """Per holder and in total (NULL agency, ``level`` 'total'): lines, budget, spend share."""
+    tables = tables.sharing({"lifetime_budget_variance": 1, "category_dim": 1})
     lines = _large(tables, category, min_budget)
     grouped = lines.rollup("managing_agency").agg(
         F.grouping("managing_agency").alias("g"),

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections import Counter
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capfolio.operators import derive, dimensions, normalize
 from capfolio.sources.dictionaries import DEFAULT_TAXONOMY, Agency, Taxonomy, agency_frame
-from capfolio.sources.raw import RawSource
+from capfolio.sinks.staging import stage_all
+from capfolio.sources.raw import RawSource, StagedSource
 from capfolio.sources.schemas import RAW_COLUMNS
 
 # Tables built from the source and what each one reads. Order is build order.
@@ -25,6 +28,49 @@ ANALYTIC = (
 PERIOD_GRAIN = ("schedule_budget_link", "schedule_history", "budget_history", "project_budget_fy")
 
 
+@dataclass(frozen=True)
+class RawNeed:
+    """The columns and rows of a raw table that a derived table reads."""
+
+    table: str
+    columns: tuple[str, ...]
+    not_null: tuple[str, ...] = ()
+    is_null: tuple[str, ...] = ()
+
+
+# What each derived table reads of the raw tables, and how often of other derived tables. Order is build order.
+RAW_NEEDS: dict[str, tuple[RawNeed, ...]] = {
+    "link_edges": (RawNeed("raw_project_detail", normalize.EDGE_INPUT, ("pid", "fms_id")),),
+    "schedule_spine": (RawNeed("raw_project_detail", normalize.SPINE_INPUT, ("pid",)),),
+    "schedule_variance": (RawNeed("raw_schedule_history", normalize.VARIANCE_INPUT, ("pid",)),),
+    "budget_history": (RawNeed("raw_budget_history", normalize.SNAPSHOT_INPUT, ("spend_to_date",)),),
+    "original_budget": (RawNeed("raw_budget_history", normalize.ADOPTED_INPUT, is_null=("spend_to_date",)),),
+    "project_budget_fy": (RawNeed("raw_budget_fy", normalize.FISCAL_INPUT),),
+    "fms_location": (RawNeed("raw_project_detail", derive.LOCATION_INPUT, ("fms_id",)),),
+    "category_dim": (
+        RawNeed("raw_project_detail", dimensions.DETAIL_CATEGORY_INPUT, ("fms_id",)),
+        RawNeed("raw_budget_history", dimensions.BUDGET_CATEGORY_INPUT, ("fms_id",)),
+    ),
+    "agency_dim": (RawNeed("raw_project_detail", ("managing_agency",)),),
+}
+TABLE_NEEDS: dict[str, dict[str, int]] = {
+    "schedule_budget_link": {"link_edges": 3},
+    "pid_links": {"link_edges": 2},
+    "pid_funding": {"pid_links": 1},
+    "schedule_history": {"schedule_spine": 1, "schedule_variance": 1},
+    "latest_project_state": {"schedule_history": 1, "pid_funding": 1},
+    "cumulative_schedule_variance": {"schedule_history": 1},
+    "lifetime_budget_variance": {"budget_history": 1, "original_budget": 1},
+    "agency_rollup_by_period": {"schedule_history": 1, "budget_history": 1},
+    "fms_sponsor": {"latest_project_state": 1, "pid_links": 1},
+}
+BUILD_ORDER = (
+    "link_edges", "schedule_spine", "schedule_variance", "budget_history", "original_budget", "category_dim",
+    "fms_location", "schedule_history", "pid_links", "pid_funding", "latest_project_state", "lifetime_budget_variance",
+    "fms_sponsor",
+)
+
+
 class Tables:
     """Tables by name, each planned on first use and built only when something reads it.
 
@@ -59,6 +105,56 @@ class Tables:
     ) -> DataFrame:
         return self.source.read(table, columns, not_null, is_null)
 
+    def _raw_of(self, name: str) -> list[DataFrame]:
+        """The raw frames that a derived table is built from."""
+        return [self.raw(n.table, n.columns, n.not_null, n.is_null) for n in RAW_NEEDS[name]]
+
+    def reads(self, uses: Mapping[str, int]) -> tuple[dict[str, list[RawNeed]], Counter]:
+        """What building ``uses`` (table: times it is read) reads: the needs by raw table, and how often each derived one.
+
+        A derived table that is read several times counts as built once, which is what ``sharing`` makes of it.
+        """
+        times: Counter = Counter()
+
+        def visit(name: str, n: int) -> None:
+            if name in self._built:
+                return
+            first = not times[name]
+            times[name] += n
+            if first:
+                for below, m in TABLE_NEEDS.get(name, {}).items():
+                    visit(below, m)
+
+        for name, n in uses.items():
+            visit(name, n)
+        needs: dict[str, list[RawNeed]] = {}
+        for name in times:
+            for need in RAW_NEEDS.get(name, ()):
+                needs.setdefault(need.table, []).append(need)
+        return needs, times
+
+    def sharing(self, uses: Mapping[str, int]) -> Tables:
+        """Tables for an operator that reads ``uses`` (table: times), in which nothing is derived twice.
+
+        A raw table that has to be put together (joined or parsed) and that several derived tables read is staged, with the
+        union of their columns and the conditions that all of them have; then each derived table that is read several
+        times. These writes are jobs that run now. Published tables and raw tables that are files already are read as they are.
+        """
+        needs, times = self.reads(uses)
+        shared = {t: found for t, found in needs.items() if len(found) > 1} if self.source.assembled else {}
+        frames = {}
+        for table, found in shared.items():
+            wanted = {c for n in found for c in (*n.columns, *n.not_null, *n.is_null)}
+            common = [set.intersection(*[set(getattr(n, kind)) for n in found]) for kind in ("not_null", "is_null")]
+            columns = [c for c in RAW_COLUMNS[table] if c in wanted]
+            frames[table] = self.raw(table, columns, *[[c for c in columns if c in these] for these in common])
+        source = StagedSource(self.source, stage_all(frames)) if frames else self.source
+        staged = Tables(self.spark, source, self._agencies, self.taxonomy, self._built, self._newest_periods)
+        for name in BUILD_ORDER:
+            if times[name] > 1:
+                staged.use(name, stage_all({name: staged[name]})[name])
+        return staged
+
     def __getitem__(self, name: str) -> DataFrame:
         if name in self._built:
             return self._built[name]
@@ -120,35 +216,28 @@ class Tables:
     def _build_link_edges(self) -> DataFrame:
         if "schedule_budget_link" in self._built:
             return self._built["schedule_budget_link"].drop("n_budgets_for_pid", "n_pids_for_budget")
-        detail = self.raw("raw_project_detail", normalize.EDGE_INPUT, ("pid", "fms_id"))
-        return normalize.link_edges(detail)
+        return normalize.link_edges(*self._raw_of("link_edges"))
 
     def _build_schedule_budget_link(self) -> DataFrame:
         return normalize.schedule_budget_link(self["link_edges"])
 
     def _build_schedule_spine(self) -> DataFrame:
-        return normalize.schedule_spine(
-            self.raw("raw_project_detail", normalize.SPINE_INPUT, ("pid",))
-        )
+        return normalize.schedule_spine(*self._raw_of("schedule_spine"))
+
+    def _build_schedule_variance(self) -> DataFrame:
+        return normalize.schedule_variance(*self._raw_of("schedule_variance"))
 
     def _build_schedule_history(self) -> DataFrame:
-        variance = normalize.schedule_variance(
-            self.raw("raw_schedule_history", normalize.VARIANCE_INPUT, ("pid",))
-        )
-        return normalize.schedule_history(self["schedule_spine"], variance)
+        return normalize.schedule_history(self["schedule_spine"], self["schedule_variance"])
 
     def _build_budget_history(self) -> DataFrame:
-        return normalize.budget_history(
-            self.raw("raw_budget_history", normalize.SNAPSHOT_INPUT, ("spend_to_date",))
-        )
+        return normalize.budget_history(*self._raw_of("budget_history"))
 
     def _build_original_budget(self) -> DataFrame:
-        return normalize.original_budget(
-            self.raw("raw_budget_history", normalize.ADOPTED_INPUT, is_null=("spend_to_date",))
-        )
+        return normalize.original_budget(*self._raw_of("original_budget"))
 
     def _build_project_budget_fy(self) -> DataFrame:
-        return normalize.project_budget_fy(self.raw("raw_budget_fy", normalize.FISCAL_INPUT))
+        return normalize.project_budget_fy(*self._raw_of("project_budget_fy"))
 
     # -- analytic -----------------------------------------------------------------
 
@@ -162,9 +251,7 @@ class Tables:
         return derive.latest_project_state(self["schedule_history"], self["pid_funding"])
 
     def _build_fms_location(self) -> DataFrame:
-        return derive.fms_location(
-            self.raw("raw_project_detail", derive.LOCATION_INPUT, ("fms_id",))
-        )
+        return derive.fms_location(*self._raw_of("fms_location"))
 
     def _build_cumulative_schedule_variance(self) -> DataFrame:
         return derive.cumulative_schedule_variance(self["schedule_history"])
@@ -181,16 +268,10 @@ class Tables:
     # -- dimensions ---------------------------------------------------------------
 
     def _build_category_dim(self) -> DataFrame:
-        return dimensions.category_dim(
-            self.raw("raw_project_detail", dimensions.DETAIL_CATEGORY_INPUT, ("fms_id",)),
-            self.raw("raw_budget_history", dimensions.BUDGET_CATEGORY_INPUT, ("fms_id",)),
-            self.taxonomy,
-        )
+        return dimensions.category_dim(*self._raw_of("category_dim"), self.taxonomy)
 
     def _build_agencies(self) -> DataFrame:
         return agency_frame(self.spark, self._agencies)
 
     def _build_agency_dim(self) -> DataFrame:
-        return dimensions.agency_dim(
-            self["agencies"], self.raw("raw_project_detail", ("managing_agency",))
-        )
+        return dimensions.agency_dim(self["agencies"], *self._raw_of("agency_dim"))

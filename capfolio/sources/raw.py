@@ -15,7 +15,12 @@ from capfolio.sources.schemas import DATASETS, RAW_COLUMNS, raw_schema
 
 
 class RawSource(Protocol):
-    """Where the four raw tables come from."""
+    """Where the four raw tables come from.
+
+    ``assembled`` tells whether a table is put together at each reading (joined, parsed), so that reading a stored copy is cheaper.
+    """
+
+    assembled: bool
 
     def read(
         self,
@@ -48,8 +53,9 @@ def period_column(table: str) -> str:
 class FrameSource:
     """Raw tables given as DataFrames (CSV, Parquet or built in memory)."""
 
-    def __init__(self, frames: dict[str, DataFrame]):
+    def __init__(self, frames: dict[str, DataFrame], assembled: bool = False):
         self._frames = frames
+        self.assembled = assembled
 
     def read(
         self,
@@ -66,6 +72,28 @@ class FrameSource:
         return rows.agg(F.max(period).alias("period"))
 
 
+class StagedSource(FrameSource):
+    """Some raw tables from stored copies that hold the columns and rows asked for, the others from ``source``."""
+
+    def __init__(self, source: RawSource, frames: dict[str, DataFrame]):
+        super().__init__(frames)
+        self._source = source
+
+    def read(
+        self,
+        table: str,
+        columns: Sequence[str],
+        not_null: Sequence[str] = (),
+        is_null: Sequence[str] = (),
+    ) -> DataFrame:
+        owner = super() if table in self._frames else self._source
+        return owner.read(table, columns, not_null, is_null)
+
+    def latest_cadence_period(self, table: str, not_null: Sequence[str] = ()) -> DataFrame:
+        owner = super() if table in self._frames else self._source
+        return owner.latest_cadence_period(table, not_null)
+
+
 def check_header(spark: SparkSession, table: str, path: str) -> None:
     """Raise unless the file's header is exactly the declared list, in order.
 
@@ -108,5 +136,5 @@ def read_raw_csv(
 def csv_source(spark: SparkSession, paths: dict[str, str], *, multi_line: bool = False) -> FrameSource:
     """All four raw tables from CSV paths keyed by table name."""
     return FrameSource(
-        {t: read_raw_csv(spark, t, paths[t], multi_line=multi_line) for t in RAW_COLUMNS}
+        {t: read_raw_csv(spark, t, paths[t], multi_line=multi_line) for t in RAW_COLUMNS}, assembled=True
     )

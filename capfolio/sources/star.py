@@ -152,6 +152,8 @@ def _detail_columns() -> dict[str, Column]:
 class StarSource:
     """The raw-table contract over ``<folder>/<table>.parquet``."""
 
+    assembled = True
+
     def __init__(self, spark: SparkSession, folder: str):
         self._spark = spark
         self._folder = folder.rstrip("/")

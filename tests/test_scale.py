@@ -9,9 +9,12 @@ from fixtures import NOW, tables, town
 from pyspark.sql import functions as F
 
 from capfolio.functions.joins import join_many_to_one
+from capfolio.functions.medians import exact_medians, histogram
 from capfolio.operators import normalize
 from capfolio.operators.breakdowns import budget_breakdown
+from capfolio.operators.reports import watchlist
 from capfolio.plans.tables import Tables
+from capfolio.sinks import staging
 from capfolio.sinks.snapshot import open_published, publish
 from capfolio.sources.raw import FrameSource
 from capfolio.sources.schemas import RAW_COLUMNS
@@ -112,3 +115,59 @@ def test_period_filter_prunes_published_partitions(spark, tmp_path):
     plan = plan_of(budget_breakdown(open_published(spark, str(tmp_path)), period=NOW))
     filters = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
     assert any(NOW in f for f in filters)
+
+
+def test_watchlist_limits_groups_before_the_shuffle(spark):
+    plan = plan_of(watchlist(star_tables(spark, FOLDER), 5))
+    for stage in ("Partial", "Final"):
+        assert len(re.findall(rf"WindowGroupLimit \[managing_agency#\d+, reporting_period#\d+\].*5, {stage}", plan)) == 2
+
+
+@pytest.mark.parametrize("uses, most", [
+    ({"latest_project_state": 2, "pid_links": 1, "lifetime_budget_variance": 1, "link_edges": 1, "category_dim": 1}, 4),
+    ({"link_edges": 2, "latest_project_state": 1, "lifetime_budget_variance": 2, "category_dim": 2}, 4),
+    ({"lifetime_budget_variance": 1}, 2),
+])
+def test_shared_tables_scan_the_facts_once_each(spark, uses, most, monkeypatch):
+    read = []
+    t = star_tables(spark, FOLDER)
+    items = type(t.source)._items
+    monkeypatch.setattr(type(t.source), "_items", lambda self, **joins: read.append(joins) or items(self, **joins))
+    scans = []
+    write = staging.stage
+    monkeypatch.setattr(staging, "stage", lambda frame: scans.append(plan_of(frame).count("lineitem.parquet")) or write(frame))
+    shared = t.sharing(uses)
+    left = sum(plan_of(shared[name]).count("lineitem.parquet") for name in uses)
+    assert 1 <= sum(scans) + left <= most
+    for name in uses:
+        assert sorted(map(str, shared[name].collect())) == sorted(map(str, t[name].collect()))
+
+
+def test_sharing_reads_what_is_published_or_stored_as_it_is(spark, tmp_path, monkeypatch):
+    plain = town(spark)
+    publish(plain, str(tmp_path))
+    monkeypatch.setattr(staging, "stage", lambda frame: pytest.fail("nothing to stage"))
+    opened = open_published(spark, str(tmp_path))
+    assert opened.sharing({"latest_project_state": 2, "category_dim": 2})["category_dim"] is opened["category_dim"]
+    needs, times = plain.reads({"schedule_history": 1, "fms_location": 1})
+    assert {n.table for found in needs.values() for n in found} == {"raw_project_detail", "raw_schedule_history"}
+    assert len(needs["raw_project_detail"]) == 2 and times["schedule_spine"] == 1
+    assert plain.sharing({"schedule_history": 1, "fms_location": 1}).source is plain.source  # files are read as they are
+
+
+def test_median_of_a_hot_group_is_selected_from_bands(spark):
+    i = F.col("id")
+    rows = spark.range(90000).select(
+        F.when(i % 3 > 0, "hot").when(i % 7 == 0, F.lit(None)).otherwise(F.concat(F.lit("g"), i % 50)).alias("g"),
+        F.when(i % 11 > 0, (i * 7919) % 60000 - 20000).alias("days"),
+    )
+    counts = histogram(rows, ["g"], "days")
+    got = {r.g: r.median for r in exact_medians(counts, ["g"], "days").collect()}
+    want = {r.g: r.m for r in rows.groupBy("g").agg(F.median("days").alias("m")).where("m IS NOT NULL").collect()}
+    assert got == want
+    assert "percentile" not in plan_of(exact_medians(counts, ["g"], "days")).lower()
+    (whole,) = exact_medians(histogram(rows, [], "days"), [], "days").collect()
+    assert whole.median == rows.agg(F.median("days")).first()[0]
+    assert exact_medians(histogram(rows.where("days IS NULL"), ["g"], "days"), ["g"], "days").count() == 0
+    ends = spark.createDataFrame([(9 * 10**18,), (-9 * 10**18,)], "days long")
+    assert exact_medians(histogram(ends, [], "days"), [], "days").first().median == 0.0
