@@ -18,13 +18,14 @@ from capfolio.llm.tokens import word_tokenizer
 from capfolio.llm.words import chunks
 
 RANK_BITS = 40
+SLICE_BYTES = 12 << 20
 
 
 def token_batches(batches, tokenizer_path: str, end_id: int):
     """(ids column, token ids, edges) for slices of a task's Arrow batches (doc_id, text)."""
     tokenizer = word_tokenizer(tokenizer_path)
     for batch in batches:
-        for part in chunks(batch):
+        for part in chunks(batch, most=SLICE_BYTES):
             ids, starts = tokenizer.ids(part.column("text"))
             edges = starts + np.arange(len(starts))
             closed = np.full(edges[-1], end_id, np.uint32)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -13,8 +15,38 @@ from capfolio.llm.words import Words
 CACHE_WORDS = 600_000
 #: The file's own splitting pattern; fixed values.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-SIGNS = frozenset(".,;:!?")
 PLAIN = regex.compile(r"[!-~¡-įı-ſ]+")
+#: Latin letters that the pattern above allows, with one sign after them at most.
+SIMPLE = "^[A-Za-zªµºÀ-ÖØ-öø-įı-ſ]+[.,;:!?]?$"
+
+
+class Runs:
+    """Numbers by string: ``values[starts[i]:starts[i] + counts[i]]`` belong to ``keys[i]``."""
+
+    def __init__(self):
+        self.keys = pa.array([], pa.large_string())
+        self.starts, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.values = np.empty(0, np.uint32)
+
+    def find(self, keys: pa.Array) -> np.ndarray:
+        """The place of each key, -1 for none."""
+        return pc.fill_null(pc.index_in(keys, self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def add(self, keys: pa.Array, counts: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The places that the new keys get."""
+        places = np.arange(len(self.keys), len(self.keys) + len(keys))
+        self.keys = pa.concat_arrays([self.keys, keys])
+        self.starts = np.concatenate((self.starts, len(self.values) + np.cumsum(counts) - counts))
+        self.counts = np.concatenate((self.counts, counts))
+        self.values = np.concatenate((self.values, values))
+        return places
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many numbers each place has, and all of them in order."""
+        counts = self.counts[places]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return counts, self.values[np.repeat(self.starts[places] - (ends - counts), counts) + np.arange(total)]
 
 
 class WordTokenizer:
@@ -29,54 +61,71 @@ class WordTokenizer:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def encode(self, strings: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32).tobytes() for e in found]
-
-    def learn(self, new: list[str]) -> None:
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
-        whole, parts = [], {}
-        for word in new:
-            core = word[:-1] if word[-1] in SIGNS else word
-            if core.isalpha() and (core.isascii() or PLAIN.fullmatch(core)):
-                parts[word] = [core.lower()] if core is word else [core.lower(), word[-1]]
-            elif PLAIN.fullmatch(word) and "<|" not in word:
-                parts[word] = SPLIT.findall(word.lower())
+        self.words, self.pieces = Runs(), Runs()
+
+    def encode(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return counts, np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum()))
+
+    def piece_places(self, pieces: pa.Array) -> np.ndarray:
+        """Places of ``pieces`` in the cache, which learns those it lacks."""
+        if len(self.pieces.keys) > CACHE_WORDS:
+            self.pieces = Runs()
+        encoded = pieces.dictionary_encode()
+        places = self.pieces.find(encoded.dictionary)
+        new = places < 0
+        missing = encoded.dictionary.filter(pa.array(new))
+        places[new] = self.pieces.add(missing, *self.encode(missing.to_pylist()))
+        return places[encoded.indices.to_numpy(zero_copy_only=False)] if len(pieces) else places
+
+    def learn(self, new: pa.Array) -> np.ndarray:
+        """Add the ids of words that are not in the cache; gives their places."""
+        simple = pc.match_substring_regex(new, SIMPLE)
+        words = new.filter(simple)
+        signs = pc.replace_substring_regex(words, r"[^.,;:!?]+", "")
+        signed = pc.not_equal(signs, "").to_numpy(zero_copy_only=False)
+        cores = pc.utf8_lower(pc.replace_substring_regex(words, r"[.,;:!?]$", ""))
+        is_simple = simple.to_numpy(zero_copy_only=False)
+        others = np.flatnonzero(~is_simple)
+        parts, whole = {}, {}
+        for at, word in zip(others.tolist(), new.filter(pc.invert(simple)).to_pylist(), strict=True):
+            if PLAIN.fullmatch(word) and "<|" not in word:
+                parts[at] = SPLIT.findall(word.lower())
             else:
-                whole.append(word)
-        unseen = list({p for found in parts.values() for p in found if p not in self.pieces})
-        self.pieces.update(zip(unseen, self.encode(unseen), strict=True))
-        self.words.update(zip(whole, self.encode(whole), strict=True))
-        pieces = self.pieces
-        for word, found in parts.items():
-            self.words[word] = pieces[found[0]] if len(found) == 1 else b"".join([pieces[p] for p in found])
+                whole[at] = word
+        kind = new.type
+        split = pa.array([p for found in parts.values() for p in found], kind)
+        places = self.piece_places(pa.concat_arrays([cores, signs.filter(pa.array(signed)), split]))
+
+        # Simple words are a core and perhaps a sign, the others any number of pieces.
+        n_words, n_signs = len(words), int(signed.sum())
+        sizes = np.concatenate((1 + signed, [len(found) for found in parts.values()])).astype(np.int64)
+        ordered = np.empty(len(places), np.int64)
+        begins = np.cumsum(sizes) - sizes
+        ordered[begins[:n_words]] = places[:n_words]
+        ordered[begins[:n_words][signed] + 1] = places[n_words : n_words + n_signs]
+        ordered[len(places) - len(split) :] = places[n_words + n_signs :]
+        counts, ids = self.pieces.take(ordered)
+        edges = np.concatenate(([0], np.cumsum(counts)))
+        learnt = np.concatenate((np.flatnonzero(is_simple), np.array(list(parts), np.int64)))
+        found = np.empty(len(new), np.int64)
+        found[learnt] = self.words.add(new.take(pa.array(learnt)), edges[begins + sizes] - edges[begins], ids)
+        found[list(whole)] = self.words.add(pa.array(list(whole.values()), kind), *self.encode(list(whole.values())))
+        return found
 
     def ids(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order (uint32), and where each text's ids begin (one entry more than texts)."""
         words = Words(texts, lower=False)
-        known = self.words
-        new = [w for w in words.unique if w not in known]
-        if new:
-            held = {w: known[w] for w in words.unique if w in known}
-            self.learn(new)
-            if len(known) < len(words.unique) or held:
-                known.update(held)
-        encoded = [known[w] for w in words.unique]
-        sizes = np.fromiter((len(e) >> 2 for e in encoded), np.int64, len(encoded))
-        table = np.frombuffer(b"".join(encoded), np.uint32)
-        begins = np.concatenate(([0], np.cumsum(sizes)))
-        counts = sizes[words.codes]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        within = np.arange(total) - np.repeat(ends - counts, counts)
-        found = table[np.repeat(begins[words.codes], counts) + within] if total else np.empty(0, np.uint32)
-        return found, np.concatenate(([0], ends))[words.starts]
+        distinct = words.dictionary.cast(pa.large_string())
+        places = self.words.find(distinct)
+        new = places < 0
+        if len(self.words.keys) + int(new.sum()) > CACHE_WORDS:
+            self.words, new = Runs(), np.ones(len(distinct), bool)
+        if new.any():
+            places[new] = self.learn(distinct.filter(pa.array(new)))
+        counts, found = self.words.take(places[words.codes] if len(words.codes) else words.codes)
+        return found, np.concatenate(([0], np.cumsum(counts)))[words.starts]
 
 
 _LOADED: dict[str, WordTokenizer] = {}

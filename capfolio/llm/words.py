@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
 class Words:
     """The words (runs of characters that are no ASCII white space) of some texts.
 
-    ``unique`` are the distinct words, ``codes`` index them in text order, and text ``i`` has
-    ``codes[starts[i]:starts[i + 1]]``. NULL texts have no words.
+    ``dictionary`` (Arrow) and ``unique`` (a list) are the distinct words, ``codes`` index them in text order, and text
+    ``i`` has ``codes[starts[i]:starts[i + 1]]``. NULL texts have no words.
     """
 
     def __init__(self, texts: pa.Array, lower: bool = True):
@@ -43,12 +44,17 @@ class Words:
         self.starts = edges[offsets].astype(np.int64)
         encoded = (flat if filled.all() else flat.filter(pa.array(filled))).dictionary_encode()
         self.codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.unique = encoded.dictionary.to_pylist()
+        self.dictionary = encoded.dictionary
         if lower:  # of the distinct words only
             seen: dict[str, int] = {}
             again = [seen.setdefault(w.lower() if w.isascii() else w.translate(LOWER), len(seen)) for w in self.unique]
             self.codes = np.array(again, np.int64)[self.codes] if again else self.codes
             self.unique = list(seen)
+            self.dictionary = pa.array(self.unique, self.dictionary.type)
+
+    @cached_property
+    def unique(self) -> list[str]:
+        return self.dictionary.to_pylist()
 
     def lengths(self) -> np.ndarray:
         return np.diff(self.starts)
