@@ -239,31 +239,49 @@ class StarSource:
             return self._snapshots(items)
         if only_adopted:
             return self._adopted(items)
-        return self._snapshots(items).unionByName(self._adopted(items))
+        return self._snapshots_and_adopted(items)
 
     def _snapshots(self, items: DataFrame) -> DataFrame:
-        by_time = W.partitionBy("managing_agency", "fms_id").orderBy("year_month_reported")
-        total, spend = F.col("total"), F.col("spend")
-        move = total - F.lag("total").over(by_time)
-        return (
-            items.groupBy(
-                _agency().alias("managing_agency"),
-                F.concat(F.lit("F"), F.col("l_partkey").cast("string")).alias("fms_id"),
-                _period().alias("year_month_reported"),
-            )
-            .agg(
-                F.sum(F.col("l_extendedprice").cast(_MONEY)).alias("total"),
-                F.sum(self._spend()).alias("spend"),
-            )
-            .withColumn("move", move)
-            .select(
-                "managing_agency", "fms_id", "year_month_reported",
-                total.cast("string").alias("total_budget"),
-                spend.cast("string").alias("spend_to_date"),
-                self._percent(spend, total).alias("spend_to_date_1"),
-                F.col("move").cast("string").alias("budget_variance"),
-                self._percent(F.col("move"), total - F.col("move")).alias("budget_variance_1"),
-            )
+        sums = items.groupBy(
+            _agency().alias("managing_agency"),
+            F.concat(F.lit("F"), F.col("l_partkey").cast("string")).alias("fms_id"),
+            _period().alias("year_month_reported"),
+        ).agg(F.sum(F.col("l_extendedprice").cast(_MONEY)).alias("total"), F.sum(self._spend()).alias("spend"))
+        return self._with_moves(sums, ())
+
+    def _with_moves(self, sums: DataFrame, apart: Sequence[str]) -> DataFrame:
+        """Snapshots with the change since the one before; ``apart`` are further columns that tell lines apart."""
+        by_time = W.partitionBy("managing_agency", "fms_id", *apart).orderBy("year_month_reported")
+        total, spend, move = F.col("total"), F.col("spend"), F.col("move")
+        return sums.withColumn("move", total - F.lag("total").over(by_time)).select(
+            "managing_agency", "fms_id", "year_month_reported",
+            total.cast("string").alias("total_budget"),
+            spend.cast("string").alias("spend_to_date"),
+            self._percent(spend, total).alias("spend_to_date_1"),
+            move.cast("string").alias("budget_variance"),
+            self._percent(move, total - move).alias("budget_variance_1"),
+        )
+
+    def _snapshots_and_adopted(self, items: DataFrame) -> DataFrame:
+        """Both kinds of record from one scan: grouping sets with and without the period."""
+        keyed = items.select(
+            _agency().alias("managing_agency"), "l_partkey", _period().alias("period"), "l_shipdate",
+            F.col("l_extendedprice").cast(_MONEY).alias("price"), self._spend().alias("paid"),
+        )
+        line, snapshot = ["managing_agency", "l_partkey"], ["managing_agency", "l_partkey", "period"]
+        sums = keyed.groupingSets([snapshot, line], *snapshot).agg(
+            (F.grouping("period") == 1).alias("adopted"), F.sum("price").alias("sum_price"), F.sum("paid").alias("sum_paid"),
+            F.min("price").alias("least_price"), F.min("l_shipdate").alias("first_day"),
+        )
+        adopted = F.col("adopted")
+        return self._with_moves(
+            sums.where(~adopted | (F.col("l_partkey") % 3 == 0)).select(
+                "managing_agency", F.concat(F.lit("F"), F.col("l_partkey").cast("string")).alias("fms_id"), "adopted",
+                F.when(adopted, _month_text(F.col("first_day"))).otherwise(F.col("period")).alias("year_month_reported"),
+                F.when(adopted, F.col("least_price")).otherwise(F.col("sum_price")).alias("total"),
+                F.when(~adopted, F.col("sum_paid")).alias("spend"),
+            ),
+            ("adopted",),
         )
 
     @staticmethod
