@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capfolio.llm.common import bit_set, cut, in_bit_set, ranked
+from capfolio.llm.common import bit_set, in_bit_set, ranked, stored
 from capfolio.llm.words import Words, chunks
 
 HASHES = 128
@@ -286,14 +286,15 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (least node reachable) of the graph with ``edges`` (a, b), for nodes that have an edge.
 
     Large-star and small-star steps alternate until every node is the centre of a star or a leaf of one, around the
-    least node. The result of each pair of steps is checkpointed; edges in both directions, and the edges a step makes of one, come from an
+    least node. The result of each pair of steps is stored as a table (a checkpoint would carry
+    the constraints of all earlier steps along, which multiply); edges in both directions, and the edges a step makes of one, come from an
     explode, so that a plan holds few joins.
     """
     def turned(frame: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
         made = F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in pairs])
         return frame.select(F.explode(made).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
 
-    stars = cut(turned(edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), ("low", "high")))
+    stars = stored(turned(edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), ("low", "high")))
     while True:
         ends = stars.select(F.col("v").alias("node"), F.lit(1).alias("leaf")).union(stars.select("u", F.lit(0)))
         roles = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.min("leaf").alias("centre"))
@@ -304,7 +305,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(centre, F.col("u").eqNullSafe(F.col("_u"))).select(F.col("m").alias("u"), "v").where("u <> v").distinct()
         floor = large.groupBy(F.col("v").alias("_v")).agg(F.min("u").alias("m"))
         small = large.join(floor, F.col("v").eqNullSafe(F.col("_v"))).select("m", "u", "v")
-        stars = cut(turned(small, ("m", "u"), ("m", "v")))
+        stars = stored(turned(small, ("m", "u"), ("m", "v")))
     centres = stars.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
     return stars.select(F.col("v").alias("node"), F.col("u").alias("component")).union(centres)
 
@@ -331,11 +332,11 @@ def near_duplicates(
     an id are linked with nothing, have component NULL and are kept. Rows that share an id are one document. An empty table
     gives an empty result; other columns are ignored.
     """
-    rows = cut(signatures(docs, id_col, text_col))
+    rows = stored(signatures(docs, id_col, text_col))
     linked = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     firsts = linked.groupBy(F.col("d1").alias("_d1"), F.col("d2").alias("_d2")).agg(F.min("doc_id").alias("node"))
     same_set = F.col("d1").eqNullSafe(F.col("_d1")) & F.col("d2").eqNullSafe(F.col("_d2"))
-    nodes = cut(
+    nodes = stored(
         linked.join(firsts, same_set & (F.col("doc_id") == F.col("node"))).dropDuplicates(["doc_id", "d1", "d2"])
         .select("doc_id", "n_shingles", "signature")
     )
@@ -344,12 +345,12 @@ def near_duplicates(
     banded = nodes.select("doc_id", "n_shingles", F.explode(F.array(*keys)).alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = buckets.withColumnRenamed("bucket", "_bucket")
-    members = cut(
+    members = stored(
         banded.join(buckets, F.col("bucket").eqNullSafe(F.col("_bucket"))).select("bucket", "doc_id", "n_shingles", "hub", "size")
     )
 
     tested = members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    labels = components(confirmed(cut(pruned(tested, nodes, miss)), docs, id_col, text_col))
+    labels = components(confirmed(stored(pruned(tested, nodes, miss)), docs, id_col, text_col))
 
     labelled = members.where("size > 2").join(labels, F.col("doc_id").eqNullSafe(F.col("node")), "left").select(
         "bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("label")
@@ -361,7 +362,7 @@ def near_duplicates(
     signed = nodes.select(F.col("doc_id").alias("_id"), "n_shingles", "signature")
     in_blocks = block_pairs(open_)
     meeting = in_blocks.join(signed, F.col("doc_id").eqNullSafe(F.col("_id")))
-    likely = cut(met(meeting, ["n_shingles", "signature"], likely_links(miss)))
+    likely = stored(met(meeting, ["n_shingles", "signature"], likely_links(miss)))
     if not likely.isEmpty():
         suspects = components(likely.union(labels.select("node", "component"))).withColumnRenamed("component", "cluster")
         active = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -370,12 +371,12 @@ def near_duplicates(
             .join(labels, F.col("doc_id").eqNullSafe(F.col("node")), "left")
             .select(F.xxhash64("cluster").alias("grp"), "doc_id", F.coalesce("component", "doc_id").alias("label"))
         )
-        clustered = cut(clustered)
+        clustered = stored(clustered)
         named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
         needed = bit_set(clustered.select(F.xxhash64("doc_id").alias("cell")), NEEDED_BITS)
         texts = named.where(in_bit_set(F.xxhash64("_id"), needed, NEEDED_BITS))
         meeting = block_pairs(clustered).join(texts, F.col("doc_id").eqNullSafe(F.col("_id")))
-        more = cut(met(meeting, ["text"], exact_links))
+        more = stored(met(meeting, ["text"], exact_links))
         if not more.isEmpty():
             labels = components(more.union(labels.select("node", "component")))
 
