@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capfolio.llm.common import cut
+from capfolio.llm.common import stored
 from capfolio.llm.words import Words, chunks
 
 END = 0x9E3779B97F4A7C15  # the end token; words have hashes of their own
@@ -21,6 +21,7 @@ SYMBOL_BITS = 20
 FLUSH = 1 << 20
 CACHE = 1 << 19
 MOST_BITS = 1 << 26
+BLOCK_BITS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -88,14 +89,26 @@ def may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def bits_of(keys: DataFrame) -> np.ndarray:
-    """A bit set over the column ``key``. Its size has a bound; a full set answers "maybe", and exact joins decide."""
+    """A bit set over the column ``key``. Its size has a bound; a full set answers "maybe", and exact joins decide.
+
+    It comes to the driver in blocks of ``BLOCK_BITS``, each put together by a task from the distinct bits that fall there.
+    """
     bits = min(MOST_BITS, max(1 << 12, 1 << (16 * keys.count()).bit_length()))
-    cell = F.pmod("key", F.lit(bits))
-    words = keys.select(
-        F.shiftright(cell, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(key, {bits}L) % 64 AS int))").alias("bit")
-    ).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    block_bits = min(bits, BLOCK_BITS)
+
+    def block(table: pa.Table) -> pa.Table:
+        cells = table.column("cell").to_numpy()
+        places = np.zeros(block_bits, np.uint8)
+        places[cells % block_bits] = 1
+        packed = np.packbits(places, bitorder="little").tobytes()
+        return pa.table({"block": pa.array([int(cells[0]) // block_bits], pa.int64()), "bits": pa.array([packed], pa.binary())})
+
+    cells = keys.select(F.pmod("key", F.lit(bits)).alias("cell")).distinct()
+    blocks = cells.groupBy(F.floor(F.col("cell") / block_bits)).applyInArrow(block, "block long, bits binary")
     found = np.zeros(bits // 64, np.uint64)
-    found[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    for row in blocks.toLocalIterator():
+        words = np.frombuffer(row["bits"], np.uint64)
+        found[row["block"] * len(words) : (row["block"] + 1) * len(words)] = words
     return found
 
 
@@ -180,7 +193,7 @@ def fit_suffix_tree(
     so a bit set of the shorter ones keeps most others out of the shuffle, and loses none.
     """
     texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
-    counts = cut(counted(texts, 1))
+    counts = stored(counted(texts, 1))
     total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     total = total or 0
     context = texts.sparkSession.sparkContext
@@ -188,7 +201,7 @@ def fit_suffix_tree(
     frequent = [counts.where(enough)]
     for length in range(2, depth + 2):
         shorter = context.broadcast(bits_of(frequent[-1]))
-        frequent.append(cut(counted(texts, length, shorter).where(enough)))
+        frequent.append(stored(counted(texts, length, shorter).where(enough)))
         shorter.unpersist()
 
     base = (F.col("n") + 0.5) / (total + 0.5 * (distinct + 1))
@@ -199,7 +212,7 @@ def fit_suffix_tree(
         edges = longer.join(lower, "suffix").select("key", "context", "n", "lower_likely", "lower_smooth")
         spent = (F.col("seen") - discount * F.col("symbols")) / F.col("times")
         left = lambda share: F.greatest(1 - share, F.lit(1e-12))
-        found = cut(
+        found = stored(
             edges.groupBy("context").agg(
                 F.sum(F.col("n") * F.log(F.col("n") / F.col("lower_likely"))).alias("gain"), F.sum("n").alias("seen"),
                 F.count(F.lit(1)).alias("symbols"), F.sum("lower_smooth").alias("covered"),
@@ -212,7 +225,7 @@ def fit_suffix_tree(
             )
         )
         smooth = (F.col("n") - discount) / F.col("times")
-        rates = cut(
+        rates = stored(
             edges.join(found.select("context", "times", "backoff"), "context").select(
                 "key", "context", "n", (F.col("n") / F.col("times")).alias("likely"), smooth.alias("smooth"),
                 (F.log10(smooth / F.col("lower_smooth")) - F.col("backoff")).alias("step"),
@@ -226,7 +239,7 @@ def fit_suffix_tree(
         own = F.col("divergence") >= divergence
         if kept:
             marks = kept[0].select(F.col("_suffix").alias("context"), F.lit(True).alias("marked")).distinct()
-            found = cut(found.join(marks, "context", "left").where(own | F.col("marked")).drop("marked"))
+            found = stored(found.join(marks, "context", "left").where(own | F.col("marked")).drop("marked"))
         else:
             found = found.where(own)
         kept.insert(0, found)
@@ -238,7 +251,7 @@ def fit_suffix_tree(
     for table, held in zip(steps, kept, strict=True):
         parts = parts.union(table.select("key", none, "step", "n"))
         parts = parts.union(held.select("context", none, "backoff", "times"))
-    weights = cut(parts.groupBy("key").agg(F.max("c").alias("c"), F.sum("gain").alias("gain"), F.max("n").alias("n")))
+    weights = stored(parts.groupBy("key").agg(F.max("c").alias("c"), F.sum("gain").alias("gain"), F.max("n").alias("n")))
     tokens = counts.select(F.col("key").alias("token"), F.col("n").alias("c"))
     return SuffixTree(tokens, total, distinct, weights, frequent[0], kept, steps)
 
@@ -307,8 +320,10 @@ def most_frequent(weights: DataFrame, most: int = CACHE) -> tuple[np.ndarray, ..
     while rows and least > min(rows) and held + rows.get(least - 1, 0) <= most:
         least -= 1
         held += rows.get(least, 0)
-    found = weights.where(level >= least).select("key", F.coalesce("c", F.lit(0)).alias("c"), "gain").toPandas().sort_values("key")
-    return found["key"].to_numpy(np.int64), found["c"].to_numpy(np.int64), found["gain"].to_numpy(float)
+    found = weights.where(level >= least).select("key", F.coalesce("c", F.lit(0)).alias("c"), "gain").toArrow()
+    key, c, gain = (found.column(name).to_numpy() for name in ("key", "c", "gain"))
+    order = np.argsort(key)
+    return key[order], c[order], gain[order]
 
 
 def score_texts(docs: DataFrame, model: SuffixTree, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,7 +340,7 @@ def score_texts(docs: DataFrame, model: SuffixTree, id_col: str = "doc_id", text
     """
     context = docs.sparkSession.sparkContext
     known = context.broadcast((bits_of(model.weights.select("key")), *most_frequent(model.weights)))
-    source = cut(
+    source = stored(
         docs.select(
             F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"),
         ).select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(
