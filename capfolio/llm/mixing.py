@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capfolio.llm.common import WORD, cut, ranked, unit_interval
+from capfolio.llm.common import WORD, ranked, stored, unit_interval
 
 FAN_IN = 256
 EPSILON = 1e-9
@@ -29,7 +29,7 @@ def source_targets(sized: DataFrame, weights: Sequence[float], most_copies: int)
     """
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("missing", F.col("source").isNull())
     weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("rank", F.lit(len(weights))).cast("int"))
-    table = cut(
+    table = stored(
         ranked(sums, [], ["missing", "source"])
         .select("source", "source_size", weight.alias("weight"), (F.col("source_size") * float(most_copies)).alias("most"))
     )
@@ -98,7 +98,7 @@ def round_class(nodes: DataFrame, largest: int, seed: int) -> tuple[DataFrame, D
         block = F.floor(F.col("node") / FAN_IN).alias("node")
         entries = F.array_sort(F.collect_list(F.struct("node", "leaf", "size", "mass")))
         gathered = nodes.groupBy("source", block).agg(entries.alias("entries"))
-        level = cut(gathered.select("source", "node", fold_block(F.col("entries"), F.col("source"), seed).alias("s")))
+        level = stored(gathered.select("source", "node", fold_block(F.col("entries"), F.col("source"), seed).alias("s")))
         done = level.select("source", F.explode("s.decided").alias("d")).select("source", "d.leaf", "d.take")
         decided = done if decided is None else decided.union(done)
         nodes = level.select("source", "node", "s.leaf", "s.size", "s.mass")
@@ -146,11 +146,11 @@ def mix_sources(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text).alias("text_hash"),
         word_count(text).alias("size"),
     ).withColumn("down", -F.col("size"))
-    placed = cut(
+    placed = stored(
         ranked(sized, ["source"], ["down", "doc_id", "text_hash"], "leaf").drop("down").withColumn("class", size_class(F.col("size")))
     )
     targets = source_targets(placed.select("source", "size"), weights, most_copies)
-    classes = cut(placed.where("size > 0").groupBy("source", "class").agg(F.sum("size").alias("words"), F.max("leaf").alias("last")))
+    classes = stored(placed.where("size > 0").groupBy("source", "class").agg(F.sum("size").alias("words"), F.max("leaf").alias("last")))
     present = classes.groupBy("class").agg(F.max("last").alias("last")).orderBy(F.desc("class")).collect()
 
     open_words = targets.select("source", F.col("target").alias("left"), F.col("source_size").alias("rest"))
@@ -175,7 +175,7 @@ def mix_sources(
         taken_less = _miss(without, F.col("smaller"))
         drawn = unit_interval(F.lit(seed), F.lit("last"), "source", "open") * F.col("open_size") < F.col("mass")
         takes = F.when(taken_more < taken_less, True).when(taken_more > taken_less, False).otherwise(drawn)
-        final = cut(final.select(
+        final = stored(final.select(
             "source", "open", (F.col("open").isNotNull() & takes).cast("int").alias("take"),
             (without - F.when(F.col("open").isNotNull() & takes, F.col("open_size")).otherwise(0)).alias("left"),
             (F.col("rest") - F.col("words")).alias("rest"),
