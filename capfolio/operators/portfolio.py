@@ -59,6 +59,16 @@ def filter_uses(wanted: PortfolioFilter) -> Counter:
     return uses
 
 
+def filter_columns(wanted: PortfolioFilter) -> list[str]:
+    """The columns of the latest state that the conditions read."""
+    columns = ["lifecycle_status"] if wanted.lifecycle_status is not None else []
+    if wanted.borough is not None:
+        columns += ["borough", "boroughs"]
+    if wanted.agency is not None:
+        columns += ["managing_agency", "sponsor_agency"]
+    return columns
+
+
 def portfolio_rows(tables, wanted: PortfolioFilter = PortfolioFilter(), n: int | None = None) -> DataFrame:
     """Matching schedules, nearest completion first, undated ones last; all, or the first ``n``."""
     rows = (
@@ -82,14 +92,14 @@ def portfolio_summary(tables, wanted: PortfolioFilter = PortfolioFilter(), n: in
     ``line_budget_total`` counts each line once. One row per schedule and one per link meet
     the matching set in a single join, so the set is computed once for both totals. Tables read more than once are derived once.
     """
+    measures = ("completion_date", "period_variance_days", "attributed_budget")
     own = Counter(latest_project_state=2, pid_links=1, lifetime_budget_variance=1)
-    tables = tables.sharing(own + filter_uses(wanted))
+    tables = tables.sharing(own + filter_uses(wanted), {"latest_project_state": ("pid", *measures, *filter_columns(wanted))})
     line = ["fms_id", "managing_agency"]
     members = tables["pid_links"].select("pid", *line, F.lit(False).alias("is_project")).unionByName(
         tables["latest_project_state"].select("pid", F.lit(True).alias("is_project")),
         allowMissingColumns=True,
     )
-    measures = ("completion_date", "period_variance_days", "attributed_budget")
     matched = matching_projects(tables, wanted).select("pid", *measures)
     kept = join_many_to_one(members, matched, ["pid"])
     of_project = [F.when(F.col("is_project"), F.col(c)).alias(c) for c in ("pid", *measures)]

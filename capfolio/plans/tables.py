@@ -133,9 +133,11 @@ class Tables:
                 needs.setdefault(need.table, []).append(need)
         return needs, times
 
-    def sharing(self, uses: Mapping[str, int]) -> Tables:
+    def sharing(self, uses: Mapping[str, int], columns: Mapping[str, Sequence[str]] | None = None) -> Tables:
         """Tables for an operator that reads ``uses`` (table: times), in which nothing is derived twice.
 
+        ``columns`` names, for a table, the only columns that the operator reads.
+
         A raw table that has to be put together (joined or parsed) and that several derived tables read is staged, with the
         union of their columns and the conditions that all of them have; then each derived table that is read several
         times. These writes are jobs that run now. Published tables and raw tables that are files already are read as they are.
@@ -146,13 +148,14 @@ class Tables:
         for table, found in shared.items():
             wanted = {c for n in found for c in (*n.columns, *n.not_null, *n.is_null)}
             common = [set.intersection(*[set(getattr(n, kind)) for n in found]) for kind in ("not_null", "is_null")]
-            columns = [c for c in RAW_COLUMNS[table] if c in wanted]
-            frames[table] = self.raw(table, columns, *[[c for c in columns if c in these] for these in common])
+            held = [c for c in RAW_COLUMNS[table] if c in wanted]
+            frames[table] = self.raw(table, held, *[[c for c in held if c in these] for these in common])
         source = StagedSource(self.source, stage_all(frames)) if frames else self.source
         staged = Tables(self.spark, source, self._agencies, self.taxonomy, self._built, self._newest_periods)
         for name in BUILD_ORDER:
             if times[name] > 1:
-                staged.use(name, stage_all({name: staged[name]})[name])
+                wanted = (columns or {}).get(name, staged[name].columns)
+                staged.use(name, stage_all({name: staged[name].select(*wanted)})[name])
         return staged
 
     def __getitem__(self, name: str) -> DataFrame:

@@ -375,3 +375,46 @@ def test_watchlist_ranks_movements_with_ties_by_id(spark):
     ]
     with pytest.raises(ValueError):
         reports.watchlist(t, 2, ("people",))
+
+
+# -- order of listings ---------------------------------------------------------------
+
+
+def ties(spark):
+    """Groups that tie in value, one without a name and one without a value."""
+    holders = {"B2": 5, "A1": 5, "C3": 9, None: 5}
+    details = [
+        detail(NOW, holder, f"own{i % 2}", f"{holder}{i}", f"L{holder}{i}", borough="East")
+        for holder, n in holders.items() for i in range(n)
+    ]
+    late = [schedule(NOW, f"{holder}{i}", str(7), reason_for_forecast_completion_change=f"r{i % 2}") for holder in ("B2", "A1") for i in range(4)]
+    late += [schedule(NOW, "C30", "30", reason_for_forecast_completion_change="r9")]
+    lines = [budget(holder, f"RD{holder}{i}", NOW, "100") for holder, n in holders.items() for i in range(n)]
+    lines += [budget("D4", "RDx", NOW, "no number")]
+    return tables(spark, details, lines, late)
+
+
+def test_listings_are_ordered_with_ties_by_name(spark):
+    t = ties(spark)
+    listed = lambda frame, *names: [tuple(r[n] for n in names) for r in frame.collect()]
+    assert listed(breakdowns.schedule_breakdown(t, "managing_agency"), "managing_agency", "value") == [
+        ("C3", 9), ("A1", 5), ("B2", 5), (None, 5)
+    ]
+    for statistic in ("mean", "median", "sum", "min", "max"):
+        rows = breakdowns.schedule_breakdown(t, "managing_agency", "schedule_variance", statistic)
+        assert [r.managing_agency for r in rows.collect()] == ["C3", "A1", "B2", None], statistic  # no value last
+    assert listed(breakdowns.schedule_breakdown(t, "sponsor_agency"), "sponsor_agency", "value") == [("own0", 14), ("own1", 10)]
+    assert listed(breakdowns.delay_reasons(t), "reason_for_delay", "n") == [("r0", 4), ("r1", 4), ("r9", 1)]
+    assert listed(breakdowns.budget_breakdown(t), "managing_agency", "value") == [
+        ("C3", 900.0), ("A1", 500.0), ("B2", 500.0), (None, 500.0), ("D4", None)
+    ]
+    groups = breakdowns.list_categories(t).collect()
+    assert [g.category for g in groups] == [g.category for g in sorted(groups, key=lambda g: (-g.total_budget, g.category))]
+    agencies = lookup.list_agencies(t).collect()
+    assert [a.slug for a in agencies] == [a.slug for a in sorted(agencies, key=lambda a: (-a.row_count_live, a.slug))]
+    assert [r.pid for r in ranking.rank_projects(t, "schedule", "period_variance_days", 4).collect()] == ["C30", "A10", "A11", "A12"]
+    assert [r.pid for r in ranking.rank_projects(t, "schedule", "period_variance_days", 2, "bottom").collect()] == ["A10", "A11"]
+    lines = ranking.rank_projects(t, "budget", "total_budget", 3).collect()
+    assert [r.fms_id for r in lines] == ["RDA10", "RDA11", "RDA12"]
+    assert [r.pid for r in portfolio.portfolio_rows(t, n=3).collect()] == ["A10", "A11", "A12"]
+    assert [r.n_links for r in reports.fan_out_extremes(t, n=3).collect()] == [1, 1, 1]
