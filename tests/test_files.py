@@ -1,6 +1,6 @@
 import pytest
 from compare import plan_of
-from fixtures import BEFORE, NOW, TOWN_BUDGET, TOWN_DETAIL, keyed, town
+from fixtures import BEFORE, NOW, TOWN_BUDGET, TOWN_DETAIL, detail, keyed, town
 from pyspark.sql import functions as F
 
 from capfolio.operators.breakdowns import budget_breakdown, schedule_breakdown
@@ -9,7 +9,7 @@ from capfolio.operators.projects import schedule_detail
 from capfolio.operators.changes import schedule_changes
 from capfolio.plans.tables import ANALYTIC, NORMALIZED
 from capfolio.sinks.export import export_csv, export_with_methodology
-from capfolio.sinks.snapshot import open_published, publish
+from capfolio.sinks.snapshot import content_digests, open_published, publish
 from capfolio.sources.raw import read_raw_csv
 from capfolio.sources.schemas import RAW_COLUMNS
 
@@ -98,6 +98,52 @@ def test_unfinished_snapshot_is_invisible(spark, tmp_path):
         publish(t, str(tmp_path), done)
 
 
+def files_below(folder):
+    return {str(f.relative_to(folder)): f.stat().st_mtime_ns for f in folder.rglob("*.parquet")}
+
+
+def test_only_periods_that_changed_are_written_again(spark, tmp_path):
+    first = publish(town(spark), str(tmp_path), "s1")
+    old = files_below(tmp_path / "data")
+    assert any("build=s1" in f and NOW in f for f in old)
+
+    # the same rows in another order: nothing by period is written
+    t = town(spark)
+    for name in RAW_COLUMNS:
+        t.source._frames[name] = t.source._frames[name].orderBy(F.rand(3)).repartition(3)
+    publish(t, str(tmp_path), "s2")
+    assert files_below(tmp_path / "data") == old
+
+    # one schedule of the newest period changes, and a period is added
+    more = town(spark, [detail(NOW, "BLD", "BLD", "mole", "L9", "5"), detail("202205", "BLD", "BLD", "mole", "L9", "6")])
+    publish(more, str(tmp_path), "s3")
+    new = {f: at for f, at in files_below(tmp_path / "data").items() if f not in old}
+    assert {f.split("/")[0] for f in new} == {"raw_project_detail", "schedule_budget_link", "schedule_history"}
+    assert {f.split("/")[1].split("=")[1] for f in new} == {NOW, "202205"} and all("build=s3" in f for f in new)
+    assert {f: at for f, at in files_below(tmp_path / "data").items() if f in old} == old
+    opened, again = open_published(spark, str(tmp_path)), open_published(spark, str(tmp_path), snapshot=first)
+    for name in (*NORMALIZED, *ANALYTIC):
+        assert sorted(map(repr, opened[name].collect())) == sorted(map(repr, more[name].collect())), name
+        assert sorted(map(repr, again[name].collect())) == sorted(map(repr, town(spark)[name].collect())), name
+    for name, columns in RAW_COLUMNS.items():
+        assert sorted(map(repr, opened.raw(name, columns).collect())) == sorted(map(repr, more.raw(name, columns).collect()))
+
+    # a period that is gone takes its rows along
+    publish(town(spark), str(tmp_path), "s4")
+    last = open_published(spark, str(tmp_path))
+    assert sorted(map(repr, last["schedule_history"].collect())) == sorted(map(repr, town(spark)["schedule_history"].collect()))
+
+
+def test_digests_tell_rows_apart_and_not_their_order(spark):
+    layout = "p string, a string, b string"
+    digests = lambda *rows: content_digests(spark.createDataFrame(list(rows), layout), "p")
+    rows = [("1", "x", None), ("1", None, "x"), ("2", "y", "z"), (None, "q", "q")]
+    whole = digests(*rows)
+    assert set(whole) == {"1", "2", None} and whole == digests(*rows[::-1])
+    assert digests(rows[0])["1"] != digests(rows[1])["1"]  # the column of a NULL counts
+    assert digests(rows[2], rows[2])["2"] != whole["2"] and digests(rows[2], rows[2], rows[2])["2"] != whole["2"]
+
+
 def test_snapshot_of_another_layout_is_refused(spark, tmp_path, monkeypatch):
     publish(town(spark), str(tmp_path))
     monkeypatch.setitem(RAW_COLUMNS, "raw_budget_fy", ["fms_id", "city"])
