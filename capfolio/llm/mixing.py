@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from capfolio.llm.common import WORD, ranked, stored, unit_interval
 
 FAN_IN = 256
 EPSILON = 1e-9
-CLASS_BITS = 3
+CLASS_BITS = 4
 
 
 def word_count(text: Column) -> Column:
@@ -57,7 +58,7 @@ def fold_block(nodes: Column, source: Column, seed: int) -> Column:
     """
     start = F.struct(
         F.lit(None).cast("long").alias("leaf"), F.lit(None).cast("long").alias("size"), F.lit(0.0).alias("mass"),
-        F.array().cast("array<struct<leaf:bigint,take:int>>").alias("decided"),
+        F.array().cast("array<struct<leaf:bigint,size:bigint,take:int>>").alias("decided"),
     )
 
     def meet(have: Column, new: Column) -> Column:
@@ -67,7 +68,8 @@ def fold_block(nodes: Column, source: Column, seed: int) -> Column:
         settles = F.when(rises, room <= new["mass"]).otherwise(have["mass"] <= new_room)  # the node held, not the new one
         # A settled node that rose has its size, one that fell has nothing; the new node moves the other way.
         entry = F.struct(
-            F.when(settles, have["leaf"]).otherwise(new["leaf"]).alias("leaf"), (rises == settles).cast("int").alias("take")
+            F.when(settles, have["leaf"]).otherwise(new["leaf"]).alias("leaf"),
+            F.when(settles, have["size"]).otherwise(new["size"]).alias("size"), (rises == settles).cast("int").alias("take"),
         )
         moved = F.when(rises, up).otherwise(-down)
         left = F.when(settles, new["mass"] - moved).otherwise(have["mass"] + moved)
@@ -84,14 +86,14 @@ def fold_block(nodes: Column, source: Column, seed: int) -> Column:
 
 
 def size_class(size: Column) -> Column:
-    """0 for sizes below 8, 1 below 64, and so on."""
+    """0 for sizes below 16, 1 below 256, and so on."""
     return F.floor((F.length(F.bin(size)) - 1) / CLASS_BITS).cast("int")
 
 
 def round_class(nodes: DataFrame, largest: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Pivotal rounding of ``nodes`` (source, node, leaf, size, mass) in a tree.
 
-    Gives (source, leaf, take) of all that were decided, and the one node of each source that is left.
+    Gives (source, leaf, size, take) of all that were decided, and the one node of each source that is left.
     """
     decided, reach = None, 1
     while True:
@@ -99,7 +101,7 @@ def round_class(nodes: DataFrame, largest: int, seed: int) -> tuple[DataFrame, D
         entries = F.array_sort(F.collect_list(F.struct("node", "leaf", "size", "mass")))
         gathered = nodes.groupBy("source", block).agg(entries.alias("entries"))
         level = stored(gathered.select("source", "node", fold_block(F.col("entries"), F.col("source"), seed).alias("s")))
-        done = level.select("source", F.explode("s.decided").alias("d")).select("source", "d.leaf", "d.take")
+        done = level.select("source", F.explode("s.decided").alias("d")).select("source", "d.leaf", "d.size", "d.take")
         decided = done if decided is None else decided.union(done)
         nodes = level.select("source", "node", "s.leaf", "s.size", "s.mass")
         reach *= FAN_IN
@@ -131,7 +133,7 @@ def mix_sources(
     tree's depth is the logarithm of the largest source, and each level is one shuffle keyed by source and block.
 
     A tree leaves one document whose mass is not whole. So that a long one does not decide a source's total, documents are
-    rounded by classes of size (factor 8), the longest first: what a class took too much or too little, which is 0 on average, is
+    rounded by classes of size (factor 16), the longest first: what a class took too much or too little, which is 0 on average, is
     shared by all smaller documents of the source, up to their limits of 0 and ``most_copies``. If the smaller ones could make
     good only one outcome of a class's last document, or neither, the outcome that leaves less is taken instead of a random
     one; a source thus ends within the size of one of its shortest documents of its target, wherever whole copies
@@ -154,54 +156,61 @@ def mix_sources(
     present = classes.groupBy("class").agg(F.max("last").alias("last")).orderBy(F.desc("class")).collect()
 
     open_words = targets.select("source", F.col("target").alias("left"), F.col("source_size").alias("rest"))
-    copies_of = None
+    rates, takes = None, None
     for number, largest in present:
         words = classes.where(F.col("class") == number).select("source", "words")
-        states = same_source(open_words, words, "left").fillna(0, ["words"])
+        met = together(open_words, words).where("words IS NOT NULL OR rest IS NOT NULL").fillna(0, ["words"])
         rate = F.greatest(F.lit(0.0), F.least(F.lit(float(most_copies)), F.col("left") / F.nullif("rest", F.lit(0))))
-        states = states.withColumn("rate", F.coalesce(rate, F.lit(0.0))).withColumn("smaller", (F.col("rest") - F.col("words")) * most_copies)
-        whole = F.floor(F.col("rate") + EPSILON)
-        rated = same_source(placed.where((F.col("class") == number) & (F.col("size") > 0)), states.select("source", "rate")).select(
-            "source", "leaf", "size", whole.cast("int").alias("whole"),
-            (F.greatest(F.col("rate") - whole, F.lit(0.0)) * F.col("size")).alias("mass"),
-        )
-        nodes = rated.where(F.col("mass") > EPSILON * F.col("size")).select("source", F.col("leaf").alias("node"), "leaf", "size", "mass")
-        decided, last = round_class(nodes, largest, seed)
-        known = join_leaves(rated, decided).withColumn("copies", F.col("whole") + F.coalesce("take", F.lit(0))).select("source", "leaf", "size", "copies")
-        sums = known.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("sure"))
-        final = same_source(same_source(states, sums, "left"), last.select("source", F.col("leaf").alias("open"), F.col("size").alias("open_size"), "mass"), "left")
-        without = F.col("left") - F.coalesce("sure", F.lit(0))
-        taken_more = _miss(without - F.col("open_size"), F.col("smaller"))
-        taken_less = _miss(without, F.col("smaller"))
+        states = stored(met.select(
+            "source", "left", "rest", "words", F.coalesce(rate, F.lit(0.0)).alias("rate"), F.lit(number).alias("class")
+        ))
+        rated = same_source(placed.where((F.col("class") == number) & (F.col("size") > 0)), states.select("source", "rate"))
+        rated = rated.withColumn("whole", whole_copies(F.col("rate")))
+        mass = F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)) * F.col("size")
+        nodes = rated.select("source", F.col("leaf").alias("node"), "leaf", "size", mass.alias("mass"))
+        decided, last = round_class(nodes.where(F.col("mass") > EPSILON * F.col("size")), largest, seed)
+        sure = decided.groupBy("source").agg(F.sum(F.col("take") * F.col("size")).alias("extra"))
+        final = together(states.drop("class"), sure, last.select("source", F.col("leaf").alias("open"), F.col("size").alias("open_size"), "mass"))
+        without = F.col("left") - whole_copies(F.col("rate")) * F.col("words") - F.coalesce("extra", F.lit(0))
+        smaller = (F.col("rest") - F.col("words")) * most_copies
+        more, less = _miss(without - F.col("open_size"), smaller), _miss(without, smaller)
         drawn = unit_interval(F.lit(seed), F.lit("last"), "source", "open") * F.col("open_size") < F.col("mass")
-        takes = F.when(taken_more < taken_less, True).when(taken_more > taken_less, False).otherwise(drawn)
+        taken = F.col("open").isNotNull() & F.when(more < less, True).when(more > less, False).otherwise(drawn)
         final = stored(final.select(
-            "source", "open", (F.col("open").isNotNull() & takes).cast("int").alias("take"),
-            (without - F.when(F.col("open").isNotNull() & takes, F.col("open_size")).otherwise(0)).alias("left"),
-            (F.col("rest") - F.col("words")).alias("rest"),
+            "source", "open", taken.cast("int").alias("take"),
+            (without - F.when(taken, F.col("open_size")).otherwise(0)).alias("left"), (F.col("rest") - F.col("words")).alias("rest"),
         ))
         open_words = final.select("source", "left", "rest")
-        ends = final.where("open IS NOT NULL").select("source", F.col("open").alias("leaf"), "take")
-        counted = join_leaves(known, ends).select("source", "leaf", (F.col("copies") + F.coalesce("take", F.lit(0))).alias("copies"))
-        copies_of = counted if copies_of is None else copies_of.union(counted)
-
-    if copies_of is None:
-        copies_of = placed.select("source", "leaf", F.lit(0).alias("copies")).limit(0)
-    found = join_leaves(same_source(placed, targets), copies_of)
-    copies = F.coalesce("copies", F.lit(0)).cast("int")
+        found = decided.select("source", "leaf", "take").union(final.where("open IS NOT NULL").select("source", "open", "take"))
+        takes = found if takes is None else takes.union(found)
+        rates = states.select("source", "class", "rate") if rates is None else rates.union(states.select("source", "class", "rate"))
+
+    if rates is None:
+        rates = targets.select("source", F.lit(0).alias("class"), F.lit(0.0).alias("rate"))
+        takes = placed.select("source", "leaf", F.lit(0).alias("take")).limit(0)
+    named = rates.withColumnsRenamed({"source": "_rated", "class": "_class"})
+    own = F.col("source").eqNullSafe(F.col("_rated")) & (F.col("class") == F.col("_class"))
+    found = same_source(placed, targets).join(named, own, "left").drop("_rated", "_class")
+    entries = takes.withColumnsRenamed({"source": "_source", "leaf": "_leaf"})
+    found = found.join(entries, F.col("source").eqNullSafe(F.col("_source")) & (F.col("leaf") == F.col("_leaf")), "left")
+    copies = whole_copies(F.coalesce("rate", F.lit(0.0))) + F.coalesce("take", F.lit(0))
+    copies = F.when(F.col("size") > 0, copies).otherwise(0).cast("int")
     return found.select(
         "doc_id", "source", "text_hash", "size", "source_size", "target", copies.alias("copies"),
         (copies * F.col("size")).cast("long").alias("taken"),
     )
 
 
+def whole_copies(rate: Column) -> Column:
+    return F.floor(rate + EPSILON)
+
+
+def together(*tables: DataFrame) -> DataFrame:
+    """Tables of at most one row per source side by side, by one aggregate instead of joins."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    return rows.groupBy("source").agg(*[F.max(c).alias(c) for c in rows.columns if c != "source"])
+
+
 def _miss(left: Column, most: Column) -> Column:
     """How many words stay open, whatever smaller documents take, if ``left`` are to come from them and they have ``most``."""
     return F.greatest(-left, left - most, F.lit(0.0))
-
-
-def join_leaves(rows: DataFrame, of_leaves: DataFrame) -> DataFrame:
-    """``rows`` with what ``of_leaves`` says of their leaf, if anything."""
-    renamed = of_leaves.withColumnsRenamed({"source": "_source", "leaf": "_leaf"})
-    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("leaf") == F.col("_leaf"))
-    return rows.join(renamed, same, "left").drop("_source", "_leaf")
