@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capfolio.llm.common import documents, scratch_folder
+from capfolio.llm.common import documents, ranked, scratch_folder, stored
 from capfolio.llm.language_id import fit_languages, identify
 from capfolio.llm.line_dedup import drop_lines, keep_bitmaps
 from capfolio.llm.mixing import mix_sources
@@ -21,8 +21,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def with_copy_number(frame: DataFrame, keys: list[str]) -> DataFrame:
-    """``frame`` with ``copy``: 1, 2, ... for rows that agree in ``keys``."""
-    return frame.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)))
+    """``frame`` with ``copy``: 0, 1, ... for rows that agree in ``keys``, however many there are."""
+    spread = frame.withColumn("_spread", F.monotonically_increasing_id())
+    return ranked(spread, keys, ["_spread"], "copy").drop("_spread")
 
 
 def recounted(docs: DataFrame) -> DataFrame:
@@ -41,31 +42,42 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten documents or more have."""
+    """Documents without the lines that ten documents or more have. A NULL text becomes an empty one; repeated rows, ids and other
+    columns stay as they are, and a document that loses all its lines stays as an empty one."""
     return recounted(drop_lines(docs.select(*COLUMNS), keep_bitmaps(docs)))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the least id, once if its row is repeated."""
+    """One document of each group of near duplicates: that with the least id. Rows that share an id are one document, of which
+    the row with the greatest text stays (then language, source and length). Rows without an id stay, as do blank texts."""
     stays = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
     own = docs.select(*COLUMNS)
-    kept = own.join(stays, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = own.join(stays, F.col("doc_id") == F.col("_id"), "left_semi")
+    kept = kept.groupBy("doc_id").agg(F.max(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
     return kept.union(own.where("doc_id IS NULL"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it. Rows that agree in id, text and source are documents each; which of them is taken
+    more often makes no difference. A NULL or blank text has no words and is not taken; a NULL source is one more source."""
     keys = ["k1", "k2", "k3"]
-    mixed = mix_sources(docs).where("copies > 0").select(
+    mixed = mix_sources(docs).select(
         F.xxhash64("doc_id").alias("k1"), F.col("text_hash").alias("k2"), F.xxhash64("source").alias("k3"), "copies"
     )
     own = docs.select(*COLUMNS, F.xxhash64("doc_id").alias("k1"), F.xxhash64("text").alias("k2"), F.xxhash64("source").alias("k3"))
-    taken = with_copy_number(own, keys).join(with_copy_number(mixed, keys), [*keys, "copy"])
-    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    mixed = stored(mixed)
+    times = mixed.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies"))
+    single = own.join(times.where("rows = 1 AND copies > 0"), keys).select(*COLUMNS, "copies")
+    several = times.where("rows > 1 AND copies > 0").select(*keys)
+    repeated = with_copy_number(own.join(several, keys, "left_semi"), keys)
+    taken = with_copy_number(mixed.join(several, keys, "left_semi"), keys).where("copies > 0")
+    found = single.union(repeated.join(taken, [*keys, "copy"]).select(*COLUMNS, "copies"))
+    return found.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes in the training sequences."""
+    """Where each piece of each document goes in the training sequences. A NULL or blank text is the end id alone; repeated rows are
+    packed as often as they occur, rows without an id like any other."""
     pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), limit=4096, end_id=1)
     return pack_exact(pieces, limit=4096)
 
