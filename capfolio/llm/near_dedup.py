@@ -19,6 +19,7 @@ ROWS = 4  # hashes in a band: a pair of similarity 0.75 misses all 32 bands with
 STEP = 16  # hashes compared before the next look at the posterior
 NUMERATOR, DENOMINATOR = 3, 4  # the threshold as a fraction
 NEEDED_BITS = 1 << 20
+FOREST_EDGES = 1 << 20  # contracted at a time
 BLOCK = 128  # members of a group that meet in a task: two blocks at most
 COLUMNS = 8192
 MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
@@ -282,10 +283,37 @@ def exact_links(table: pa.Table, may_meet: np.ndarray) -> tuple[np.ndarray, np.n
     return np.nonzero(may_meet & (DENOMINATOR * common >= NUMERATOR * union) & (common > 0))
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """A spanning forest of the ``edges`` (a, b) that a task sees, which connects what they connect.
+
+    Edges of one node, its greater end, meet in one task; a copy linked with many heads thus leaves about one edge.
+    """
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def kept(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        both = pa.concat_arrays([c for name in "ab" for c in table.column(name).chunks]).dictionary_encode()
+        codes = both.indices.to_numpy(zero_copy_only=False)
+        rows = table.num_rows
+        yield from table.take(pa.array(forest(codes[:rows], codes[rows:], len(both.dictionary)), pa.int64())).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= FOREST_EDGES:
+                yield from kept(held)
+                held = []
+        if sum(b.num_rows for b in held):
+            yield from kept(held)
+
+    return edges.select("a", "b").repartition(F.greatest("a", "b")).mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (least node reachable) of the graph with ``edges`` (a, b), for nodes that have an edge.
 
-    Large-star and small-star steps alternate until every node is the centre of a star or a leaf of one, around the
+    Edges are first contracted inside tasks. Large-star and small-star steps then alternate until every node is the centre of a star or a leaf of one, around the
     least node. The result of each pair of steps is stored as a table (a checkpoint would carry
     the constraints of all earlier steps along, which multiply); edges in both directions, and the edges a step makes of one, come from an
     explode, so that a plan holds few joins.
@@ -294,6 +322,7 @@ def components(edges: DataFrame) -> DataFrame:
         made = F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in pairs])
         return frame.select(F.explode(made).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
 
+    edges = contracted(edges)
     stars = stored(turned(edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), ("low", "high")))
     while True:
         ends = stars.select(F.col("v").alias("node"), F.lit(1).alias("leaf")).union(stars.select("u", F.lit(0)))
