@@ -64,7 +64,9 @@ def exact_duplicates(
         )
         .where("rows > 1")
     )
-    matched = rows.join(groups, F.col("open") & (F.col("text_sha256") == F.col("digest")), "left")
+    # Null-safe equality hashes another expression than the aggregate's, so both sides get a shuffle of their own, and adaptive
+    # execution can split the partition of a text with very many copies.
+    matched = rows.join(groups, F.col("open") & F.col("text_sha256").eqNullSafe(F.col("digest")), "left")
     alone = F.col("rows").isNull()
     return matched.select(
         "doc_id",

@@ -34,6 +34,31 @@ def test_exact_duplicates_equal_brute_force(docs, rows):
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
+def test_a_text_with_very_many_copies_is_split(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.range(30000).repartition(8).select(
+            F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same").otherwise(F.concat(F.lit("text "), (F.col("id") / 2).cast("int"))).alias("text")
+        )
+        found = exact_duplicates(docs)
+        sizes = found.groupBy("group_size").count().collect()
+        found.collect()
+        assert {r.group_size: r["count"] for r in sizes}[10000] == 10000
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_settled_rows_are_not_hashed(docs):
     got = exact_duplicates(docs).collect()
     assert any(r.text_sha256 is None for r in got)
