@@ -11,7 +11,8 @@ MALE = ("Mr", "Herr", "Señor", "Monsieur", "Господин")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Madame", "Mme", "Госпожа")
 TITLE = "|".join(sorted(MALE + FEMALE, key=len, reverse=True))
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# At most 64 characters before the '@' and 63 between dots, the limits of mail addresses: a long word costs time in proportion.
+EMAIL = r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 ADDRESS = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9])(?!\.[0-9])"
 PHONE = (
@@ -248,8 +249,8 @@ def replace_private(
 
     Detected are e-mail and IPv4 addresses, phone, card and social security numbers, credentials, and names after
     a title. A number in a card's layout whose Luhn sum is wrong stays, unless a keyword before it makes it a secret.
-    Replacements depend on the key and the entity alone, so an entity has the same surrogate everywhere,
-    whatever its layout (coreference, across documents too); they keep format, script, a name's gender, a card's
+    Replacements depend on the key, the entity and, where surrogates clash, on the entities they clash with, so an entity
+    has the same surrogate everywhere in ``docs``, whatever its layout (coreference, across documents too); they keep format, script, a name's gender, a card's
     Luhn remainder, country codes and top-level domains.
 
     Texts are searched where they lie. Only entities are shuffled, distinct ones map-side combined, and only texts

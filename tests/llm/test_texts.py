@@ -382,3 +382,21 @@ def test_surrogates_grow_where_a_format_is_full(spark, monkeypatch):
     got = surrogates.surrogate_map(frame, "k", attempts=8).collect()
     new = {(r.kind, r.new) for r in got}
     assert len(got) == len(entities) == len(new) and not new & set(entities)
+
+
+def test_surrogates_of_long_words_and_special_rows(spark, docs, nothing):
+    import time
+
+    word = "x" * 1_000_000
+    texts = [word, f"{word} a.b+c@mail.example.org {word}", "." * 200_000 + "@", "a@" * 50_000, None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    frame.count()
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in replace_private(frame, key="k").select("doc_id", "n_entities", "text").collect()}
+    assert time.perf_counter() - start < 60
+    assert [got[i].n_entities for i in range(6)] == [0, 1, 0, 0, 0, 0]
+    assert got[0].text == word and got[1].text.startswith(word + " ") and "a.b+c@mail.example.org" not in got[1].text
+    assert got[4].text is None and got[5].text == ""
+    assert replace_private(nothing, key="k").count() == 0
+    whole = replace_private(docs, key="k")
+    assert whole.count() == docs.count() and whole.columns == ["doc_id", "text", "n_entities"]
