@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -213,6 +214,26 @@ def forest(left: np.ndarray, right: np.ndarray, size: int) -> list[int]:
     return kept
 
 
+def least_nodes(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    """The least node connected with each of ``size`` nodes."""
+    root = list(range(size))
+    for i, j in zip(left.tolist(), right.tolist(), strict=True):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        while root[j] != j:
+            root[j] = root[root[j]]
+            j = root[j]
+        if i < j:
+            root[j] = i
+        else:
+            root[i] = j
+    found = np.array(root, np.int64)
+    while (found != found[found]).any():
+        found = found[found]
+    return found
+
+
 def open_pairs(table: pa.Table) -> np.ndarray:
     """Which rows may meet, as a matrix: of different labels, in different blocks if two meet, each pair once."""
     _, labels = np.unique(np.array(table.column("label").to_pylist()), return_inverse=True)
@@ -284,36 +305,43 @@ def exact_links(table: pa.Table, may_meet: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def contracted(edges: DataFrame) -> DataFrame:
-    """A spanning forest of the ``edges`` (a, b) that a task sees, which connects what they connect.
+    """(low, high), distinct: the ``edges`` (a, b) that a task sees as stars around the least node of each connected group.
 
-    Edges of one node, its greater end, meet in one task; a copy linked with many heads thus leaves about one edge.
+    Edges of one node, its greater end, meet in one task, so a copy linked with many heads leaves one edge.
     """
     kind = edges.schema["a"].dataType.simpleString()
 
-    def kept(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def starred(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
         both = pa.concat_arrays([c for name in "ab" for c in table.column(name).chunks]).dictionary_encode()
-        codes = both.indices.to_numpy(zero_copy_only=False)
-        rows = table.num_rows
-        yield from table.take(pa.array(forest(codes[:rows], codes[rows:], len(both.dictionary)), pa.int64())).to_batches()
+        ordered = pc.array_sort_indices(both.dictionary)
+        place = np.empty(len(ordered), np.int64)
+        place[ordered.to_numpy()] = np.arange(len(ordered))
+        codes = place[both.indices.to_numpy(zero_copy_only=False)]
+        least = least_nodes(codes[: table.num_rows], codes[table.num_rows :], len(place))
+        leaves = np.flatnonzero(least != np.arange(len(least)))
+        nodes = both.dictionary.take(ordered)
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(least[leaves])), nodes.take(pa.array(leaves))], names=["low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
             if sum(b.num_rows for b in held) >= FOREST_EDGES:
-                yield from kept(held)
+                yield starred(held)
                 held = []
         if sum(b.num_rows for b in held):
-            yield from kept(held)
+            yield starred(held)
 
-    return edges.select("a", "b").repartition(F.greatest("a", "b")).mapInArrow(run, f"a {kind}, b {kind}")
+    return edges.select("a", "b").repartition(F.greatest("a", "b")).mapInArrow(run, f"low {kind}, high {kind}").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (least node reachable) of the graph with ``edges`` (a, b), for nodes that have an edge.
 
-    Edges are first contracted inside tasks. Large-star and small-star steps then alternate until every node is the centre of a star or a leaf of one, around the
+    Edges are first contracted to stars inside tasks. A node that is then the greater end of one edge and has no other takes
+    the component of its other end, so it is set aside; in a large group of copies that is nearly every node. Among the others
+    large-star and small-star steps alternate until every node is the centre of a star or a leaf of one, around the
     least node. The result of each pair of steps is stored as a table (a checkpoint would carry
     the constraints of all earlier steps along, which multiply); edges in both directions, and the edges a step makes of one, come from an
     explode, so that a plan holds few joins.
@@ -322,8 +350,12 @@ def components(edges: DataFrame) -> DataFrame:
         made = F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in pairs])
         return frame.select(F.explode(made).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
 
-    edges = contracted(edges)
-    stars = stored(turned(edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), ("low", "high")))
+    drawn = stored(contracted(edges))
+    degrees = drawn.select(F.col("high").alias("node"), F.lit(1).alias("ends")).union(drawn.select("low", F.lit(2)))
+    single = degrees.groupBy("node").agg(F.sum("ends").alias("ends")).where("ends = 1")
+    marked = stored(drawn.join(single, F.col("high").eqNullSafe(F.col("node")), "left"))
+    aside = marked.where("ends = 1").select("low", "high")
+    stars = marked.where("ends IS NULL").select(F.col("low").alias("u"), F.col("high").alias("v"))
     while True:
         ends = stars.select(F.col("v").alias("node"), F.lit(1).alias("leaf")).union(stars.select("u", F.lit(0)))
         roles = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.min("leaf").alias("centre"))
@@ -336,7 +368,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(floor, F.col("v").eqNullSafe(F.col("_v"))).select("m", "u", "v")
         stars = stored(turned(small, ("m", "u"), ("m", "v")))
     centres = stars.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
-    return stars.select(F.col("v").alias("node"), F.col("u").alias("component")).union(centres)
+    inner = stars.select(F.col("v").alias("node"), F.col("u").alias("component")).union(centres)
+    held = aside.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct()
+    inner = stored(inner.union(held).groupBy("node").agg(F.min("component").alias("component")))
+    outer = aside.join(inner, F.col("low").eqNullSafe(F.col("node"))).select(F.col("high").alias("node"), "component")
+    return inner.union(outer)
 
 
 def near_duplicates(

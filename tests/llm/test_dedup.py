@@ -185,6 +185,26 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
 
 
+def test_copies_of_a_large_group_take_no_part_in_the_star_steps(spark, monkeypatch):
+    from capfolio.llm import near_dedup
+
+    rows, stored = [], near_dedup.stored
+
+    def counted(frame):
+        table = stored(frame)
+        if table.columns == ["u", "v"]:
+            rows.append(table.count())
+        return table
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    heads = [100 + i for i in range(12)]
+    edges = [(heads[i % 12], 1000 + i) for i in range(3000)] + [(heads[(i + 1) % 12], 1000 + i) for i in range(3000)]
+    edges += [(5, 5), (7, 9), (9, 8)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()}
+    assert got == {n: 100 for n in [*heads, *range(1000, 4000)]} | {7: 7, 8: 7, 9: 7}
+    assert sum(rows) < 1000
+
+
 def test_posterior_bounds_grow_with_the_evidence():
     bounds = least_matches(0.75, 1e-6)
     assert len(bounds) == 8 and bounds == sorted(bounds) and bounds[-1] < 96
