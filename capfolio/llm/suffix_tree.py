@@ -19,6 +19,8 @@ END = 0x9E3779B97F4A7C15  # the end token; words have hashes of their own
 STEP = np.uint64(0xD6E8FEB86659FD93)  # a gram's hash is its last token's plus STEP times that of the gram before it
 SYMBOL_BITS = 20
 FLUSH = 1 << 20
+CHUNK = 1 << 20  # bytes of text that a task holds as arrays of tokens and grams at a time
+BATCH = 1 << 16  # rows of a run that a task hands on at a time
 CACHE = 1 << 19
 MOST_BITS = 1 << 26
 BLOCK_BITS = 1 << 18
@@ -120,8 +122,10 @@ def counted(texts: DataFrame, length: int, shorter=None) -> DataFrame:
     """
     names = ["key", "context", "suffix"][: 1 if length == 1 else 3]
 
-    def run(columns: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=[*names, "n"])
+    def run(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(columns[0]), BATCH):
+            part = [pa.array(c[start : start + BATCH].view(np.int64)) for c in columns]
+            yield pa.RecordBatch.from_arrays(part, names=[*names, "n"])
 
     def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
         *columns, counts = [np.concatenate(c) for c in zip(*parts, strict=True)]
@@ -134,7 +138,7 @@ def counted(texts: DataFrame, length: int, shorter=None) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=CHUNK):
                 words = Words(part.column("text"))
                 tokens, edges = closed_texts(words, words.hashes(), np.uint64(END))
                 *_, (_, *columns) = grams(tokens, edges, length)
@@ -149,10 +153,10 @@ def counted(texts: DataFrame, length: int, shorter=None) -> DataFrame:
                     parts = [merged(parts)]
                     held = len(parts[0][0])
                     if held > FLUSH // 2:
-                        yield run(parts[0])
+                        yield from run(parts[0])
                         parts, held = [], 0
         if parts:
-            yield run(merged(parts))
+            yield from run(merged(parts))
 
     runs = texts.mapInArrow(count, ", ".join(f"{name} long" for name in [*names, "n"]))
     return runs.groupBy("key").agg(*[F.any_value(name).alias(name) for name in names[1:]], F.sum("n").alias("n"))
@@ -378,7 +382,7 @@ def scorer(known, depth: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, keys, counts, gained = known.value
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=CHUNK):
                 words = Words(part.column("text"))
                 tokens, edges = closed_texts(words, words.hashes(), np.uint64(END))
                 begins = edges[:-1]

@@ -306,3 +306,16 @@ def test_checksum_of_ids(spark):
     ids = [0, 7, -3, 12345678901]
     got = spark.createDataFrame([(i,) for i in ids], "i long").select(fold_of(F.col("i"), 3)).collect()
     assert [r[0] for r in got] == [zlib.crc32(str(i).encode()) % 3 for i in ids]
+
+
+def test_grams_are_counted_alike_in_small_pieces(spark, monkeypatch):
+    from collections import Counter
+
+    from capfolio.llm import suffix_tree
+
+    texts = [" ".join(f"w{(i * j) % 17}" for j in range(i % 40)) for i in range(120)]
+    want = Counter(w for t in texts for w in [*t.split(), "</s>"])
+    monkeypatch.setattr(suffix_tree, "CHUNK", 64)
+    monkeypatch.setattr(suffix_tree, "BATCH", 8)
+    found = suffix_tree.counted(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2), 1)
+    assert sorted(r.n for r in found.collect()) == sorted(want.values())
