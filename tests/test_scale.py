@@ -12,7 +12,8 @@ from capfolio.functions.joins import join_many_to_one
 from capfolio.functions.medians import exact_medians, histogram
 from capfolio.operators import normalize
 from capfolio.operators.breakdowns import budget_breakdown
-from capfolio.operators.reports import watchlist
+from capfolio.operators.portfolio import portfolio_summary
+from capfolio.operators.reports import big_lines, watchlist
 from capfolio.plans.tables import Tables
 from capfolio.sinks import staging
 from capfolio.sinks.snapshot import open_published, publish
@@ -155,6 +156,39 @@ def test_sharing_reads_what_is_published_or_stored_as_it_is(spark, tmp_path, mon
     assert plain.sharing({"schedule_history": 1, "fms_location": 1}).source is plain.source  # files are read as they are
 
 
+def test_summaries_and_listings_put_together_only_the_columns_they_read(spark, monkeypatch):
+    t = star_tables(spark, FOLDER)
+    written = []
+    write = staging.stage
+    monkeypatch.setattr(staging, "stage", lambda frame: written.append((frame.columns, plan_of(frame))) or write(frame))
+    found = portfolio_summary(t)
+    (detail,) = [columns for columns, _ in written if "total_budget" in columns]
+    assert set(detail) == {"reporting_period", "managing_agency", "pid", "fms_id", "total_budget"}
+    assert not any("Window" in plan or "customer.parquet" in plan for _, plan in written)
+    assert "Window" not in plan_of(found) and plan_of(found).count("lineitem.parquet") == 1
+
+    written.clear()
+    big_lines(t, "Ornaments", 60000)
+    assert not any("Window" in plan for _, plan in written)
+    held = {c for columns, _ in written for c in columns}
+    assert "forecast_completion" in held and not held & {"borough", "budget_variance", "actual_design_start"}
+
+
+def test_tables_limited_to_some_columns_give_no_others(spark):
+    t = star_tables(spark, FOLDER)
+    line = ("fms_id", "managing_agency")
+    limits = {"latest_project_state": ("pid", "lifecycle_status"), "lifetime_budget_variance": (*line, "original_budget", "spend_pct")}
+    shared = t.sharing({name: 1 for name in limits}, limits)
+    for name, columns in limits.items():
+        assert shared[name].columns == list(columns)
+        assert sorted(map(str, shared[name].collect())) == sorted(map(str, t[name].select(*columns).collect()))
+    for name in ("schedule_spine", "schedule_history", "budget_history"):
+        with pytest.raises(KeyError):
+            shared[name]
+    whole = t.sharing({"latest_project_state": 1, "schedule_history": 1}, limits)
+    assert whole["schedule_history"].where("agency_project_name IS NOT NULL").count() > 0
+
+
 def test_median_of_a_hot_group_is_selected_from_bands(spark):
     i = F.col("id")
     rows = spark.range(90000).select(
