@@ -51,13 +51,25 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def stored(frame: DataFrame) -> DataFrame:
+def stored(frame: DataFrame, **options: str) -> DataFrame:
     """``frame`` written as Parquet to the shared folder and read again; columns that are not read later cost nothing."""
     path = f"{scratch_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.parquet(path, **options)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def stored_alone(frame: DataFrame, **options: str) -> DataFrame:
+    """``stored``, for a ``frame`` that is not run again: its shuffle files are dropped as soon as it is written, not when the
+    driver happens to collect its garbage."""
+    conf, name = frame.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    earlier = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return stored(frame, **options)
+    finally:
+        conf.unset(name) if earlier is None else conf.set(name, earlier)
+
+
 def bit_set(hashes: DataFrame, bits: int) -> Column:
     """The single long column of ``hashes`` as a scalar array of ``bits / 64`` longs, for ``in_bit_set``.
 

@@ -19,7 +19,7 @@ from capfolio.llm.merkle import folded, leaf_digest, merkle_manifest, proof_text
 from capfolio.llm.mixing import mix_sources
 from capfolio.llm.near_dedup import near_duplicates
 from capfolio.llm.packing import pack_exact, pack_matrices, token_pieces
-from capfolio.llm.suffix_tree import fit_suffix_tree, score_texts
+from capfolio.llm.suffix_tree import fit_suffix_tree, score_texts, tokenized
 from capfolio.llm.surrogates import replace_private
 
 TOKENIZER = "word_bpe_49k.json"
@@ -28,8 +28,8 @@ TOKENIZER = "word_bpe_49k.json"
 def op1_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
     held_out = F.coalesce(fold_of(F.col("doc_id")) == 1, F.lit(False))
-    model = fit_suffix_tree(docs.where(~held_out))
-    return score_texts(docs, model).withColumn("held_out", held_out)
+    learned, others = tokenized(docs.where(~held_out)), tokenized(docs.where(held_out))
+    return score_texts(learned.union(others), fit_suffix_tree(learned)).withColumn("held_out", held_out)
 
 
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,10 +9,11 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capfolio.llm.common import stored
+from capfolio.llm.common import stored_alone as stored
 from capfolio.llm.words import Words, chunks
 
 END = 0x9E3779B97F4A7C15  # the end token; words have hashes of their own
@@ -20,9 +21,11 @@ STEP = np.uint64(0xD6E8FEB86659FD93)  # a gram's hash is its last token's plus S
 SYMBOL_BITS = 20
 FLUSH = 1 << 20
 CHUNK = 1 << 20  # bytes of text that a task holds as arrays of tokens and grams at a time
-BATCH = 1 << 16  # rows of a run that a task hands on at a time
-CACHE = 1 << 19
-MOST_BITS = 1 << 26
+BATCH = 1 << 16  # grams of a run that a task hands on at a time
+BUCKET = 1 << 20  # tokens for each bucket, that is, range of hashes, that one task adds up at a time
+LEAST_BITS = 5
+CACHE = 1 << 20
+MOST_BITS = 1 << 27
 BLOCK_BITS = 1 << 18
 
 
@@ -61,6 +64,90 @@ class SuffixTree:
         raise AttributeError(name)
 
 
+@dataclass(frozen=True)
+class Tokens:
+    """Texts split into tokens once: a table with one row per about ``CHUNK`` bytes of text.
+
+    ``ids`` and ``sizes`` are the ids and numbers of tokens of its documents, ``words`` the hashes of its distinct tokens and
+    ``codes`` all tokens in text order, as places in ``words`` of two bytes, or four where there are more than 65536.
+    """
+
+    table: DataFrame
+
+    @cached_property
+    def total(self) -> int:
+        return self.table.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
+
+    def union(self, other: Tokens) -> Tokens:
+        return Tokens(self.table.union(other.table))
+
+
+def code_type(distinct: int) -> type:
+    return np.uint16 if distinct <= 1 << 16 else np.uint32
+
+
+def lists_of(parts: list[pa.Array]) -> pa.Array:
+    """A list array of whole arrays."""
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)]).astype(np.int32), pa.concat_arrays(parts))
+
+
+def tokenized(docs: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text") -> Tokens:
+    """``docs`` split into tokens, for ``fit_suffix_tree`` and ``score_texts``; NULL is the empty text."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, most=CHUNK):
+                words = Words(part.column("text"))
+                hashes = np.append(words.hashes(), np.uint64(END))
+                codes, edges = closed_texts(words, np.arange(len(hashes), dtype=code_type(len(hashes))), len(hashes) - 1)
+                columns = [
+                    lists_of([part.column("doc_id")]), lists_of([pa.array(np.diff(edges).astype(np.int32))]),
+                    pa.array([hashes.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["ids", "sizes", "words", "codes"])
+
+    ids = F.col(id_col) if isinstance(id_col, str) else id_col
+    source = docs.select(ids.alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    split_texts = source.mapInArrow(split, f"ids array<{kind}>, sizes array<int>, words binary, codes binary")
+    return Tokens(stored(split_texts, compression="zstd"))
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """For each row of ``Tokens``: its batch, its place there, the hashes of its distinct tokens, their codes, where texts begin."""
+    for batch in batches:
+        sizes, words, codes = (batch.column(name) for name in ("sizes", "words", "codes"))
+        for i in range(batch.num_rows):
+            hashes = np.frombuffer(words[i].as_buffer(), np.uint64)
+            edges = np.concatenate(([0], np.cumsum(sizes[i].values.to_numpy(zero_copy_only=False), dtype=np.int64)))
+            yield batch, i, hashes, np.frombuffer(codes[i].as_buffer(), code_type(len(hashes))), edges
+
+
+def bucket_bits(tokens: int) -> int:
+    """Bits of the numbers of buckets, which grow with the corpus, so that what one task adds up does not."""
+    return max(LEAST_BITS, math.ceil(math.log2(max(1, tokens) / BUCKET)))
+
+
+def starts_of(sorted_keys: np.ndarray, bits: int) -> list[int]:
+    """Where each bucket, given by the first ``bits`` bits, begins in ``sorted_keys``, and the end."""
+    first = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    return [0, *np.searchsorted(sorted_keys, first).tolist(), len(sorted_keys)]
+
+
+def narrow(numbers: np.ndarray, wide: type) -> bytes:
+    """The numbers in a byte each, or in ``wide`` ones where one is 256 or more."""
+    return numbers.astype(np.uint8 if numbers.max() < 256 else wide).tobytes()
+
+
+def widened(numbers: bytes, count: int, wide: type) -> np.ndarray:
+    return np.frombuffer(numbers, np.uint8 if len(numbers) == count else wide).astype(wide)
+
+
+def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The numbers in all binary values of a column."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
 def closed_texts(words: Words, table: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Values of all tokens, each text followed by its end, and where texts begin."""
     edges = words.starts + np.arange(len(words.starts))
@@ -114,22 +201,35 @@ def bits_of(keys: DataFrame) -> np.ndarray:
     return found
 
 
-def counted(texts: DataFrame, length: int, shorter=None) -> DataFrame:
-    """(key, n) of the grams of ``length`` tokens in the column ``text``; from length 2 with ``context`` and ``suffix``,
+def counted(texts: DataFrame | Tokens, length: int, shorter=None, bits: int = LEAST_BITS, least: int = 1) -> DataFrame:
+    """(key, n) of the grams of ``length`` tokens that occur ``least`` times; from length 2 with ``context`` and ``suffix``,
     the grams without their last and first token, and only of grams that ``shorter`` (a broadcast bit set) may have.
 
-    Tasks sum what they meet and hand on sorted runs of about a million keys; Spark sums these over all tasks.
+    Tasks sum what they meet in runs of about a million keys. A run is handed on in blocks of binary columns, one per
+    range of keys: a row per block instead of one per gram. A count takes a byte where a block's counts fit. Blocks are
+    sorted by context, whose repeats the shuffle's compression takes out; a pair's suffix follows from key and context.
     """
-    names = ["key", "context", "suffix"][: 1 if length == 1 else 3]
+    names = ["keys", "contexts", "suffixes"][:length]
 
-    def run(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for start in range(0, len(columns[0]), BATCH):
-            part = [pa.array(c[start : start + BATCH].view(np.int64)) for c in columns]
-            yield pa.RecordBatch.from_arrays(part, names=[*names, "n"])
+    def handed_on(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        starts, rows, held = starts_of(columns[0], bits), [], 0
+        for bucket, (start, end) in enumerate(zip(starts, starts[1:], strict=False)):
+            if start < end:
+                *part, times = [c[start:end] for c in columns]
+                if length > 1:
+                    order = np.argsort(part[1])
+                    *part, times = [c[order] for c in (*part, times)]
+                rows.append((bucket, *(c.tobytes() for c in part), narrow(times, np.int64)))
+                held += end - start
+            if rows and (held >= BATCH or bucket == len(starts) - 2):
+                bucket_column, *others = zip(*rows, strict=True)
+                arrays = [pa.array(bucket_column, pa.int32()), *(pa.array(c, pa.binary()) for c in others)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["bucket", *names, "times"])
+                rows, held = [], 0
 
     def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
         *columns, counts = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        order = np.argsort(columns[0], kind="stable")
+        order = np.argsort(columns[0])
         keys = columns[0][order]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
         sums = np.add.reduceat(counts[order], first) if len(first) else counts
@@ -137,29 +237,40 @@ def counted(texts: DataFrame, length: int, shorter=None) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for batch in batches:
-            for part in chunks(batch, most=CHUNK):
-                words = Words(part.column("text"))
-                tokens, edges = closed_texts(words, words.hashes(), np.uint64(END))
-                *_, (_, *columns) = grams(tokens, edges, length)
-                if length > 1:
-                    maybe = may_have(shorter.value, columns[1])
-                    maybe[maybe] = may_have(shorter.value, columns[2][maybe])
-                    columns = [c[maybe] for c in columns]
-                found, index, times = np.unique(columns[0], return_index=True, return_counts=True)
-                parts.append([found, *(c[index] for c in columns[1:] if c is not None), times.astype(np.int64)])
-                held += len(found)
-                if held >= FLUSH:
-                    parts = [merged(parts)]
-                    held = len(parts[0][0])
-                    if held > FLUSH // 2:
-                        yield from run(parts[0])
-                        parts, held = [], 0
+        for _, _, hashes, codes, edges in rows_of(batches):
+            if length == 1:
+                parts.append([hashes, np.bincount(codes, minlength=len(hashes))])
+            else:
+                *_, (_, *columns) = grams(hashes[codes], edges, length)
+                maybe = np.flatnonzero(may_have(shorter.value, columns[1]))
+                maybe = maybe[may_have(shorter.value, columns[2][maybe])]
+                parts.append([*(c[maybe] for c in columns[: len(names)]), np.ones(len(maybe), np.int64)])
+            held += len(parts[-1][0])
+            if held >= FLUSH:
+                parts = [merged(parts)]
+                held = len(parts[0][0])
+                if held > FLUSH // 2:
+                    yield from handed_on(parts[0])
+                    parts, held = [], 0
         if parts:
-            yield from run(merged(parts))
-
-    runs = texts.mapInArrow(count, ", ".join(f"{name} long" for name in [*names, "n"]))
-    return runs.groupBy("key").agg(*[F.any_value(name).alias(name) for name in names[1:]], F.sum("n").alias("n"))
+            yield from handed_on(merged(parts))
+
+    def total(table: pa.Table) -> pa.Table:
+        columns = [joined(table.column(name), np.uint64) for name in names]
+        sizes = pc.binary_length(table.column("keys")).to_pylist()
+        times = [widened(t, n // 8, np.int64) for t, n in zip(table.column("times").to_pylist(), sizes, strict=True)]
+        *columns, n = merged([[*columns, np.concatenate(times)]])
+        *columns, n = [c[n >= least] for c in (*columns, n)]
+        if length == 2:
+            columns.append(columns[0] - STEP * columns[1])
+        return pa.table([pa.array(c.view(np.int64)) for c in (*columns, n)], names=found)
+
+    found = ["key", "context", "suffix", "n"] if length > 1 else ["key", "n"]
+    tokens = texts if isinstance(texts, Tokens) else tokenized(texts, F.lit(None).cast("int"))
+    runs = tokens.table.select("sizes", "words", "codes").mapInArrow(
+        count, ", ".join(["bucket int", *(f"{name} binary" for name in (*names, "times"))])
+    )
+    return runs.groupBy("bucket").applyInArrow(total, ", ".join(f"{name} long" for name in found))
 
 
 def before(numbers: np.ndarray, edges: np.ndarray, steps: int) -> np.ndarray:
@@ -181,9 +292,9 @@ def contains(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def fit_suffix_tree(
-    texts: DataFrame, min_count: int = 4, divergence: float = 12.0, discount: float = 0.75, depth: int = 2
+    texts: DataFrame | Tokens, min_count: int = 4, divergence: float = 12.0, discount: float = 0.75, depth: int = 2
 ) -> SuffixTree:
-    """The model of all of ``texts`` (one column, ``text``; NULL is the empty text).
+    """The model of all of ``texts`` (a column ``text``; NULL is the empty text; or ``Tokens``, which saves splitting them).
 
     Tokens are lower-cased words and one end per text. A context of up to ``depth`` tokens is a candidate, and a token
     after it an edge, if they occur ``min_count`` times together, whatever the size of the corpus; all of them are rows
@@ -193,19 +304,19 @@ def fit_suffix_tree(
     Smoothing: an edge has (n - discount) / N; what is left goes to all other tokens in proportion to the next
     shorter state, down to the base (c + 0.5) / (N + 0.5 (V + 1)), so each state's distribution sums to 1.
 
-    Each length is counted in one scan of the texts. A gram that reaches ``min_count`` has a context and a suffix that do,
+    Each length is counted in one scan of the tokens. A gram that reaches ``min_count`` has a context and a suffix that do,
     so a bit set of the shorter ones keeps most others out of the shuffle, and loses none.
     """
-    texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
-    counts = stored(counted(texts, 1))
-    total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    total = total or 0
-    context = texts.sparkSession.sparkContext
+    tokens = texts if isinstance(texts, Tokens) else tokenized(texts, F.lit(None).cast("int"))
+    total, bits = tokens.total, bucket_bits(tokens.total)
+    counts = stored(counted(tokens, 1, bits=bits))
+    distinct = counts.count()
+    context = counts.sparkSession.sparkContext
     enough = F.col("n") >= min_count
     frequent = [counts.where(enough)]
     for length in range(2, depth + 2):
         shorter = context.broadcast(bits_of(frequent[-1]))
-        frequent.append(stored(counted(texts, length, shorter).where(enough)))
+        frequent.append(stored(counted(tokens, length, shorter, bits, min_count)))
         shorter.unpersist()
 
     base = (F.col("n") + 0.5) / (total + 0.5 * (distinct + 1))
@@ -256,8 +367,7 @@ def fit_suffix_tree(
         parts = parts.union(table.select("key", none, "step", "n"))
         parts = parts.union(held.select("context", none, "backoff", "times"))
     weights = stored(parts.groupBy("key").agg(F.max("c").alias("c"), F.sum("gain").alias("gain"), F.max("n").alias("n")))
-    tokens = counts.select(F.col("key").alias("token"), F.col("n").alias("c"))
-    return SuffixTree(tokens, total, distinct, weights, frequent[0], kept, steps)
+    return SuffixTree(counts.select(F.col("key").alias("token"), F.col("n").alias("c")), total, distinct, weights, frequent[0], kept, steps)
 
 
 def collected_tree(model: SuffixTree) -> dict[str, np.ndarray]:
@@ -330,96 +440,133 @@ def most_frequent(weights: DataFrame, most: int = CACHE) -> tuple[np.ndarray, ..
     return key[order], c[order], gain[order]
 
 
-def score_texts(docs: DataFrame, model: SuffixTree, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame | Tokens, model: SuffixTree, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``.
 
     ``base_score`` uses the counts of all training tokens; ``score`` adds what the longest retained suffix before each
     token gives. That is a sum over the text's grams: a retained context adds its weight on other tokens, an edge the
     difference from that and from the next shorter state. The most frequent grams are looked up inside the task; other
-    grams that a bit set does not rule out leave the task once per document and gram and meet the table of weights
-    in a join, in which no gram is hot, since all hot ones are in the cache.
+    grams that a bit set does not rule out leave the task in blocks by range of hashes and meet that range of the table of
+    weights, in which no gram is hot, since all hot ones are in the cache. Sums by document come back in blocks too.
 
     A NULL or blank text is the end alone. NULL ids and repeated rows are scored like any other; an empty table
     gives an empty result, and a model of no texts scores every token by the base formula with all counts 0.
     """
-    context = docs.sparkSession.sparkContext
+    tokens = docs if isinstance(docs, Tokens) else tokenized(docs, id_col, text_col)
+    context = tokens.table.sparkSession.sparkContext
     known = context.broadcast((bits_of(model.weights.select("key")), *most_frequent(model.weights)))
-    source = stored(
-        docs.select(
-            F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"),
-        ).select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(
-            scorer(known, model.depth), score_schema(docs.schema[id_col].dataType.simpleString())
-        )
+    bits = bucket_bits(tokens.total // 4)
+    kind = tokens.table.schema["ids"].dataType.simpleString()
+    sums = f"chunk long, ids {kind}, sizes array<int>, " + ", ".join(f"{name} binary" for name in SUMS)
+    asked = tokens.table.withColumn("chunk", F.monotonically_increasing_id()).mapInArrow(
+        scorer(known, model.depth, bits), f"bucket int, {sums}, grams binary"
     )
-    scale = math.log10(model.total + 0.5 * (model.distinct + 1))
-    rare = source.select("row", F.explode(F.arrays_zip("grams", "times")).alias("e")).select("row", "e.grams", "e.times")
-    joined = rare.join(model.weights.select("key", "c", F.col("gain").alias("weight")), F.col("grams") == F.col("key"))
-    logs = F.sum(F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - math.log10(0.5))).alias("rare_logs")
-    sums = joined.groupBy("row").agg(
-        logs, F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("times") * F.col("weight")).alias("rare_gain"),
+    bucket = F.shiftrightunsigned("key", 64 - bits).cast("int")
+    weights = model.weights.select(bucket.alias("bucket"), "key", F.coalesce("c", F.lit(0)).alias("c"), "gain")
+    parts = asked.groupBy("bucket").cogroup(weights.groupBy("bucket")).applyInArrow(looked_up, sums)
+    id_type = tokens.table.schema["ids"].dataType.elementType.simpleString()
+    added = parts.groupBy("chunk").applyInArrow(
+        added_up, f"doc_id {id_type}, n_tokens long, known long, logs double, gain double"
     )
-    base = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("n_tokens") * scale
-    gain = F.col("gain") + F.coalesce("rare_gain", F.lit(0.0))
-    return source.drop("grams", "times").join(sums, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + gain).alias("score"),
+    base = F.col("logs") - F.col("n_tokens") * math.log10(model.total + 0.5 * (model.distinct + 1))
+    return added.select(
+        "doc_id", "n_tokens", F.col("known").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
+        base.alias("base_score"), (base + F.col("gain")).alias("score"),
     )
 
 
-def score_schema(id_type: str) -> str:
-    return (
-        f"doc_id {id_type}, row long, n_tokens long, known long, logs double, gain double, "
-        "grams array<long>, times array<int>"
-    )
+SUMS = {"owners": np.uint32, "known": np.int64, "logs": np.float64, "gain": np.float64}
 
 
-def scorer(known, depth: int):
-    """Per text: what the cached grams give, and its other grams with their numbers of occurrences.
+def scorer(known, depth: int, bits: int):
+    """Per row of ``Tokens``: what the cached grams give to each text, and its other grams, in a row for each bucket, whose
+    ``owners`` are steps from one gram's text to the next one's.
 
-    All tokens outside the cache get the count 0 here; the join adds the difference for those that it finds.
+    All tokens outside the cache get the count 0 here; the look-up adds the difference for those that it finds.
     """
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, keys, counts, gained = known.value
-        for batch in batches:
-            for part in chunks(batch, most=CHUNK):
-                words = Words(part.column("text"))
-                tokens, edges = closed_texts(words, words.hashes(), np.uint64(END))
-                begins = edges[:-1]
-                owners = np.repeat(np.arange(len(begins)), np.diff(edges))
-                logs, gain, seen = np.full(len(tokens), math.log10(0.5)), np.zeros(len(tokens)), np.zeros(len(tokens), np.int64)
-                rare_owners, rare_keys = [], []
-                for length, (places, found, _, _) in enumerate(grams(tokens, edges, depth + 1), 1):
-                    maybe = np.flatnonzero(may_have(bits, found))
-                    places, found = places[maybe], found[maybe].view(np.int64)
-                    at = contains(keys, found)
-                    hit, at = places[at >= 0], at[at >= 0]
-                    gain[hit] += gained[at]
-                    if length == 1:
-                        logs[hit] = np.log10(counts[at] + 0.5)
-                        seen[hit] = counts[at] > 0
-                    miss = np.ones(len(tokens), bool)
-                    miss[hit] = False
-                    miss = miss[places]
-                    rare_owners.append(owners[places[miss]])
-                    rare_keys.append(found[miss])
-                rare_owners, rare_keys = np.concatenate(rare_owners), np.concatenate(rare_keys)
-                order = np.lexsort((rare_keys, rare_owners))
-                rare_owners, rare_keys = rare_owners[order], rare_keys[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (rare_owners[1:] != rare_owners[:-1]) | (rare_keys[1:] != rare_keys[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(order))).astype(np.int32)
-                lists = pa.array(np.searchsorted(rare_owners[first], np.arange(len(begins) + 1)).astype(np.int32))
-                total = lambda values: np.add.reduceat(values, begins)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"), part.column("row"), pa.array(np.diff(edges)), pa.array(total(seen)),
-                        pa.array(total(logs)), pa.array(total(gain)),
-                        pa.ListArray.from_arrays(lists, pa.array(rare_keys[first])),
-                        pa.ListArray.from_arrays(lists, pa.array(times)),
-                    ],
-                    names=["doc_id", "row", "n_tokens", "known", "logs", "gain", "grams", "times"],
-                )
+        bits_set, keys, counts, gained = known.value
+        for batch, i, hashes, codes, edges in rows_of(batches):
+            begins, chunk = edges[:-1], batch.column("chunk")[i].as_py()
+            owners = np.repeat(np.arange(len(begins), dtype=np.uint32), np.diff(edges))
+            gain = np.zeros(len(codes))
+            at = contains(keys, hashes.view(np.int64))
+            token_counts = np.where(at >= 0, counts[at], 0) if len(keys) else np.zeros(len(hashes), np.int64)
+            rare_owners, rare_keys = [], []
+            for length, (places, found, _, _) in enumerate(grams(hashes[codes], edges, depth + 1), 1):
+                if length == 1:
+                    place, asked = at[codes], may_have(bits_set, hashes)[codes]
+                else:
+                    maybe = np.flatnonzero(may_have(bits_set, found))
+                    places, found = places[maybe], found[maybe]
+                    place, asked = contains(keys, found.view(np.int64)), True
+                hit = place >= 0
+                gain[places[hit]] += gained[place[hit]]
+                miss = ~hit & asked
+                rare_owners.append(owners[places[miss]])
+                rare_keys.append(found[miss])
+            total = lambda values: np.add.reduceat(values, begins)
+            whole = [
+                np.arange(len(begins), dtype=np.uint32), total((token_counts > 0)[codes].astype(np.int64)),
+                total(np.log10(token_counts + 0.5)[codes]), total(gain),
+            ]
+            rare_owners, rare_keys = np.concatenate(rare_owners), np.concatenate(rare_keys)
+            buckets = rare_keys >> np.uint64(64 - bits)
+            order = np.argsort(buckets << np.uint64(32) | rare_owners)
+            rare_owners, rare_keys, buckets = rare_owners[order], rare_keys[order], buckets[order]
+            starts = np.flatnonzero(np.diff(buckets.astype(np.int64), prepend=-1))
+            ends, n = np.append(starts[1:], len(order)), len(starts)
+            binary = lambda first, rest: pa.array([first, *rest], pa.binary())
+            spans = [slice(*span) for span in zip(starts.tolist(), ends.tolist(), strict=True)] if n else []
+            steps = [narrow(np.diff(rare_owners[span], prepend=np.uint32(0)), np.uint32) for span in spans]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([chunk % (1 << bits), *buckets[starts].tolist()], pa.int32()), pa.array([chunk] * (n + 1), pa.int64()),
+                    *(pa.concat_arrays([batch.column(c).slice(i, 1), pa.nulls(n, batch.column(c).type)]) for c in ("ids", "sizes")),
+                    binary(whole[0].tobytes(), steps), *(binary(values.tobytes(), [None] * n) for values in whole[1:]),
+                    binary(None, [rare_keys[span].tobytes() for span in spans]),
+                ],
+                names=["bucket", "chunk", "ids", "sizes", *SUMS, "grams"],
+            )
 
     return score
+
+
+def looked_up(asked: pa.Table, weights: pa.Table) -> pa.Table:
+    """The sums by document of a bucket's grams for each row that asks for some; rows that hold whole texts as they are."""
+    whole = asked.filter(pc.is_valid(asked.column("sizes"))).select(["chunk", "ids", "sizes", *SUMS])
+    asked = asked.filter(pc.is_null(asked.column("sizes")))
+    if not asked.num_rows or not weights.num_rows:
+        return whole
+    key, c, gained = (weights.column(name).to_numpy() for name in ("key", "c", "gain"))
+    order = np.argsort(key)
+    grams_of = asked.column("grams").to_pylist()
+    rows = np.repeat(np.arange(len(grams_of)), [len(g) // 8 for g in grams_of])
+    at = contains(key[order], np.frombuffer(b"".join(grams_of), np.int64))
+    hit = np.flatnonzero(at >= 0)
+    steps = zip(asked.column("owners").to_pylist(), grams_of, strict=True)
+    owners = np.concatenate([np.cumsum(widened(o, len(g) // 8, np.uint32), dtype=np.uint32) for o, g in steps])
+    owners, rows, at = owners[hit], rows[hit], order[at[hit]]
+    if not len(hit):
+        return whole
+    first = np.flatnonzero(np.concatenate(([True], (owners[1:] != owners[:-1]) | (rows[1:] != rows[:-1]))))
+    logs = np.where(c[at] > 0, np.log10(c[at] + 0.5) - math.log10(0.5), 0.0)
+    sums = [owners[first], *(np.add.reduceat(v, first) for v in ((c[at] > 0).astype(np.int64), logs, gained[at]))]
+    starts = np.searchsorted(rows[first], np.arange(len(grams_of) + 1)).tolist()
+    part = lambda values: pa.array([values[s:e].tobytes() for s, e in zip(starts, starts[1:], strict=False)], pa.binary())
+    found = pa.table(
+        [asked.column("chunk"), *(pa.nulls(len(grams_of), whole.schema.field(c).type) for c in ("ids", "sizes")), *map(part, sums)],
+        names=whole.column_names,
+    )
+    return pa.concat_tables([whole, found.cast(whole.schema)])
+
+
+def added_up(parts: pa.Table) -> pa.Table:
+    """The sums of all rows of one chunk, one row per text."""
+    whole = parts.filter(pc.is_valid(parts.column("sizes")))
+    ids, sizes = (whole.column(name).combine_chunks().flatten() for name in ("ids", "sizes"))
+    found = {name: np.zeros(len(sizes), kind) for name, kind in SUMS.items() if name != "owners"}
+    owners = joined(parts.column("owners"), np.uint32)
+    for name, values in found.items():
+        np.add.at(values, owners, joined(parts.column(name), SUMS[name]))
+    return pa.table([ids, sizes.cast(pa.int64()), *map(pa.array, found.values())], names=["doc_id", "n_tokens", *found])

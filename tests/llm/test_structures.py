@@ -319,3 +319,26 @@ def test_grams_are_counted_alike_in_small_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_tree, "BATCH", 8)
     found = suffix_tree.counted(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2), 1)
     assert sorted(r.n for r in found.collect()) == sorted(want.values())
+
+
+def test_grams_leave_tasks_in_a_few_bytes_each(spark, tmp_path):
+    """The files of a counting shuffle: 17 bytes for a pair of words at most, whatever its count, and none is left once it is written."""
+    from pathlib import Path
+
+    from capfolio.llm import common, suffix_tree
+
+    def shuffled():
+        local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+        return {p for p in local.rglob("shuffle_*.data")}
+
+    words = spark.range(400).selectExpr("array_join(transform(sequence(1, 500), i -> concat('w', pmod(xxhash64(id, i), 3000))), ' ') AS text")
+    before = shuffled()
+    common.stored_alone(words.repartition(3))
+    assert shuffled() <= before
+
+    tokens = suffix_tree.tokenized(words, suffix_tree.F.lit(None).cast("int"))
+    everything = spark.sparkContext.broadcast(np.full(64, 2**64 - 1, np.uint64))
+    pairs = suffix_tree.counted(tokens, 2, everything)
+    assert pairs.agg(suffix_tree.F.sum("n")).first()[0] == 400 * 500
+    moved = sum(p.stat().st_size for p in shuffled() - before)
+    assert 0 < moved < 17.5 * 400 * 500
