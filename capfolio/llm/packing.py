@@ -18,7 +18,7 @@ from capfolio.llm.tokens import word_tokenizer
 from capfolio.llm.words import chunks
 
 RANK_BITS = 40
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 
 
 def token_batches(batches, tokenizer_path: str, end_id: int):
@@ -33,6 +33,7 @@ def token_batches(batches, tokenizer_path: str, end_id: int):
             inner[edges[1:] - 1] = False
             closed[inner] = ids
             yield part.column("doc_id"), closed, edges
+            pa.default_memory_pool().release_unused()  # workers outlive their task, and other stages run beside them
 
 
 def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from tokenizers import Tokenizer
 from capfolio.llm.words import Words
 
 CACHE_WORDS = 600_000
+PORTION = 4096  # strings that the tokenizer gets at a time
 #: The file's own splitting pattern; fixed values.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = regex.compile(r"[!-~¡-įı-ſ]+")
@@ -63,10 +65,15 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.words, self.pieces = Runs(), Runs()
 
-    def encode(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return counts, np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum()))
+    def encode(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each string has, and all ids in order. The tokenizer's answers take much memory: a few at a time."""
+        counts, ids = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+        for start in range(0, len(strings), PORTION):
+            portion = strings.slice(start, PORTION).to_pylist()
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(portion, add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(counts[-1].sum())))
+        return np.concatenate(counts), np.concatenate(ids)
 
     def piece_places(self, pieces: pa.Array) -> np.ndarray:
         """Places of ``pieces`` in the cache, which learns those it lacks."""
@@ -76,7 +83,7 @@ class WordTokenizer:
         places = self.pieces.find(encoded.dictionary)
         new = places < 0
         missing = encoded.dictionary.filter(pa.array(new))
-        places[new] = self.pieces.add(missing, *self.encode(missing.to_pylist()))
+        places[new] = self.pieces.add(missing, *self.encode(missing))
         return places[encoded.indices.to_numpy(zero_copy_only=False)] if len(pieces) else places
 
     def learn(self, new: pa.Array) -> np.ndarray:
@@ -111,7 +118,8 @@ class WordTokenizer:
         learnt = np.concatenate((np.flatnonzero(is_simple), np.array(list(parts), np.int64)))
         found = np.empty(len(new), np.int64)
         found[learnt] = self.words.add(new.take(pa.array(learnt)), edges[begins + sizes] - edges[begins], ids)
-        found[list(whole)] = self.words.add(pa.array(list(whole.values()), kind), *self.encode(list(whole.values())))
+        wholes = pa.array(list(whole.values()), kind)
+        found[list(whole)] = self.words.add(wholes, *self.encode(wholes))
         return found
 
     def ids(self, texts) -> tuple[np.ndarray, np.ndarray]:

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from compare import connect, difference
 from conftest import SMALL
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from capfolio.llm.packing import best_fit_decreasing, pack_exact, pack_matrices, plan_sequences, token_pieces
+from capfolio.llm import tokens
+from capfolio.llm.packing import best_fit_decreasing, pack_exact, pack_matrices, plan_sequences, token_batches, token_pieces
 from capfolio.llm.queries import ORACLE_SQL, QUERIES
+from capfolio.llm.tokens import WordTokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -137,3 +140,30 @@ def test_pipeline_stages_on_their_own(spark, docs, rows):
 def test_pipeline_query(spark):
     got = corpus_pipeline.run(spark, SMALL)
     assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+def test_tokenizer_is_asked_in_portions_and_texts_come_in_small_slices(monkeypatch):
+    """A worker's memory: the tokenizer's answers for a few thousand words, and a few MB of text, at a time."""
+    loaded = WordTokenizer(PATH)
+    plain, asked = loaded.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, strings, **options):
+            asked.append(len(strings))
+            return plain.encode_batch_fast(strings, **options)
+
+    loaded.tokenizer = Counting()
+    random.seed(5)
+    words = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(12_000)]
+    odd = [f"слово{i}" for i in range(6_000)]  # these go to the tokenizer whole
+    texts = [" ".join(words), " ".join(odd), None, ""]
+    ids, starts = loaded.ids(pa.array(texts))
+    assert max(asked) <= 4096 and sum(asked) >= 18_000
+    for row, text in enumerate(texts):
+        assert ids[starts[row] : starts[row + 1]].tolist() == plain.encode(text or "", add_special_tokens=False).ids
+
+    long = ["so it goes " * 100_000] * 12  # 13 MB
+    monkeypatch.setitem(tokens._LOADED, PATH, loaded)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12), pa.int64()), pa.array(long)], names=["doc_id", "text"])
+    sizes = [len(owners) for owners, _, _ in token_batches([batch], PATH, 1)]
+    assert sum(sizes) == 12 and max(sizes) * len(long[0]) <= 5 << 20
