@@ -5,14 +5,14 @@ import re
 import pyarrow as pa
 import pytest
 from compare import plan_of
-from fixtures import NOW, tables, town
+from fixtures import BEFORE, FIRST, NOW, detail, raw_frame, schedule, tables, town
 from pyspark.sql import functions as F
 
 from capfolio.functions.joins import join_many_to_one
 from capfolio.functions.medians import exact_medians, histogram
-from capfolio.operators import normalize
+from capfolio.operators import derive, normalize
 from capfolio.operators.breakdowns import budget_breakdown
-from capfolio.operators.portfolio import portfolio_summary
+from capfolio.operators.portfolio import PortfolioFilter, matching_projects, portfolio_rows, portfolio_summary
 from capfolio.operators.reports import big_lines, watchlist
 from capfolio.plans.tables import Tables
 from capfolio.sinks import staging
@@ -205,3 +205,85 @@ def test_median_of_a_hot_group_is_selected_from_bands(spark):
     assert exact_medians(histogram(rows.where("days IS NULL"), ["g"], "days"), ["g"], "days").count() == 0
     ends = spark.createDataFrame([(9 * 10**18,), (-9 * 10**18,)], "days long")
     assert exact_medians(histogram(ends, [], "days"), [], "days").first().median == 0.0
+
+
+def listed(t):
+    wanted = PortfolioFilter(category="Fasteners", borough="B1", agency="BUILDING")
+    return portfolio_rows(t, wanted), matching_projects(t, wanted).select("pid", "attributed_budget", "completion_date")
+
+
+@pytest.mark.parametrize("made", [listed])
+def test_schedules_of_a_category_come_from_details_put_together_once(spark, made, monkeypatch):
+    written = []
+    write = staging.stage
+    monkeypatch.setattr(staging, "stage", lambda frame: written.append((frame.columns, plan_of(frame))) or write(frame))
+    found, plain = made(star_tables(spark, FOLDER))
+    assert plan_of(found).count("lineitem.parquet") == 1  # the variances; the details are stored
+    (lines, scans), (details, assembled), (current, cut) = written
+    assert lines == ["fms_id", "category"] and scans.count("lineitem.parquet") == 2
+    assert assembled.count("lineitem.parquet") == 1 and "ten_year_plan_category" not in details
+    assert current == details and "lineitem.parquet" not in cut
+    rows = [str(r) for r in found.select(*plain.columns).collect()]
+    assert rows and sorted(rows) == sorted(str(r) for r in plain.collect())
+
+
+def test_shuffle_files_go_when_a_table_is_stored(spark, monkeypatch):
+    held = []
+    write = staging.stage
+    monkeypatch.setattr(staging, "stage", lambda frame: held.append(spark.conf.get(staging.CLEANUP)) or write(frame))
+    before = spark.conf.get(staging.CLEANUP, None)
+    counts = staging.stage_all({"n": spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()})["n"]
+    assert held == ["true"] and spark.conf.get(staging.CLEANUP, None) == before
+    assert counts.count() == 7 and counts.agg(F.sum("count")).first()[0] == 100
+
+
+def test_current_details_keep_the_newest_links_of_a_schedule_without_newer_ones(spark):
+    rows = [
+        detail(NOW, "BLD", "FOR", "1", None), detail(BEFORE, "BLD", "FOR", "1", "L1"), detail(BEFORE, "BLD", "FOR", "1", "L1"),
+        detail(BEFORE, "BLD", "FOR", "1", None, phase="Old"), detail(FIRST, "BLD", "FOR", "1", "L2"),
+        detail(NOW, None, None, "2", "L1"), detail("202203", "BLD", "FOR", "2", "L3"), detail(BEFORE, "BLD", "FOR", "2", "L4"),
+        detail(FIRST, "BLD", "FOR", "3", None), detail(NOW, "BLD", "FOR", None, "L1"), detail(None, "BLD", "FOR", "4", "L1"),
+    ]
+    everything = raw_frame(spark, "raw_project_detail", rows)
+    current = normalize.current_details(everything)
+    assert current.count() == 5
+    same = lambda make: sorted(map(str, make(current).collect())) == sorted(map(str, make(everything).collect()))
+    assert same(lambda rows: normalize.schedule_spine(normalize.newest_reports(rows)))
+    assert same(lambda rows: derive.pid_links(normalize.edge_rows(rows)))
+    t = tables(spark, rows, schedules=[schedule(NOW, "1", "5")])
+    stored = Tables(spark, FrameSource(t.source._frames, assembled=True)).sharing({"latest_project_state": 1}, current=True)
+    assert stored._current is not None
+    assert sorted(map(str, stored["latest_project_state"].collect())) == sorted(map(str, t["latest_project_state"].collect()))
+    assert stored.edge_rows().count() == 5 and stored.edge_rows(current=True).count() == 3
+
+
+def test_parts_are_joined_after_orders(spark, small_thresholds):
+    plan = plan_of(star_tables(spark, FOLDER).raw("raw_project_detail", ("fms_id", "sponsor_agency", "ten_year_plan_category")))
+    joins = re.findall(r"(?:SortMergeJoin|ShuffledHashJoin) \[(\w+)#", plan)
+    assert joins.index("l_partkey") < joins.index("l_orderkey")  # the outermost comes first
+
+
+def test_records_without_measures_are_those_with_them(spark, tmp_path):
+    day = "timestamp_ntz '{}'".format
+    items = spark.range(60).select(
+        F.col("id").alias("l_orderkey"), F.expr("if(id % 13 = 0, null, id % 7 * 25)").alias("l_partkey"),
+        F.expr("if(id % 17 = 0, null, id % 3)").alias("l_suppkey"), F.expr("cast(if(id % 11 = 0, null, id % 8) as int)").alias("l_linenumber"),
+        F.expr("cast(if(id % 10 = 0, null, id * 10) as double)").alias("l_extendedprice"), F.lit(0.01).alias("l_discount"),
+        F.lit("N").alias("l_returnflag"), F.lit("O").alias("l_linestatus"),
+        F.expr(f"if(id % 5 = 0, null, {day('1996-11-05')} + make_dt_interval(cast(id % 6 * 40 as int)))").alias("l_shipdate"),
+    )
+    made = {
+        "lineitem": items.union(items.where("l_orderkey % 4 = 1")),
+        "supplier": spark.sql("SELECT id AS s_suppkey, cast(id % 2 AS int) AS s_nationkey FROM range(3)"),
+        "nation": spark.sql("SELECT cast(id AS int) AS n_nationkey, cast(id AS int) AS n_regionkey FROM range(2)"),
+        "region": spark.sql("SELECT cast(id AS int) AS r_regionkey, if(id = 1, null, 'Asia') AS r_name FROM range(2)"),
+    }
+    for name, frame in made.items():
+        frame.write.parquet(f"{tmp_path}/{name}.parquet")
+    source = star_tables(spark, str(tmp_path)).source
+    keys = ("managing_agency", "fms_id", "year_month_reported")
+    for not_null in ((), ("fms_id",)):
+        lean, full = source.read("raw_budget_history", keys, not_null), source.read("raw_budget_history", (*keys, "total_budget"), not_null)
+        assert "Expand" not in plan_of(lean)
+        rows = sorted(map(str, lean.collect()))
+        assert len(rows) > 20 and rows == sorted(map(str, full.select(*keys).collect()))
