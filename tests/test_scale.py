@@ -13,6 +13,7 @@ from capfolio.functions.medians import exact_medians, histogram
 from capfolio.operators import derive, normalize
 from capfolio.operators.breakdowns import budget_breakdown
 from capfolio.operators.portfolio import PortfolioFilter, matching_projects, portfolio_rows, portfolio_summary
+from capfolio.operators.ranking import pids_in_category, rank_projects
 from capfolio.operators.reports import big_lines, watchlist
 from capfolio.plans.tables import Tables
 from capfolio.sinks import staging
@@ -212,7 +213,14 @@ def listed(t):
     return portfolio_rows(t, wanted), matching_projects(t, wanted).select("pid", "attributed_budget", "completion_date")
 
 
-@pytest.mark.parametrize("made", [listed])
+def ranked_late(t):
+    state = t["latest_project_state"].where("period_variance_days > 0").join(pids_in_category(t, "Fasteners"), "pid", "left_semi")
+    best = state.orderBy(F.desc("period_variance_days"), "pid").limit(25)
+    found = rank_projects(t, "schedule", "period_variance_days", 25, category="Fasteners", delayed_only=True)
+    return found, best.select("pid", "attributed_budget", "period_variance_days")
+
+
+@pytest.mark.parametrize("made", [listed, ranked_late])
 def test_schedules_of_a_category_come_from_details_put_together_once(spark, made, monkeypatch):
     written = []
     write = staging.stage
